@@ -1,15 +1,17 @@
 """The corpus queries: one for each operator, and the SQL of those that SQL can express."""
 
-from larkspan.llm import exact_dedup, license_scan, mixing
+from larkspan.llm import exact_dedup, license_scan, mixing, warc
 
 QUERIES = {
     "op1_mixing": mixing.query,
+    "op5_warc": warc.query,
     "op7_exact_dedup": exact_dedup.query,
     "op8_license_scan": license_scan.query,
 }
 
 ORACLES = {
     "op1_mixing": mixing.ORACLE,
+    "op5_warc": warc.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
     "op8_license_scan": license_scan.ORACLE,
 }
