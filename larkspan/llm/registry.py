@@ -1,10 +1,11 @@
 """The corpus queries: one for each operator, and the SQL of those that SQL can express."""
 
-from larkspan.llm import exact_dedup, license_scan, mixing, packing, quality, warc
+from larkspan.llm import exact_dedup, license_scan, minhash, mixing, packing, quality, warc
 
 QUERIES = {
     "op1_mixing": mixing.query,
     "op2_quality": quality.query,
+    "op3_minhash": minhash.query,
     "op5_warc": warc.query,
     "op7_exact_dedup": exact_dedup.query,
     "op8_license_scan": license_scan.query,
