@@ -5,8 +5,9 @@ set gives the signature: the hash range is cut into ``rows * bands`` bins, each
 its smallest hash, and an empty bin borrows from bins drawn by a fixed hash sequence until
 one is occupied (optimal densification). Each run of ``rows`` bins is a band; documents
 with an equal band share a bucket. Sets too short for signatures to be reliable are
-bucketed by an exact prefix filter instead: two sets similar enough must share one of
-their first ``n - ceil(t * n) + 1`` hashes.
+bucketed by an exact prefix filter instead: with hashes ordered from rare to frequent
+(counted over all short sets), two sets similar enough must share one of their first
+``n - ceil(t * n) + 1`` hashes, so a passage that many documents share makes no bucket.
 
 Candidates stay linear in a bucket's size:
 
@@ -36,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspan.llm.common import U64, HashCache, ascii_words, mix64
@@ -79,43 +80,56 @@ def signature(hashes: np.ndarray, bins: int) -> np.ndarray:
     return out
 
 
-def bucket_keys(hashes: np.ndarray, rows: int, bands: int, percent: int) -> np.ndarray:
-    """The buckets of a sorted set: bands of its signature, and prefix hashes for a short set."""
-    n, keys = len(hashes), []
-    if n == 0:
-        return np.zeros(0, np.int64)
-    if n * percent <= SHORT * 100:  # the largest set that can be similar to one of SHORT shingles
-        keys.append(mix64(hashes[: n - -(-n * percent // 100) + 1] + U64(1)))
-    if n >= SHORT:
-        grid = signature(hashes, rows * bands).reshape(bands, rows)
-        sums = np.arange(bands, dtype=U64) * U64(0xA24BAED4963EE407)
-        for i in range(rows):
-            sums = mix64(sums) + grid[:, i]
-        keys.append(mix64(sums))
-    return np.concatenate(keys).view(np.int64)
+def band_keys(hashes: np.ndarray, rows: int, bands: int) -> np.ndarray:
+    """The buckets of a sorted, non-empty set: one key for each band of its signature."""
+    grid = signature(hashes, rows * bands).reshape(bands, rows)
+    sums = np.arange(bands, dtype=U64) * U64(0xA24BAED4963EE407)
+    for i in range(rows):
+        sums = mix64(sums) + grid[:, i]
+    return mix64(sums).view(np.int64)
 
 
 def sketch(docs: DataFrame, width: int, rows: int, bands: int, percent: int) -> DataFrame:
-    """``doc_id, n, digest, keys`` of each row of ``docs`` (columns ``doc_id, text``)."""
+    """``doc_id, n, digest, keys, short`` of each row of ``docs`` (columns ``doc_id, text``).
+
+    ``keys`` are the bands of sets of SHORT hashes and more, ``short`` the hashes of sets up
+    to the largest that can be similar to one of SHORT hashes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = HashCache()
+        cache, none = HashCache(), np.zeros(0, np.int64)
+
+        def lists(arrays: list) -> pa.Array:
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([none, *arrays]), pa.int64()))
+
         for batch in batches:
             sets = [shingle_set(x.as_py(), width, cache) for x in batch.column(1)]
-            keys = [bucket_keys(x, rows, bands, percent) for x in sets]
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
-            flat = np.concatenate([np.zeros(0, np.int64), *keys])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array([len(x) for x in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64())),
+                    lists([band_keys(x, rows, bands) if len(x) >= SHORT else none for x in sets]),
+                    lists([x.view(np.int64) if len(x) * percent <= SHORT * 100 else none for x in sets]),
                 ],
-                names=["doc_id", "n", "digest", "keys"],
+                names=["doc_id", "n", "digest", "keys", "short"],
             )
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, digest binary, keys array<long>")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, digest binary, keys array<long>, short array<long>")
+
+
+def prefix_buckets(reps: DataFrame, percent: int) -> DataFrame:
+    """``key, doc_id, n`` for the rarest hashes of short sets; hashes that one set has alone make no bucket."""
+    each = reps.select(F.explode("short").alias("g"), "doc_id", "n")
+    common = each.groupBy("g").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select(F.col("g").alias("c_g"), "df")
+    met = each.join(common, F.col("g") == F.col("c_g"))
+    own = Window.partitionBy("doc_id")  # at most 4/3 * SHORT rows
+    rank = F.row_number().over(own.orderBy("df", "g"))
+    alone = F.col("n") - F.count(F.lit(1)).over(own)
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    ranked = met.select("g", "doc_id", "n", (rank + alone).alias("rank"), prefix.alias("prefix"))
+    return ranked.filter("rank <= prefix").select(F.xxhash64("g").alias("key"), "doc_id", "n")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int, star_rows: int = 400) -> DataFrame:
@@ -161,9 +175,10 @@ def near_duplicates(
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sets = materialize(sketch(slim, width, rows, bands, percent), "sketches")
     classes = sets.filter("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    reps = sets.join(classes.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").select("doc_id", "n", "keys")
-    # A bucket whose members differ in size too much holds no link; size is checked pair by pair below.
-    member = reps.select(F.explode("keys").alias("key"), "doc_id", "n").distinct()
+    reps = sets.join(classes.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").select("doc_id", "n", "keys", "short")
+    reps = reps.dropDuplicates(["doc_id"])
+    bands_of = reps.select(F.explode("keys").alias("key"), "doc_id", "n")
+    member = bands_of.unionByName(prefix_buckets(reps, percent))
     shared = member.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     shared = shared.select(F.col("key").alias("s_key"), F.col("hub"), "size")
     member = materialize(member.join(shared, F.col("key") == F.col("s_key")).select("key", "doc_id", "n", "hub"), "buckets")
