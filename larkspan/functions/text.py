@@ -9,7 +9,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that carry no identity, and capitalised words that only open a question.
-STOPWORDS = ["a", "an", "and", "at", "be", "by", "for", "if", "in", "is", "it", "of", "on", "or", "that", "the", "to", "will"]
+STOPWORDS = ["the", "a", "an", "will", "by", "in", "on", "of", "be", "is", "to", "for", "and", "or", "vs", "at", "with", "from"]
+OPENERS = [
+    "Will", "Does", "What", "When", "Where", "Who", "How", "Should", "Are", "Have", "Was", "Were", "Did",
+    "Could", "Would", "Might", "Shall", "Has", "The", "Over", "Under", "Yes", "This", "That", "Their", "There",
+]
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 NOUN_PATTERN = r"\b([A-Z][A-Za-z]{3,})\b"
 
@@ -32,10 +36,11 @@ def tokenize(text: Column, min_length: int = 2, stopwords: list[str] | None = No
     return F.array_sort(F.array_distinct(F.filter(words(text, stopwords), lambda w: F.length(w) >= min_length)))
 
 
-def proper_nouns(text: Column, openers: list[str]) -> Column:
+def proper_nouns(text: Column, openers: list[str] | None = None) -> Column:
     """The sorted set of capitalised words of four letters and more that aren't sentence openers."""
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(NOUN_PATTERN), F.lit(1))
-    return F.array_sort(F.array_distinct(F.filter(found, lambda w: ~w.isin(openers)) if openers else found))
+    drop = OPENERS if openers is None else openers
+    return F.array_sort(F.array_distinct(F.filter(found, lambda w: ~w.isin(drop)) if drop else found))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -49,12 +54,8 @@ def symmetric_difference_size(a: Column, b: Column) -> Column:
     return F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))
 
 
-def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two strings.
-
-    One fold over the characters of ``a`` carries a row of the dynamic program; an inner fold
-    over the characters of ``b`` makes the next row.
-    """
+def _lcs_rows(a: Column, b: Column) -> Column:
+    """By dynamic programming: a fold over ``a`` carries a row, an inner fold over ``b`` makes the next."""
     chars_a, chars_b = F.split(a, ""), F.split(b, "")
     first = F.transform(F.sequence(F.lit(0), F.length(b)), lambda _: F.lit(0))
 
@@ -65,8 +66,33 @@ def lcs_length(a: Column, b: Column) -> Column:
 
         return F.aggregate(F.sequence(F.lit(1), F.length(b)), F.array(F.lit(0)), inner)
 
-    some = (F.length(a) > 0) & (F.length(b) > 0)
-    return F.when(some, F.element_at(F.aggregate(chars_a, first, step), -1)).otherwise(F.lit(0))
+    return F.element_at(F.aggregate(chars_a, first, step), -1)
+
+
+def _lcs_bits(a: Column, b: Column) -> Column:
+    """Bit-parallel: one 64-bit word is the row of the dynamic program; ``a`` has at most 60 characters."""
+    n = F.length(a)
+    full = F.call_function("shiftleft", F.lit(1).cast("long"), n) - 1
+    places = F.transform(F.split(a, ""), lambda c, i: F.struct(c.alias("c"), F.call_function("shiftleft", F.lit(1).cast("long"), i).alias("bit")))
+
+    def step(v: Column, c: Column) -> Column:
+        mask = F.aggregate(places, F.lit(0).cast("long"), lambda m, x: F.when(x["c"] == c, m.bitwiseOR(x["bit"])).otherwise(m))
+        u = v.bitwiseAND(mask)
+        return (v + u).bitwiseOR(v - u).bitwiseAND(full)
+
+    rest = F.aggregate(F.split(b, ""), full, step)
+    return n - F.bit_count(rest)
+
+
+def lcs_length(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of two strings."""
+    swap = F.length(a) <= F.length(b)
+    short, long_ = F.when(swap, a).otherwise(b), F.when(swap, b).otherwise(a)
+    return (
+        F.when(F.length(short) == 0, F.lit(0))
+        .when(F.length(short) <= 60, _lcs_bits(short, long_))
+        .otherwise(_lcs_rows(short, long_))
+    )
 
 
 def indel_ratio(a: Column, b: Column) -> Column:
