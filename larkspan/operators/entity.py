@@ -99,7 +99,7 @@ class Scorer:
             near = near.withColumn("days", F.lit(None).cast("double"))
             time_term = F.lit(0.0)
         else:
-            near = near.withColumn("days", F.abs(F.unix_micros("a.ts") - F.unix_micros("b.ts")) / F.lit(86_400_000_000.0))
+            near = near.withColumn("days", F.abs(F.unix_micros(F.col("a.ts").cast("timestamp")) - F.unix_micros(F.col("b.ts").cast("timestamp"))) / F.lit(86_400_000_000.0))
             near = near.filter(F.col("days") <= self.max_days)
             time_term = 1 - F.col("days") / F.lit(self.max_days)
         near = near.withColumn("fuzz", tx.token_set_ratio(F.array_join(words_a, " "), F.array_join(words_b, " ")))

@@ -43,7 +43,7 @@ def last_before(left: DataFrame, right: DataFrame, by: list[str], left_on: str,
 def whole_days(later: Column, earlier: Column, timestamps: bool = False) -> Column:
     """Days between: calendar days for dates, elapsed whole days for timestamps."""
     if timestamps:
-        return F.floor((F.unix_micros(later) - F.unix_micros(earlier)) / F.lit(86_400_000_000))
+        return F.floor((F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))) / F.lit(86_400_000_000))
     return F.datediff(later, earlier)
 
 
