@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from larkspan.functions.text import let
+
 IV_LOW, IV_HIGH, IV_STEPS = 1e-4, 10.0, 30
 ERF_TERMS = 100
 _INTRINSIC_SLACK = 1e-6
@@ -14,15 +16,20 @@ _INTRINSIC_SLACK = 1e-6
 
 def erf(x: Column) -> Column:
     """The error function by its all-positive series; beyond 6 it is 1 to double precision."""
-    z = F.least(F.abs(x), F.lit(6.0))
+    return let(x.cast("double"), _erf)
+
+
+def _erf(x: Column) -> Column:
+    return let(F.least(F.abs(x), F.lit(6.0)), lambda z: F.signum(x) * F.when(z >= 6, 1.0).otherwise(_erf_series(z)))
 
+
+def _erf_series(z: Column) -> Column:
     def step(acc: Column, n: Column) -> Column:
         term = acc["term"] * 2 * z * z / (2 * n + 1)
         return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
 
     series = F.aggregate(F.sequence(F.lit(1), F.lit(ERF_TERMS)), F.struct(z.alias("term"), z.alias("total")), step, lambda acc: acc["total"])
-    value = F.lit(2 / math.sqrt(math.pi)) * F.exp(-z * z) * series
-    return F.signum(x) * F.when(F.abs(x) >= 6, 1.0).otherwise(value)
+    return F.lit(2 / math.sqrt(math.pi)) * F.exp(-z * z) * series
 
 
 def norm_cdf(x: Column) -> Column:
@@ -52,11 +59,9 @@ def price(spot: Column, strike: Column, years: Column, sigma: Column, call: Colu
     alive = (years > 0) & (sigma > 0) & (spot > 0) & (strike > 0)
     one = F.lit(1.0)
     s, k, t, v = (F.when(alive, x).otherwise(one) for x in (spot, strike, years, sigma))
-    a = d1(s, k, t, v, rate)
-    b = a - v * F.sqrt(t)
     discounted = k * F.exp(F.lit(-float(rate)) * t)
     sign = F.when(call, 1.0).otherwise(-1.0)
-    value = sign * (s * norm_cdf(sign * a) - discounted * norm_cdf(sign * b))
+    value = let(d1(s, k, t, v, rate), lambda a: sign * (s * norm_cdf(sign * a) - discounted * norm_cdf(sign * (a - v * F.sqrt(t)))))
     return _checked(spot, strike, F.when(alive, value).otherwise(intrinsic(spot, strike, call)), strict)
 
 
@@ -77,9 +82,11 @@ def implied_vol(price_: Column, spot: Column, strike: Column, years: Column, cal
     reachable = usable & (price(spot, strike, years, F.lit(IV_HIGH), call, rate) >= price_)
 
     def step(acc: Column, _: Column) -> Column:
-        mid = (acc["lo"] + acc["hi"]) / 2
-        above = price(spot, strike, years, mid, call, rate) > price_
-        return F.struct(F.when(above, acc["lo"]).otherwise(mid).alias("lo"), F.when(above, mid).otherwise(acc["hi"]).alias("hi"))
+        def halve(mid: Column) -> Column:
+            above = price(spot, strike, years, mid, call, rate) > price_
+            return let(above, lambda up: F.struct(F.when(up, acc["lo"]).otherwise(mid).alias("lo"), F.when(up, mid).otherwise(acc["hi"]).alias("hi")))
+
+        return let((acc["lo"] + acc["hi"]) / 2, halve)
 
     bracket = F.struct(F.lit(IV_LOW).alias("lo"), F.lit(IV_HIGH).alias("hi"))
     return F.when(reachable, F.aggregate(F.sequence(F.lit(1), F.lit(IV_STEPS)), bracket, step, lambda acc: (acc["lo"] + acc["hi"]) / 2))

@@ -5,6 +5,8 @@ All of them are Catalyst expressions; none leaves the JVM.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,11 @@ PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 NOUN_PATTERN = r"\b([A-Z][A-Za-z]{3,})\b"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def words(text: Column, stopwords: list[str] | None = None) -> Column:
     """Normalised words in order: ASCII punctuation is blank, lower case, no stopwords; [] for null."""
     drop = STOPWORDS if stopwords is None else stopwords
@@ -54,45 +61,53 @@ def symmetric_difference_size(a: Column, b: Column) -> Column:
     return F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))
 
 
-def _lcs_rows(a: Column, b: Column) -> Column:
-    """By dynamic programming: a fold over ``a`` carries a row, an inner fold over ``b`` makes the next."""
-    chars_a, chars_b = F.split(a, ""), F.split(b, "")
-    first = F.transform(F.sequence(F.lit(0), F.length(b)), lambda _: F.lit(0))
+def _lcs_rows(chars_a: Column, chars_b: Column) -> Column:
+    """By dynamic programming: a fold over one array carries a row, an inner fold over the other makes the next."""
+    places = F.sequence(F.lit(1), F.size(chars_b))
 
     def step(row: Column, ca: Column) -> Column:
         def inner(acc: Column, i: Column) -> Column:
             above, left = F.element_at(row, i + 1), F.element_at(acc, -1)
             return F.concat(acc, F.array(F.when(F.element_at(chars_b, i) == ca, F.element_at(row, i) + 1).otherwise(F.greatest(above, left))))
 
-        return F.aggregate(F.sequence(F.lit(1), F.length(b)), F.array(F.lit(0)), inner)
+        return F.aggregate(places, F.array(F.lit(0)), inner)
 
+    first = F.array_repeat(F.lit(0), F.size(chars_b) + 1)
     return F.element_at(F.aggregate(chars_a, first, step), -1)
 
 
-def _lcs_bits(a: Column, b: Column) -> Column:
-    """Bit-parallel: one 64-bit word is the row of the dynamic program; ``a`` has at most 60 characters."""
-    n = F.length(a)
-    full = F.call_function("shiftleft", F.lit(1).cast("long"), n) - 1
-    places = F.transform(F.split(a, ""), lambda c, i: F.struct(c.alias("c"), F.call_function("shiftleft", F.lit(1).cast("long"), i).alias("bit")))
+def _lcs_bits(chars_a: Column, chars_b: Column) -> Column:
+    """Bit-parallel: one 64-bit word is the row of the dynamic program; the first array has at most 60 characters."""
+    one = F.lit(1).cast("long")
+    bits = F.transform(chars_a, lambda c, i: F.struct(c.alias("c"), F.call_function("shiftleft", one, i).alias("bit")))
+    bound = F.struct(bits.alias("bits"), (F.call_function("shiftleft", one, F.size(chars_a)) - 1).alias("full"))
 
-    def step(v: Column, c: Column) -> Column:
-        mask = F.aggregate(places, F.lit(0).cast("long"), lambda m, x: F.when(x["c"] == c, m.bitwiseOR(x["bit"])).otherwise(m))
-        u = v.bitwiseAND(mask)
-        return (v + u).bitwiseOR(v - u).bitwiseAND(full)
+    def fold(x: Column) -> Column:
+        def step(v: Column, c: Column) -> Column:
+            mask = F.aggregate(x["bits"], F.lit(0).cast("long"), lambda m, p: F.when(p["c"] == c, m.bitwiseOR(p["bit"])).otherwise(m))
+            return let(v.bitwiseAND(mask), lambda u: (v + u).bitwiseOR(v - u).bitwiseAND(x["full"]))
 
-    rest = F.aggregate(F.split(b, ""), full, step)
-    return n - F.bit_count(rest)
+        return F.size(x["bits"]) - F.bit_count(F.aggregate(chars_b, x["full"], step))
+
+    return let(bound, fold)
 
 
 def lcs_length(a: Column, b: Column) -> Column:
     """Length of the longest common subsequence of two strings."""
-    swap = F.length(a) <= F.length(b)
-    short, long_ = F.when(swap, a).otherwise(b), F.when(swap, b).otherwise(a)
-    return (
-        F.when(F.length(short) == 0, F.lit(0))
-        .when(F.length(short) <= 60, _lcs_bits(short, long_))
-        .otherwise(_lcs_rows(short, long_))
-    )
+    letters = lambda x: F.when(F.length(x) > 0, F.split(x, "")).otherwise(F.array().cast("array<string>"))
+    pair = F.struct(letters(a).alias("a"), letters(b).alias("b"))
+
+    def body(x: Column) -> Column:
+        swap = F.size(x["a"]) <= F.size(x["b"])
+        sides = F.struct(F.when(swap, x["a"]).otherwise(x["b"]).alias("short"), F.when(swap, x["b"]).otherwise(x["a"]).alias("long"))
+        return let(
+            sides,
+            lambda y: F.when(F.size(y["short"]) == 0, F.lit(0))
+            .when(F.size(y["short"]) <= 60, _lcs_bits(y["short"], y["long"]))
+            .otherwise(_lcs_rows(y["short"], y["long"])),
+        )
+
+    return let(pair, body)
 
 
 def indel_ratio(a: Column, b: Column) -> Column:
@@ -109,18 +124,27 @@ def token_set_ratio(a: Column, b: Column) -> Column:
     subsequence: I is a prefix of the longer text. A common prefix is part of some longest
     common subsequence, so the first needs one of A and B only.
     """
-    wa, wb = (F.array_distinct(F.filter(F.split(x, " "), lambda w: w != "")) for x in (a, b))
-    both = F.array_join(F.array_sort(F.array_intersect(wa, wb)), " ")
-    ra = F.array_join(F.array_sort(F.array_except(wa, wb)), " ")
-    rb = F.array_join(F.array_sort(F.array_except(wb, wa)), " ")
-    n, la, lb = F.length(both), F.length(ra), F.length(rb)
-    gap = F.when(n > 0, 1).otherwise(0)
-    head = n + gap
-    total = 2 * head + la + lb
-    crossed = F.when(total > 0, F.lit(200.0) * (head + lcs_length(ra, rb)) / total).otherwise(F.lit(0.0))
-    contained = F.when(n > 0, F.greatest(F.lit(200.0) * n / (n + head + la), F.lit(200.0) * n / (n + head + lb))).otherwise(F.lit(0.0))
-    return (
-        F.when((F.size(wa) == 0) | (F.size(wb) == 0), F.lit(0.0))
-        .when((n > 0) & ((la == 0) | (lb == 0)), F.lit(100.0))
-        .otherwise(F.greatest(crossed, contained))
-    )
+    split = lambda x: F.array_distinct(F.filter(F.split(x, " "), lambda w: w != ""))
+    join = lambda x: F.array_join(F.array_sort(x), " ")
+
+    def rests(x: Column) -> Column:
+        wa, wb = x["a"], x["b"]
+        parts = F.struct(
+            join(F.array_intersect(wa, wb)).alias("i"),
+            join(F.array_except(wa, wb)).alias("a"),
+            join(F.array_except(wb, wa)).alias("b"),
+            ((F.size(wa) == 0) | (F.size(wb) == 0)).alias("empty"),
+        )
+        return let(parts, ratio)
+
+    def ratio(x: Column) -> Column:
+        n, la, lb = F.length(x["i"]), F.length(x["a"]), F.length(x["b"])
+        head = n + F.when(n > 0, 1).otherwise(0)
+        total = 2 * head + la + lb
+        crossed = F.when(total > 0, F.lit(200.0) * (head + lcs_length(x["a"], x["b"])) / total).otherwise(F.lit(0.0))
+        contained = F.when(n > 0, F.greatest(F.lit(200.0) * n / (n + head + la), F.lit(200.0) * n / (n + head + lb))).otherwise(F.lit(0.0))
+        return (
+            F.when(x["empty"], F.lit(0.0)).when((n > 0) & ((la == 0) | (lb == 0)), F.lit(100.0)).otherwise(F.greatest(crossed, contained))
+        )
+
+    return let(F.struct(split(a).alias("a"), split(b).alias("b")), rests)

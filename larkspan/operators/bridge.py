@@ -38,18 +38,19 @@ class Caps:
 def capped_factors(factors: DataFrame, caps: Caps | None = None) -> DataFrame:
     """``factors`` (``event_id, pos, name, delta, category``) with ``applied`` and what was capped.
 
-    A null category isn't summed; an empty one is summed and reported, but its members are not scaled.
+    Sums are rounded to 12 digits, so whether one exceeds its cap doesn't depend on the order of
+    adding. A null category isn't summed; an empty one is summed and reported, but its members are not scaled.
     """
     caps = caps or Caps()
     own = Window.partitionBy("event_id", "category")
     event = Window.partitionBy("event_id")
     f = factors.withColumn("_one", clamp(F.col("delta"), -caps.per_factor, caps.per_factor))
     f = f.withColumn("factor_capped", F.col("_one") != F.col("delta"))
-    f = f.withColumn("_sum", F.when(F.col("category").isNotNull(), F.sum("_one").over(own)))
+    f = f.withColumn("_sum", F.when(F.col("category").isNotNull(), F.round(F.sum("_one").over(own), 12)))
     f = f.withColumn("category_capped", F.coalesce(F.abs("_sum") > caps.per_category, F.lit(False)))
     scale = F.when(F.col("category_capped") & (F.col("category") != ""), F.lit(caps.per_category) / F.abs("_sum")).otherwise(1.0)
     f = f.withColumn("_two", F.col("_one") * scale)
-    f = f.withColumn("_raw", F.sum("_two").over(event)).withColumn("_total", clamp(F.col("_raw"), -caps.total, caps.total))
+    f = f.withColumn("_raw", F.round(F.sum("_two").over(event), 12)).withColumn("_total", clamp(F.col("_raw"), -caps.total, caps.total))
     f = f.withColumn("total_capped", F.col("_total") != F.col("_raw"))
     applied = F.when(F.col("total_capped"), F.col("_two") * F.col("_total") / F.col("_raw")).otherwise(F.col("_two"))
     return f.withColumn("applied", applied).drop("_one", "_sum", "_two")

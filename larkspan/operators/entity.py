@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -161,13 +162,18 @@ def clusters(edges: DataFrame) -> DataFrame:
     return parts.join(named, F.col("component") == F.col("c")).select(F.col("node").alias("id"), "cluster_id", "component", "size")
 
 
-@dataclass(frozen=True)
 class Resolution:
-    """Lazy results; ``comparisons`` is a one-row count of candidate pairs, scored or not."""
+    """Lazy results; ``comparisons`` is a one-row count of candidate pairs, scored or not.
+
+    ``assignments`` runs the component loop when it is first asked for.
+    """
+
+    def __init__(self, pairs: DataFrame, edges: DataFrame, comparisons: DataFrame) -> None:
+        self.pairs, self.edges, self.comparisons = pairs, edges, comparisons
 
-    assignments: DataFrame
-    pairs: DataFrame
-    comparisons: DataFrame
+    @cached_property
+    def assignments(self) -> DataFrame:
+        return clusters(self.edges)
 
 
 def resolve(
@@ -187,7 +193,7 @@ def resolve(
     pairs = label_pairs(scored_pairs(unique, scorer, blocker, cross_source), threshold, margin)
     edges = apply_overrides(pairs.filter("label = 'matched'"), forced, blocked)
     counted = candidate_pairs(unique.select("id", "source", "ts", "idx", *(["attributes"] if "attributes" in unique.columns else [])), blocker, cross_source)
-    return Resolution(clusters(edges), pairs, counted.agg(F.count(F.lit(1)).alias("comparisons")))
+    return Resolution(pairs, edges, counted.agg(F.count(F.lit(1)).alias("comparisons")))
 
 
 def recall(found: DataFrame, truth: DataFrame) -> DataFrame:
