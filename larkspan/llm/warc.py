@@ -1,7 +1,7 @@
 """WARC archives: a writer with one gzip member per record and a strictly sequential reader.
 
-Each archive holds about ``pages_per_archive`` records and is written by one task to a
-``.part`` name, then renamed, so a repeated or lost task leaves no torn archive: the retry
+Each archive holds at most about ``archive_bytes`` and is written by one task to a ``.part``
+name, then renamed, so a repeated or lost task leaves no torn archive: the retry
 writes the same bytes to the same name. The reader opens an archive as a stream, inflates
 it ``read_size`` bytes at a time (one gzip member after another, never the whole file),
 frames each record by its Content-Length and verifies block and payload digests.
@@ -153,38 +153,48 @@ def plan_records(pages: DataFrame, min_revisit: int = 100) -> DataFrame:
     return base.join(revisits, base["page_id"] == revisits["r_page_id"], "left").select("page_id", "url", "html", "refers_to")
 
 
-def write_archives(pages: DataFrame, folder: str, min_revisit: int = 100, pages_per_archive: int = 4000) -> DataFrame:
-    """Write a record per page into ``folder``; returns the archives: ``path, records, bytes``."""
-    spark = pages.sparkSession
-    count = max(1, -(-pages.count() // pages_per_archive))
+def write_archives(pages: DataFrame, folder: str, min_revisit: int = 100, archive_bytes: int = 1 << 30) -> DataFrame:
+    """Write a record per page into ``folder``; returns the archives: ``path, records, bytes``.
+
+    Each task writes its own rows, to a new archive after every ``archive_bytes``: the html
+    isn't dealt out once more for it.
+    """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         system, base = _open(folder)
+        task, made = TaskContext.get(), []
         out, names, records, size = None, None, 0, 0
+
+        def close() -> None:
+            out.close()
+            system.move(*names)
+            made.append((names[1], records, size))
+
         for batch in batches:
             for row in batch.to_pylist():
                 if row["page_id"] is None:
                     raise ValueError("a page without page_id")
                 payload = row["html"].encode("utf-8", "surrogatepass")
                 digest, refers = digest_of(payload), row["refers_to"]
-                raw = write_record("response" if refers is None else "revisit", row["page_id"], row["url"], payload, digest, refers)
                 if out is None:
-                    from pyspark import TaskContext
-
-                    task = TaskContext.get()
                     system.create_dir(base, recursive=True)
-                    name = f"{base}/pages-{task.partitionId():06d}.warc.gz"
-                    names = (f"{name}.{task.taskAttemptId()}.part", name)
+                    name = f"{base}/pages-{task.partitionId():06d}-{len(made):04d}.warc.gz"
+                    names, records, size = (f"{name}.{task.taskAttemptId()}.part", name), 0, 0
                     out = system.open_output_stream(names[0], compression=None)
+                raw = write_record("response" if refers is None else "revisit", row["page_id"], row["url"], payload, digest, refers)
                 out.write(raw)
                 records, size = records + 1, size + len(raw)
+                if size >= archive_bytes:
+                    close()
+                    out = None
         if out is not None:
-            out.close()
-            system.move(*names)
-            yield pa.RecordBatch.from_pydict({"path": [names[1]], "records": [records], "bytes": [size]})
+            close()
+        if made:
+            yield pa.RecordBatch.from_pydict(dict(zip(("path", "records", "bytes"), map(list, zip(*made)))))
 
-    planned = plan_records(pages, min_revisit).repartition(count, "page_id").sortWithinPartitions("page_id")
-    written = planned.mapInArrow(write, "path string, records long, bytes long")
+    written = plan_records(pages, min_revisit).mapInArrow(write, "path string, records long, bytes long")
     return materialize(written, "archives")
 
 
