@@ -150,6 +150,11 @@ def player_pool(records: DataFrame, spec: RosterSpec) -> DataFrame:
     )
 
 
+def _is(value: Column):
+    """A one-argument predicate for array functions."""
+    return lambda x: x == value
+
+
 def slot_table(spark: SparkSession, spec: RosterSpec) -> DataFrame:
     """``slot_pos, slot, eligible, picks``: a row per slot group."""
     rows = [F.struct(F.lit(j).alias("slot_pos"), F.lit(s.name).alias("slot"), F.lit(spec.mask(s.eligible)).cast("long").alias("eligible"), F.lit(s.count).alias("picks")) for j, s in enumerate(spec.slots)]
@@ -362,7 +367,7 @@ def greedy_relational(pool: DataFrame, spec: RosterSpec, attempts: int, seed: in
         for g, cap in enumerate(spec.groups):
             if cap.slots is None or slot in cap.slots:
                 tag = F.concat(F.lit(f"{g}:"), F.col("c." + cap.key))
-                ok = ok & (tag.isNull() | (F.size(F.filter(held, lambda x, t=tag: x == t)) < cap.max_count))
+                ok = ok & (tag.isNull() | (F.size(F.filter(held, _is(tag))) < cap.max_count))
         return ok
 
     for j, slot in enumerate(spec.slots):
@@ -408,7 +413,7 @@ def greedy_relational(pool: DataFrame, spec: RosterSpec, attempts: int, seed: in
         ok = F.lit(True)
         for cap in spec.groups:
             inside = [i for i, n in enumerate(names) if cap.slots is None or n in cap.slots]
-            peers = F.filter(F.transform("players", lambda p, i: F.when(i.isin(inside) & (i != F.col("place")), F.element_at(F.col(f"_{cap.key}"), p))), lambda x, c=cap: x == F.col(f"c.{c.key}"))
+            peers = F.filter(_teams(cap.key, inside), _is(F.col(f"c.{cap.key}")))
             ok = ok & (~F.col("place").isin(inside) | F.col(f"c.{cap.key}").isNull() | (F.size(peers) < cap.max_count))
         swaps = swaps.filter(ok)
     swapped = F.transform("players", lambda p, i: F.when(i == F.col("place"), F.col("c.idx")).otherwise(p))
@@ -418,6 +423,11 @@ def greedy_relational(pool: DataFrame, spec: RosterSpec, attempts: int, seed: in
     return fine.unionByName(fixed.select("attempt", "x.players", "x.salary"))
 
 
+def _teams(key: str, places: list[int]) -> Column:
+    """The keys of the players who stay, at the given places."""
+    return F.transform("players", lambda p, i: F.when(i.isin(places) & (i != F.col("place")), F.element_at(F.col(f"_{key}"), p)))
+
+
 def long_form(lineups: DataFrame, spec: RosterSpec, id_col: str = "lineup_id") -> DataFrame:
     """``lineup_id, slot_pos, slot, idx``: a row per pick."""
     names = F.array(*[F.lit(n) for n in spec.slot_names])
@@ -487,7 +497,7 @@ def best_lineups(pool: DataFrame, spec: RosterSpec, k: int = 1, max_pool: int =
             for g, cap in enumerate(spec.groups):
                 if cap.slots is None or slot.name in cap.slots:
                     tag = F.concat(F.lit(f"{g}:"), F.col(f"c.{cap.key}"))
-                    on = on & (tag.isNull() | (F.size(F.filter("s.tags", lambda x, t=tag: x == t)) < cap.max_count))
+                    on = on & (tag.isNull() | (F.size(F.filter("s.tags", _is(tag))) < cap.max_count))
                     own.append(tag)
             more = F.array_compact(F.array(*own)) if own else F.array().cast("array<string>")
             state = state.alias("s").join(c, on).select(
