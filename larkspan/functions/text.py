@@ -1,14 +1,16 @@
 """Text expressions of record matching: normal form, tokens, proper nouns, set similarity, token-set ratio.
 
-All of them are Catalyst expressions; none leaves the JVM.
+All but ``lcs_arrow`` are Catalyst expressions and stay in the JVM.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 # Words that carry no identity, and capitalised words that only open a question.
 STOPWORDS = ["the", "a", "an", "will", "by", "in", "on", "of", "be", "is", "to", "for", "and", "or", "vs", "at", "with", "from"]
@@ -116,35 +118,58 @@ def indel_ratio(a: Column, b: Column) -> Column:
     return F.when(total > 0, F.lit(200.0) * lcs_length(a, b) / total).otherwise(F.lit(100.0))
 
 
-def token_set_ratio(a: Column, b: Column) -> Column:
-    """Similarity 0-100 of two normalised texts as word sets.
-
-    With I the sorted common words and A, B the sorted rests: 100 if I is not empty and A or B
-    is; else the best Indel ratio of (I A, I B), (I, I A) and (I, I B). The last two need no
-    subsequence: I is a prefix of the longer text. A common prefix is part of some longest
-    common subsequence, so the first needs one of A and B only.
-    """
+def token_set_parts(a: Column, b: Column) -> Column:
+    """struct(i, a, b, empty) of two normalised texts as word sets: the sorted common words and rests as strings."""
     split = lambda x: F.array_distinct(F.filter(F.split(x, " "), lambda w: w != ""))
     join = lambda x: F.array_join(F.array_sort(x), " ")
 
-    def rests(x: Column) -> Column:
+    def parts(x: Column) -> Column:
         wa, wb = x["a"], x["b"]
-        parts = F.struct(
+        return F.struct(
             join(F.array_intersect(wa, wb)).alias("i"),
             join(F.array_except(wa, wb)).alias("a"),
             join(F.array_except(wb, wa)).alias("b"),
             ((F.size(wa) == 0) | (F.size(wb) == 0)).alias("empty"),
         )
-        return let(parts, ratio)
-
-    def ratio(x: Column) -> Column:
-        n, la, lb = F.length(x["i"]), F.length(x["a"]), F.length(x["b"])
-        head = n + F.when(n > 0, 1).otherwise(0)
-        total = 2 * head + la + lb
-        crossed = F.when(total > 0, F.lit(200.0) * (head + lcs_length(x["a"], x["b"])) / total).otherwise(F.lit(0.0))
-        contained = F.when(n > 0, F.greatest(F.lit(200.0) * n / (n + head + la), F.lit(200.0) * n / (n + head + lb))).otherwise(F.lit(0.0))
-        return (
-            F.when(x["empty"], F.lit(0.0)).when((n > 0) & ((la == 0) | (lb == 0)), F.lit(100.0)).otherwise(F.greatest(crossed, contained))
-        )
 
-    return let(F.struct(split(a).alias("a"), split(b).alias("b")), rests)
+    return let(F.struct(split(a).alias("a"), split(b).alias("b")), parts)
+
+
+def ratio_of_parts(x: Column, lcs: Column) -> Column:
+    """The token-set ratio, given the parts and the common subsequence of their rests (or a bound of it, for a bound)."""
+    n, la, lb = F.length(x["i"]), F.length(x["a"]), F.length(x["b"])
+    head = n + F.when(n > 0, 1).otherwise(0)
+    total = 2 * head + la + lb
+    crossed = F.when(total > 0, F.lit(200.0) * (head + lcs) / total).otherwise(F.lit(0.0))
+    contained = F.when(n > 0, F.greatest(F.lit(200.0) * n / (n + head + la), F.lit(200.0) * n / (n + head + lb))).otherwise(F.lit(0.0))
+    return F.when(x["empty"], F.lit(0.0)).when((n > 0) & ((la == 0) | (lb == 0)), F.lit(100.0)).otherwise(F.greatest(crossed, contained))
+
+
+def token_set_ratio(a: Column, b: Column) -> Column:
+    """Similarity 0-100 of two normalised texts as word sets.
+
+    With I the sorted common words and A, B the sorted rests: 100 if I is not empty and A or B
+    is; else the best Indel ratio of (I A, I B), (I, I A) and (I, I B). The last two need no
+    subsequence: I is a prefix of the longer text. A common prefix is part of some longest
+    common subsequence, so the first needs one of A and B only.
+    """
+    return let(token_set_parts(a, b), lambda x: ratio_of_parts(x, lcs_length(x["a"], x["b"])))
+
+
+@F.pandas_udf(IntegerType())
+def lcs_arrow(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Longest common subsequence in Arrow batches, for joins that score millions of pairs: bit-parallel over Python's integers."""
+
+    def one(x: str, y: str) -> int:
+        if not x or not y:
+            return 0
+        masks: dict[str, int] = {}
+        for i, c in enumerate(x):
+            masks[c] = masks.get(c, 0) | 1 << i
+        rest = full = (1 << len(x)) - 1
+        for c in y:
+            u = rest & masks.get(c, 0)
+            rest = ((rest + u) | (rest - u)) & full
+        return len(x) - rest.bit_count()
+
+    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="int32")

@@ -103,8 +103,11 @@ class Scorer:
             near = near.withColumn("days", F.abs(F.unix_micros(F.col("a.ts").cast("timestamp")) - F.unix_micros(F.col("b.ts").cast("timestamp"))) / F.lit(86_400_000_000.0))
             near = near.filter(F.col("days") <= self.max_days)
             time_term = 1 - F.col("days") / F.lit(self.max_days)
-        near = near.withColumn("fuzz", tx.token_set_ratio(F.array_join(words_a, " "), F.array_join(words_b, " ")))
-        near = near.filter(F.col("fuzz") >= self.min_fuzz)
+        near = near.withColumn("_parts", tx.token_set_parts(F.array_join(words_a, " "), F.array_join(words_b, " ")))
+        # No subsequence is longer than the shorter rest: most pairs fail on that bound, before any is computed.
+        bound = tx.ratio_of_parts(F.col("_parts"), F.least(F.length("_parts.a"), F.length("_parts.b")))
+        near = near.filter(bound >= self.min_fuzz).withColumn("_lcs", tx.lcs_arrow(F.col("_parts.a"), F.col("_parts.b")))
+        near = near.withColumn("fuzz", tx.ratio_of_parts(F.col("_parts"), F.col("_lcs"))).filter(F.col("fuzz") >= self.min_fuzz)
         near = near.withColumn("noun_diff", tx.symmetric_difference_size(F.col("a._nouns"), F.col("b._nouns")))
         bonus = F.when(F.abs(F.col("a.value") - F.col("b.value")) <= self.value_tolerance, self.value_bonus).otherwise(0.0)
         raw = self.fuzz_weight * F.col("fuzz") / 100 + self.jaccard_weight * F.col("jaccard") + self.time_weight * time_term
