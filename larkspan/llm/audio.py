@@ -6,7 +6,8 @@ areas of that image - sums that an integral image gives in four look-ups - and e
 answer takes two bits of a 32-bit integer, so a recording becomes a list of integers.
 
 Two recordings are aligned by an offset histogram: every landmark (an integer together with
-the one ``LANDMARK_GAP`` frames later) that both hold votes for the difference of its
+the ones ``LANDMARK_GAP`` and twice as many frames later, so that unrelated recordings hardly
+ever share one) that both hold votes for the difference of its
 places. The best offset must have ``min_votes``, and the share of differing bits over the
 overlap must be at most ``max_error``.
 
@@ -34,6 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspan.llm.common import mix64
 from larkspan.sources import materialize, table
 
 RATE, FRAME, HOP, LANDMARK_GAP = 4000, 1024, 256, 3
@@ -143,9 +145,13 @@ def align(a: np.ndarray, b: np.ndarray, offset: int) -> float:
 
 
 def landmarks(prints: np.ndarray) -> np.ndarray:
-    """64-bit keys of each integer and the one ``LANDMARK_GAP`` later."""
+    """64-bit keys of each integer and the ones ``LANDMARK_GAP`` and twice as many frames later."""
+    n = len(prints) - 2 * LANDMARK_GAP
+    if n <= 0:
+        return np.zeros(0, np.int64)
     x = prints.astype(np.uint64)
-    return ((x[:-LANDMARK_GAP] << np.uint64(32)) | x[LANDMARK_GAP:]).view(np.int64)
+    out = mix64(x[:n]) + x[LANDMARK_GAP : LANDMARK_GAP + n]
+    return mix64(mix64(out) + x[2 * LANDMARK_GAP :]).view(np.int64)
 
 
 def fingerprints(media: DataFrame, id_col: str, audio_col: str) -> DataFrame:
@@ -172,7 +178,7 @@ def search(printed: DataFrame, queries: DataFrame, min_votes: int = 4, max_error
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, prints in zip(batch.column(0), batch.column(1)):
-                keys = landmarks(np.asarray(prints.as_py() or [], np.int32).view(np.uint32)) if len(prints.as_py() or []) > LANDMARK_GAP else np.zeros(0, np.int64)
+                keys = landmarks(np.asarray(prints.as_py() or [], np.int32).view(np.uint32))
                 yield pa.RecordBatch.from_arrays([pa.array([i.as_py()] * len(keys), batch.schema.field(0).type), pa.array(keys), pa.array(np.arange(len(keys), dtype=np.int32))], names=["id", "key", "at"])
 
     kind = printed.schema["id"].dataType.simpleString()
