@@ -35,7 +35,7 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_quantity").alias("quantity"),
         F.col("l_returnflag").alias("account"),
         F.floor(held * 5 / 7).cast("int").alias("bars_held"),
-        (((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100_000 + F.col("l_partkey")) * 1_000 + F.col("l_suppkey") % 1_000).alias("idx"),
+        ((((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100_000 + F.col("l_partkey")) * 100 + F.col("l_suppkey") % 100) * 1_000 + F.unix_date(opened) % 1_000).alias("idx"),
     )
 
 
@@ -82,7 +82,7 @@ _TRADES = f"""t AS (SELECT l_partkey AS symbol, CAST(l_shipdate AS DATE) AS open
   CAST(l_shipdate AS DATE) + CAST((l_orderkey * 7 + l_linenumber * 13) % 120 AS INTEGER) AS closed,
   {_MONEY.format('l_extendedprice * (1 - l_discount)')} AS proceeds, {_MONEY.format('l_extendedprice * 0.95::DOUBLE')} AS basis,
   l_returnflag AS account, CAST(floor(((l_orderkey * 7 + l_linenumber * 13) % 120) * 5 / 7.0) AS INTEGER) AS bars_held,
-  ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 1000 + l_suppkey % 1000 AS idx FROM lineitem)"""
+  (((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 100 + l_suppkey % 100) * 1000 + (CAST(l_shipdate AS DATE) - DATE '1970-01-01') % 1000 AS idx FROM lineitem)"""
 _HELD = """h AS (SELECT l_partkey AS symbol, '' AS acct, max(CAST(l_shipdate AS DATE)) + 15 AS acquired FROM lineitem WHERE l_partkey % 10 = 0 GROUP BY l_partkey)"""
 
 
