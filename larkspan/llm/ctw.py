@@ -131,32 +131,35 @@ def solve_tree(levels: dict[int, tuple[np.ndarray, np.ndarray]], first: int, dep
 class FrozenTree:
     """A solved model: exact lookups for sequences seen in training, node by node prediction for others."""
 
-    def __init__(self, depth: int, keys, counts, logp, node_depth, node, log_beta, kt) -> None:
+    def __init__(self, depth: int, leaves: list[tuple], nodes: dict[int, list[tuple]]) -> None:
+        """``leaves``: parts of (keys, counts, logp); ``nodes``: by depth, parts of (node, log beta, estimate)."""
         self.depth = depth
-        order = np.argsort(keys)
-        self.keys, self.logp = keys[order].astype(U64), logp[order].astype(np.float32)
-        self.before = np.concatenate([[0], np.cumsum(counts[order])])
-        self.nodes = {}
-        for d in range(depth):
-            rows = np.flatnonzero(node_depth == d)
-            rows = rows[np.argsort(node[rows])]
-            self.nodes[d] = (node[rows].astype(U64), log_beta[rows].astype(np.float32), kt[rows].astype(np.float32))
+
+        def joined(parts: list[tuple], kinds: tuple) -> list[np.ndarray]:
+            columns = [np.concatenate([np.zeros(0, k), *(x[i] for x in parts)]) for i, k in enumerate(kinds)]
+            parts.clear()
+            order = np.argsort(columns[0])
+            return [x[order] for x in columns]
+
+        self.keys, counts, self.logp = joined(leaves, (U64, np.int64, np.float32))
+        self.before = np.concatenate([[0], np.cumsum(counts)])
+        self.nodes = {d: joined(nodes.get(d, []), (U64, np.float32, np.float32)) for d in range(depth)}
+        keys = self.keys
         self.bits = max(4, int(len(keys) * 1.5).bit_length())
-        self.slot_key = np.zeros(1 << self.bits, U64)
+        self.slot_key = np.zeros(1 << self.bits, U64)  # key + 1; 0 is a free slot
         self.slot_logp = np.zeros(1 << self.bits, np.float32)
         self.probes = 0
-        taken = np.zeros(1 << self.bits, bool)
-        left = np.arange(len(keys))
-        while len(left):
-            slot = self._slot(self.keys[left], self.probes)
-            free = np.flatnonzero(~taken[slot])
-            _, pick = np.unique(slot[free], return_index=True)
-            put = free[pick]
-            taken[slot[put]] = True
-            self.slot_key[slot[put]] = self.keys[left[put]] + U64(1)
-            self.slot_logp[slot[put]] = self.logp[left[put]]
-            left = np.delete(left, put)
-            self.probes += 1
+        for i in range(0, len(self.keys), 1 << 18):  # part by part, so little is held beside the table
+            left, probe = np.arange(i, min(len(self.keys), i + (1 << 18))), 0
+            while len(left):
+                slot = self._slot(self.keys[left], probe)
+                free = np.flatnonzero(self.slot_key[slot] == 0)
+                _, pick = np.unique(slot[free], return_index=True)
+                put = free[pick]
+                self.slot_key[slot[put]] = self.keys[left[put]] + U64(1)
+                self.slot_logp[slot[put]] = self.logp[left[put]]
+                left, probe = np.delete(left, put), probe + 1
+            self.probes = max(self.probes, probe)
 
     def _slot(self, keys: np.ndarray, probe: int) -> np.ndarray:
         return (((keys * U64(0x9E3779B97F4A7C15)) >> U64(64 - self.bits)).astype(np.int64) + probe * (probe + 1) // 2) & ((1 << self.bits) - 1)
@@ -208,6 +211,7 @@ def count_corpus(docs: DataFrame, depth: int) -> DataFrame:
     """``kind, key, n`` over the training rows of ``docs`` (``text, held``): word hashes (kind 0) and byte sequences (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sys.modules.pop("_larkspan_kept", None)  # a model that this worker scored with before
         cache, words, grams, size = HashCache(), Counter(), [], 0
 
         def rows(kind: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -233,10 +237,10 @@ def count_corpus(docs: DataFrame, depth: int) -> DataFrame:
                 words[cache[END]] += 1
                 grams.append(byte_grams(found, depth))
                 size += len(grams[-1])
-                if size > 8_000_000:
+                if size > 3_000_000:
                     yield from gram_rows()
                     size = 0
-                if len(words) > 1_500_000:
+                if len(words) > 400_000:
                     yield from word_rows()
         yield from word_rows()
         yield from gram_rows()
@@ -279,7 +283,7 @@ def train_tree(grams: DataFrame, depth: int, max_grams: int) -> str:
     below = dict(tuple(r) for r in usable.groupBy("c1").applyInPandas(tops, "node long, w double").groupBy("node").agg(F.sum("w")).collect())
     seen = np.flatnonzero(counts)
     root, root_rows = {}, []
-    for bit in range(8):
+    for bit in range(8 if len(seen) else 0):
         x = _Level(seen.astype(U64), counts[seen], bit)
         for node, own, kt in zip(x.node, x.own, x.kt):
             log_beta = float(np.clip(own - below.get(int(node), 0.0), -700, 700))
@@ -318,10 +322,18 @@ def load_tree(folder: str, depth: int) -> FrozenTree:
 
         kept.clear()
         system, path = fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder.removeprefix("file:"))
-        rows = ds.dataset(path, filesystem=system, format="parquet").to_table()
-        d, key, n, x, kt = (rows[c].to_numpy() for c in ("d", "key", "n", "x", "kt"))
-        leaf = d == depth
-        kept["tree"] = FrozenTree(depth, key[leaf].view(U64) if leaf.any() else np.zeros(0, U64), n[leaf], x[leaf], d[~leaf], key[~leaf].view(U64), x[~leaf], kt[~leaf])
+        leaves, nodes = [], {}
+        found = ds.dataset(path, filesystem=system, format="parquet")
+        for batch in found.to_batches(batch_size=1 << 16, batch_readahead=0, fragment_readahead=0, use_threads=False):
+            d, key, n, x, kt = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("d", "key", "n", "x", "kt"))
+            leaf = d == depth
+            leaves.append((key[leaf].view(U64), n[leaf], x[leaf].astype(np.float32)))
+            for k in np.unique(d[~leaf]).tolist():
+                at = d == k
+                nodes.setdefault(k, []).append((key[at].view(U64), x[at].astype(np.float32), kt[at].astype(np.float32)))
+            del batch, d, key, n, x, kt
+        pa.default_memory_pool().release_unused()
+        kept["tree"] = FrozenTree(depth, leaves, nodes)
         kept["folder"] = folder
     return kept["tree"]
 
