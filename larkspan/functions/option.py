@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from larkspan.functions.text import let
 
@@ -90,3 +93,34 @@ def implied_vol(price_: Column, spot: Column, strike: Column, years: Column, cal
 
     bracket = F.struct(F.lit(IV_LOW).alias("lo"), F.lit(IV_HIGH).alias("hi"))
     return F.when(reachable, F.aggregate(F.sequence(F.lit(1), F.lit(IV_STEPS)), bracket, step, lambda acc: (acc["lo"] + acc["hi"]) / 2))
+
+
+def implied_vol_arrow(price_: Column, spot: Column, strike: Column, years: Column, call: Column, rate: float = 0.0) -> Column:
+    """``implied_vol`` in Arrow batches: Spark has no error function, and a series inside each bisection step costs about fifty times as much."""
+    usable = (price_ > 0) & (years > 0) & (spot > 0) & (strike > 0) & (price_ >= intrinsic(spot, strike, call) - _INTRINSIC_SLACK)
+
+    def value(s: np.ndarray, k: np.ndarray, t: np.ndarray, v: np.ndarray, sign: np.ndarray) -> np.ndarray:
+        erf_of = np.frompyfunc(math.erf, 1, 1)
+        a = (np.log(s / k) + (rate + v * v / 2) * t) / (v * np.sqrt(t))
+        cdf = lambda x: 0.5 * (1 + erf_of(x / math.sqrt(2)).astype(np.float64))
+        return sign * (s * cdf(sign * a) - k * np.exp(-rate * t) * cdf(sign * (a - v * np.sqrt(t))))
+
+    @F.pandas_udf(DoubleType())
+    def solve(p: pd.Series, s: pd.Series, k: pd.Series, t: pd.Series, c: pd.Series, ok: pd.Series) -> pd.Series:
+        good = ok.fillna(False).to_numpy(bool)
+        out = np.full(len(p), np.nan)
+        if good.any():
+            p, s, k, t = (x[good].to_numpy(np.float64) for x in (p, s, k, t))
+            sign = np.where(c[good].to_numpy(bool), 1.0, -1.0)
+            low, high = np.full(len(p), IV_LOW), np.full(len(p), IV_HIGH)
+            reachable = value(s, k, t, high, sign) >= p
+            for _ in range(IV_STEPS):
+                mid = (low + high) / 2
+                above = value(s, k, t, mid, sign) > p
+                low, high = np.where(above, low, mid), np.where(above, mid, high)
+            out[good] = np.where(reachable, (low + high) / 2, np.nan)
+        return pd.Series(out)
+
+    args = [x.cast("double") for x in (price_, spot, strike, years)]
+    found = solve(*args, call, usable)
+    return F.when(~F.isnan(found), found)

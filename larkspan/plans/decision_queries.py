@@ -33,7 +33,7 @@ def bs_at_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def implied_vol_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = quotes(spark, sf_dir).withColumn("price", F.round(option.price(F.col("spot"), F.col("strike"), F.col("years"), F.col("sigma"), F.col("call")), 6))
-    out = option.implied_vol(F.col("price"), F.col("spot"), F.col("strike"), F.col("years"), F.col("call"))
+    out = option.implied_vol_arrow(F.col("price"), F.col("spot"), F.col("strike"), F.col("years"), F.col("call"))
     # Only quotes with time value: at intrinsic the volatility is an artefact of the last digits.
     return q.filter(F.col("price") - option.intrinsic(F.col("spot"), F.col("strike"), F.col("call")) > 0.05).select("p_partkey", F.round(out, 4).alias("iv"))
 

@@ -242,6 +242,14 @@ def test_option_facts(spark):
         scalar(spark, x=option.price(F.lit(0.0) + F.rand() * 0, *f(100.0, 1.0, 0.2, True), strict=True))
 
 
+def test_implied_vol_forms_agree(spark):
+    rows = [(5.0, 100.0, 105.0, 0.5, True), (0.0, 100.0, 100.0, 1.0, True), (3.0, 100.0, 90.0, 1.0, True), (30.0, 100.0, 90.0, 1.0, False), (500.0, 100.0, 90.0, 1.0, True), (None, 1.0, 1.0, 1.0, True)]
+    df = spark.createDataFrame(rows, "p double, s double, k double, t double, c boolean")
+    args = [F.col(x) for x in "psktc"]
+    for r in df.select(option.implied_vol(*args).alias("x"), option.implied_vol_arrow(*args).alias("y")).collect():
+        assert (r["x"] is None) == (r["y"] is None) and (r["x"] is None or abs(r["x"] - r["y"]) < 1e-8)
+
+
 def test_surface(spark):
     q = "symbol string, spot double, pos int, label string, dte int, atm_iv double, atm_straddle double"
     rows = [("A", 100.0, 0, "w", 5, 0.9, 3.0), ("A", 100.0, 1, "m", 30, 0.6, 8.0), ("A", 100.0, 2, "q", 60, 0.6, 9.0), ("B", 50.0, 0, "w", 3, 0.5, None), ("C", 10.0, 0, "x", 20, None, 1.0)]
