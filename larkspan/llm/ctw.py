@@ -161,6 +161,24 @@ class FrozenTree:
                 left, probe = np.delete(left, put), probe + 1
             self.probes = max(self.probes, probe)
 
+    def arrays(self) -> dict[str, np.ndarray]:
+        """All tables by name."""
+        out = {"keys": self.keys, "before": self.before, "logp": self.logp, "slot_key": self.slot_key, "slot_logp": self.slot_logp}
+        out["sizes"] = np.array([self.bits, self.probes])
+        for d, parts in self.nodes.items():
+            out |= {f"node{d}_{i}": x for i, x in enumerate(parts)}
+        return out
+
+    @classmethod
+    def mapped(cls, depth: int, arrays: dict[str, np.ndarray]) -> FrozenTree:
+        """The model of tables made by ``arrays``."""
+        out = cls.__new__(cls)
+        out.depth = depth
+        out.keys, out.before, out.logp, out.slot_key, out.slot_logp = (arrays[k] for k in ("keys", "before", "logp", "slot_key", "slot_logp"))
+        out.bits, out.probes = (int(x) for x in arrays["sizes"])
+        out.nodes = {d: [arrays[f"node{d}_{i}"] for i in range(3)] for d in range(depth)}
+        return out
+
     def _slot(self, keys: np.ndarray, probe: int) -> np.ndarray:
         return (((keys * U64(0x9E3779B97F4A7C15)) >> U64(64 - self.bits)).astype(np.int64) + probe * (probe + 1) // 2) & ((1 << self.bits) - 1)
 
@@ -250,7 +268,7 @@ def count_corpus(docs: DataFrame, depth: int) -> DataFrame:
 
 
 def train_tree(grams: DataFrame, depth: int, max_grams: int) -> str:
-    """Solve the tree over ``key, n`` (sequences of depth + 1 bytes); returns the folder of the frozen model."""
+    """Solve the tree over ``key, n`` (sequences of depth + 1 bytes); returns the folder of the solved rows."""
     spark = grams.sparkSession
     masked = lambda d: F.col("key").bitwiseAND(F.lit((1 << (8 * (d + 1))) - 1))
     levels = None
@@ -313,28 +331,85 @@ def train_tree(grams: DataFrame, depth: int, max_grams: int) -> str:
     return folder
 
 
-def load_tree(folder: str, depth: int) -> FrozenTree:
-    """Read a frozen model; a worker process keeps the one it read last."""
+def _file_system(folder: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder.removeprefix("file:"))
+
+
+def build_tree(folder: str, depth: int) -> FrozenTree:
+    """Read the solved rows part by part into lookup tables."""
+    import pyarrow.dataset as ds
+
+    system, path = _file_system(folder)
+    leaves, nodes = [], {}
+    found = ds.dataset(path, filesystem=system, format="parquet")
+    for batch in found.to_batches(batch_size=1 << 16, batch_readahead=0, fragment_readahead=0, use_threads=False):
+        d, key, n, x, kt = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("d", "key", "n", "x", "kt"))
+        leaf = d == depth
+        leaves.append((key[leaf].view(U64), n[leaf], x[leaf].astype(np.float32)))
+        for k in np.unique(d[~leaf]).tolist():
+            at = d == k
+            nodes.setdefault(k, []).append((key[at].view(U64), x[at].astype(np.float32), kt[at].astype(np.float32)))
+    pa.default_memory_pool().release_unused()
+    return FrozenTree(depth, leaves, nodes)
+
+
+def freeze_tree(spark: SparkSession, folder: str, depth: int) -> str:
+    """One task builds the lookup tables and writes them as plain arrays; returns their folder.
+
+    Workers map these files, so the workers of a machine share one copy in the page cache
+    instead of holding one each.
+    """
+    target = scratch_path(spark, "model")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            system, path = _file_system(target)
+            system.create_dir(path, recursive=True)
+            arrays = build_tree(folder, depth).arrays()
+            for name, values in arrays.items():
+                with system.open_output_stream(f"{path}/{name}.npy.part", compression=None) as out:
+                    np.save(out, values)
+                system.move(f"{path}/{name}.npy.part", f"{path}/{name}.npy")
+            yield pa.RecordBatch.from_pydict({"name": list(arrays)})
+
+    spark.range(0, 1, 1, 1).mapInArrow(write, "name string").collect()  # a name for each array
+    return target
+
+
+def _mapped_file(path: str) -> np.ndarray:
+    try:
+        return np.load(path, mmap_mode="r")
+    except ValueError:  # an empty array can't be mapped
+        return np.load(path)
+
+
+def load_tree(target: str, depth: int) -> FrozenTree:
+    """Map a frozen model's arrays; a worker process keeps the one it used last."""
     kept = sys.modules.setdefault("_larkspan_kept", type(sys)("_larkspan_kept")).__dict__
-    if kept.get("folder") != folder:
-        import pyarrow.dataset as ds
+    if kept.get("folder") != target:
+        import tempfile
+
         from pyarrow import fs
 
         kept.clear()
-        system, path = fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder.removeprefix("file:"))
-        leaves, nodes = [], {}
-        found = ds.dataset(path, filesystem=system, format="parquet")
-        for batch in found.to_batches(batch_size=1 << 16, batch_readahead=0, fragment_readahead=0, use_threads=False):
-            d, key, n, x, kt = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("d", "key", "n", "x", "kt"))
-            leaf = d == depth
-            leaves.append((key[leaf].view(U64), n[leaf], x[leaf].astype(np.float32)))
-            for k in np.unique(d[~leaf]).tolist():
-                at = d == k
-                nodes.setdefault(k, []).append((key[at].view(U64), x[at].astype(np.float32), kt[at].astype(np.float32)))
-            del batch, d, key, n, x, kt
-        pa.default_memory_pool().release_unused()
-        kept["tree"] = FrozenTree(depth, leaves, nodes)
-        kept["folder"] = folder
+        system, path = _file_system(target)
+        names = [x.base_name for x in system.get_file_info(fs.FileSelector(path)) if x.base_name.endswith(".npy")]
+        if isinstance(system, fs.LocalFileSystem):
+            arrays = {n[:-4]: _mapped_file(f"{path}/{n}") for n in names}
+        else:  # copied once a worker; the open mapping outlives the folder's name
+            with tempfile.TemporaryDirectory() as own:
+                arrays = {}
+                for n in names:
+                    with system.open_input_stream(f"{path}/{n}") as source, open(f"{own}/{n}", "wb") as copy:
+                        while part := source.read(1 << 20):
+                            copy.write(part)
+                    arrays[n[:-4]] = _mapped_file(f"{own}/{n}")
+        kept["tree"] = FrozenTree.mapped(depth, arrays)
+        kept["folder"] = target
     return kept["tree"]
 
 
@@ -356,7 +431,7 @@ def score_texts(
     total, distinct = words.agg(F.sum("n"), F.count(F.lit(1))).first()
     total = total or 0
     floor = total + distinct + 1
-    folder = train_tree(counts.filter("kind = 1").select("key", "n"), depth, max_grams)
+    folder = freeze_tree(spark, train_tree(counts.filter("kind = 1").select("key", "n"), depth, max_grams), depth)
     bar = kth_largest(words, "n", top_words) or 0
     frequent = words.filter(F.col("n") > F.lit(bar))  # fewer than top_words rows
     listed = np.array([tuple(r) for r in frequent.collect()], np.int64).reshape(-1, 2)

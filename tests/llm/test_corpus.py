@@ -321,7 +321,7 @@ def test_ctw_against_sequential_sum(spark):
     depth = 2
     grams = ctw.byte_grams([b"abracadabra"], depth).tolist() + ctw.byte_grams([b"abcab"], depth).tolist()
     counts = spark.createDataFrame([(k, n) for k, n in Counter(grams).items()], "key long, n long")
-    tree = ctw.load_tree(ctw.train_tree(counts, depth, 10**6), depth)
+    tree = ctw.load_tree(ctw.freeze_tree(spark, ctw.train_tree(counts, depth, 10**6), depth), depth)
 
     def kt(z, o):
         return math.lgamma(z + 0.5) + math.lgamma(o + 0.5) - 2 * math.lgamma(0.5) - math.lgamma(z + o + 1)
@@ -368,6 +368,8 @@ def test_ctw_base_and_odd_rows(spark, odd):
         assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4)) for r in out) == want
         assert all(r["score"] < 0 for r in out)
     assert ctw.score_texts(odd.limit(0)).count() == 0
+    nothing_learned = ctw.score_texts(odd.filter(ctw.held_out(F.col("doc_id"))), depth=2).collect()
+    assert all(r["train_tokens"] == 0 and abs(r["score"] / r["n_bytes"] + 8 * math.log10(2)) < 1e-9 for r in nothing_learned)
 
 
 def test_ctw_learns(spark):
