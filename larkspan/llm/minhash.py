@@ -45,7 +45,7 @@ from larkspan.operators.graph import connected_components
 from larkspan.sources import materialize, table
 
 #: Up to this many shingles a set's signature is too coarse, and the prefix filter finds its links.
-SHORT = 256
+SHORT = 128
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=U64)
 
 
@@ -166,7 +166,7 @@ def near_duplicates(
     docs: DataFrame,
     width: int = 5,
     percent: int = 75,
-    rows: int = 8,
+    rows: int = 7,
     bands: int = 128,
     id_col: str = "doc_id",
     text_col: str = "text",
