@@ -11,9 +11,10 @@ then frozen; ``score`` is its log10 probability of a text, and code length per b
 
 What is gathered: counts of all (depth + 1)-byte sequences and of all words of the training
 texts, each summed in tasks before the shuffle. Shorter contexts are sums of longer ones.
-The trees of different previous bytes are independent below the root, so they are solved
-in parallel, at most 256 groups of a model of at most ``max_grams`` sequences (should there
-be more, the rarest sequences of four bytes and more are left to their shorter contexts).
+Nothing is left out for its rarity: the model grows with the input. The trees below
+different pairs of previous bytes are independent, so they are dealt by a hash of the pair
+to parts of about ``part_grams`` sequences, and each part is solved, frozen and mapped on its
+own. The nodes above the pairs, at most 65,536 contexts and bytes, are solved on the driver.
 
 The base model's word counts may be many: the ``top_words`` most frequent words go to every
 task, all others meet their counts in a join on the word's hash. Since a word outside the
@@ -74,6 +75,22 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return log_gamma_half(zeros, 0.5) + log_gamma_half(ones, 0.5) - half - log_gamma_half(zeros + ones, 1.0)
 
 
+def top_bytes(depth: int) -> int:
+    """How many bytes of context tell the parts of a model apart."""
+    return min(2, depth)
+
+
+def part_of(grams: np.ndarray, depth: int, parts: int) -> np.ndarray:
+    """The part that holds each sequence: by a hash of the last bytes of its context; ``_part_column`` is the same in Spark."""
+    ctx = (grams >> U64(8)) & U64((1 << (8 * top_bytes(depth))) - 1)
+    return ((((ctx * U64(2654435761)) >> U64(16)) & U64(0xFFFF)) % U64(parts)).astype(np.int64)
+
+
+def _part_column(key: Column, depth: int, parts: int) -> Column:
+    ctx = F.shiftright(key, 8).bitwiseAND(F.lit((1 << (8 * top_bytes(depth))) - 1))
+    return (F.shiftright(ctx * F.lit(2654435761), 16).bitwiseAND(F.lit(0xFFFF)) % F.lit(parts)).cast("int")
+
+
 class _Level:
     """The nodes of one depth for one bit position: sorted ``ctx << 8 | prefix`` keys and their counts."""
 
@@ -91,12 +108,12 @@ class _Level:
         self.kt = (self.ones + 0.5) / (self.zeros + self.ones + 1.0)
 
 
-def solve_tree(levels: dict[int, tuple[np.ndarray, np.ndarray]], first: int, depth: int, root: dict | None = None):
+def solve_tree(levels: dict[int, tuple[np.ndarray, np.ndarray]], first: int, depth: int, root: tuple | None = None):
     """Context trees over depths ``first..depth``; ``levels[d]`` has sorted packed sequences of d + 1 bytes and counts.
 
     Returns, by bit position, the log weighted probabilities of the top nodes; with ``root``
-    (node -> (A, B): the final prediction is B + A * this tree's) also the nodes' log beta and
-    estimates and the log2 probability of each sequence of the deepest level.
+    (sorted node keys with one byte of context less, their A and their B: the final prediction
+    is B + A * this tree's) also the nodes' log beta and estimates and the log2 probability of each sequence of the deepest level.
     """
     tops, nodes, logp = [], [], np.zeros(len(levels[depth][0]))
     for bit in range(8):
@@ -113,7 +130,8 @@ def solve_tree(levels: dict[int, tuple[np.ndarray, np.ndarray]], first: int, dep
         tops.append((at[first].node, at[first].weighted))
         if root is None:
             continue
-        a, b = (np.array([root[int(k) & 255][i] for k in at[first].node]) for i in (0, 1))
+        up = np.searchsorted(root[0], at[first].node & U64((1 << (8 * first)) - 1))
+        a, b = root[1][up], root[2][up]
         for d in range(first, depth):
             x = at[d]
             log_beta = np.clip(x.own - x.below, -700, 700)
@@ -267,55 +285,79 @@ def count_corpus(docs: DataFrame, depth: int) -> DataFrame:
     return counted.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def train_tree(grams: DataFrame, depth: int, max_grams: int) -> str:
-    """Solve the tree over ``key, n`` (sequences of depth + 1 bytes); returns the folder of the solved rows."""
-    spark = grams.sparkSession
+def solve_top(levels: dict[int, tuple[np.ndarray, np.ndarray]], below: dict[int, float]) -> tuple[list[tuple], tuple]:
+    """The nodes above the parts: their rows ``(d, node, log_beta, kt)``, and the deepest ones' keys, A and B.
+
+    ``levels`` is as for ``solve_tree``, from depth 0; ``below`` has the log probability of what hangs under each deepest node.
+    """
+    last, rows, ends = max(levels), [], []
+    for bit in range(8 if len(levels[0][0]) else 0):
+        at = {d: _Level(*levels[d], bit) for d in levels}
+        under = np.array([below.get(int(k), 0.0) for k in at[last].node])
+        for d in range(last, -1, -1):
+            x = at[d]
+            x.below = under
+            if d:
+                x.parent = np.searchsorted(at[d - 1].node, x.node & U64((1 << (8 * d)) - 1))
+                under = np.bincount(x.parent, weights=np.logaddexp(x.own, x.below) - np.log(2), minlength=len(at[d - 1].node))
+        a, b = np.ones(len(at[0].node)), np.zeros(len(at[0].node))
+        for d in range(last + 1):
+            x = at[d]
+            if d:
+                a, b = a[x.parent], b[x.parent]
+            log_beta = np.clip(x.own - x.below, -700, 700)
+            share = 1 / (1 + np.exp(-log_beta))
+            a, b = a * (1 - share), b + a * share * x.kt
+            rows += zip([d] * len(x.node), x.node.tolist(), log_beta.tolist(), x.kt.tolist())
+        ends.append((at[last].node, a, b))
+    node, a, b = (np.concatenate([np.zeros(0, U64 if i == 0 else float), *(x[i] for x in ends)]) for i in range(3))
+    order = np.argsort(node)
+    return rows, (node[order], a[order], b[order])
+
+
+def train_tree(grams: DataFrame, depth: int, part_grams: int) -> str:
+    """Solve the tree over ``key, n`` (sequences of depth + 1 bytes); returns the folder of the solved rows, by part; -1 is the top."""
+    spark, first = grams.sparkSession, top_bytes(depth)
     masked = lambda d: F.col("key").bitwiseAND(F.lit((1 << (8 * (d + 1))) - 1))
+    parts = max(16, -(-grams.count() // part_grams))
     levels = None
-    for d in range(depth, 0, -1):
+    for d in range(depth, first - 1, -1):
         part = grams if d == depth else grams.groupBy(masked(d).alias("key")).agg(F.sum("n").alias("n"))
         part = part.select(F.lit(d).alias("d"), "key", "n")
         levels = part if levels is None else levels.unionByName(part)
-    levels = materialize(levels.withColumn("c1", F.shiftright("key", 8).bitwiseAND(F.lit(255)).cast("int")), "levels")
-    bar = kth_largest(levels.filter("d >= 3"), "n", max_grams)
-    if bar is not None:
-        levels = levels.filter((F.col("d") < 3) | (F.col("n") > F.lit(bar)))
-    counts = np.zeros(256, np.int64)
-    for key, n in levels.filter("d = 1").groupBy(F.col("key").bitwiseAND(F.lit(255)).alias("key")).agg(F.sum("n")).collect():
-        counts[key] = n
+    levels = materialize(levels.withColumn("part", _part_column(F.col("key"), depth, parts)), "levels")
+    top = {}
+    pairs = grams.groupBy(masked(first - 1).alias("key")).agg(F.sum("n").alias("n"))  # at most 256 ** first rows
+    found = np.array([tuple(r) for r in pairs.collect()], np.int64).reshape(-1, 2)
+    for d in range(first - 1, -1, -1):
+        keys, back = np.unique(found[:, 0] & ((1 << (8 * (d + 1))) - 1), return_inverse=True)
+        top[d] = keys.view(U64), np.bincount(back, weights=found[:, 1], minlength=len(keys)).astype(np.int64)
 
     def arrays(pdf: pd.DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
         out = {}
-        for d in range(1, depth + 1):
+        for d in range(first, depth + 1):
             part = pdf[pdf["d"] == d].sort_values("key")
             out[d] = (part["key"].to_numpy(np.int64).view(U64), part["n"].to_numpy(np.int64))
         return out
 
     def tops(pdf: pd.DataFrame) -> pd.DataFrame:
-        found, _, _ = solve_tree(arrays(pdf), 1, depth)
-        node = np.concatenate([x[0] for x in found]) & U64(255)
-        return pd.DataFrame({"node": node.astype(np.int64), "w": np.concatenate([x[1] for x in found])})
-
-    complete = levels.groupBy("c1").agg(F.countDistinct("d").alias("ds")).filter(F.col("ds") == depth).select(F.col("c1").alias("c"))
-    usable = levels.join(F.broadcast(complete), F.col("c1") == F.col("c")).drop("c")  # at most 256 rows
-    below = dict(tuple(r) for r in usable.groupBy("c1").applyInPandas(tops, "node long, w double").groupBy("node").agg(F.sum("w")).collect())
-    seen = np.flatnonzero(counts)
-    root, root_rows = {}, []
-    for bit in range(8 if len(seen) else 0):
-        x = _Level(seen.astype(U64), counts[seen], bit)
-        for node, own, kt in zip(x.node, x.own, x.kt):
-            log_beta = float(np.clip(own - below.get(int(node), 0.0), -700, 700))
-            share = 1 / (1 + np.exp(-log_beta))
-            root[int(node)] = (1 - share, share * kt)
-            root_rows.append((int(node), log_beta, float(kt)))
+        found, _, _ = solve_tree(arrays(pdf), first, depth)
+        node = np.concatenate([x[0] for x in found]) & U64((1 << (8 * first)) - 1)
+        out = pd.DataFrame({"node": node.astype(np.int64), "w": np.concatenate([x[1] for x in found])})
+        return out.groupby("node", as_index=False).sum()
+
+    below = dict(tuple(r) for r in levels.groupBy("part").applyInPandas(tops, "node long, w double").groupBy("node").agg(F.sum("w")).collect())
+    rows, ends = solve_top(top, below)
+    shared = spark.sparkContext.broadcast(ends)  # at most 256 ** (first - 1) contexts
 
     def solved(pdf: pd.DataFrame) -> pd.DataFrame:
         at = arrays(pdf)
-        _, nodes, logp = solve_tree(at, 1, depth, root)
-        d, node, log_beta, kt = (np.concatenate(x) for x in zip(*nodes))
+        _, nodes, logp = solve_tree(at, first, depth, shared.value)
+        d, node, log_beta, kt = (np.concatenate([np.zeros(0), *x]) if i != 1 else np.concatenate([np.zeros(0, U64), *x]) for i, x in enumerate(zip(*nodes) if nodes else [()] * 4))
         keys, n = at[depth]
         return pd.DataFrame(
             {
+                "part": np.full(len(keys) + len(d), pdf["part"].iloc[0], np.int32),
                 "d": np.concatenate([np.full(len(keys), depth), d]).astype(np.int32),
                 "key": np.concatenate([keys, node]).view(np.int64),
                 "n": np.concatenate([n, np.zeros(len(d), np.int64)]),
@@ -324,10 +366,10 @@ def train_tree(grams: DataFrame, depth: int, max_grams: int) -> str:
             }
         )
 
-    kind = "d int, key long, n long, x double, kt double"
-    top = spark.createDataFrame([(0, node, 0, log_beta, kt) for node, log_beta, kt in root_rows], kind)
+    kind = "part int, d int, key long, n long, x double, kt double"
+    above = spark.createDataFrame([(-1, d, node, 0, log_beta, kt) for d, node, log_beta, kt in rows] + [(-1, -1, parts, 0, 0.0, 0.0)], kind)
     folder = scratch_path(spark, "tree")
-    usable.groupBy("c1").applyInPandas(solved, kind).unionByName(top).write.parquet(folder)
+    levels.groupBy("part").applyInPandas(solved, kind).unionByName(above).write.partitionBy("part").parquet(folder)
     return folder
 
 
@@ -337,18 +379,26 @@ def _file_system(folder: str):
     return fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder.removeprefix("file:"))
 
 
-def build_tree(folder: str, depth: int) -> FrozenTree:
-    """Read the solved rows part by part into lookup tables."""
+def _solved_rows(folder: str, part: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """The solved rows of a part, batch by batch: ``d, key, n, x, kt``."""
     import pyarrow.dataset as ds
+    from pyarrow import fs
 
-    system, path = _file_system(folder)
-    leaves, nodes = [], {}
+    system, path = _file_system(f"{folder}/part={part}")
+    if system.get_file_info(path).type != fs.FileType.Directory:  # no sequence falls into this part
+        return
     found = ds.dataset(path, filesystem=system, format="parquet")
     for batch in found.to_batches(batch_size=1 << 16, batch_readahead=0, fragment_readahead=0, use_threads=False):
-        d, key, n, x, kt = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("d", "key", "n", "x", "kt"))
+        yield tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("d", "key", "n", "x", "kt"))
+
+
+def build_tree(folder: str, depth: int, part: int) -> FrozenTree:
+    """Read the solved rows of a part, batch by batch, into lookup tables."""
+    leaves, nodes = [], {}
+    for d, key, n, x, kt in _solved_rows(folder, part):
         leaf = d == depth
         leaves.append((key[leaf].view(U64), n[leaf], x[leaf].astype(np.float32)))
-        for k in np.unique(d[~leaf]).tolist():
+        for k in np.unique(d[~leaf & (d >= 0)]).tolist():
             at = d == k
             nodes.setdefault(k, []).append((key[at].view(U64), x[at].astype(np.float32), kt[at].astype(np.float32)))
     pa.default_memory_pool().release_unused()
@@ -356,27 +406,30 @@ def build_tree(folder: str, depth: int) -> FrozenTree:
 
 
 def freeze_tree(spark: SparkSession, folder: str, depth: int) -> str:
-    """One task builds the lookup tables and writes them as plain arrays; returns their folder.
+    """A task for each part builds its lookup tables and writes them as plain arrays; returns their folder.
 
     Workers map these files, so the workers of a machine share one copy in the page cache
-    instead of holding one each.
+    instead of holding one each, and only what lookups touch is read.
     """
     target = scratch_path(spark, "model")
+    parts = spark.read.parquet(folder).filter("part = -1 AND d = -1").first()["key"]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not len(batch):
-                continue
-            system, path = _file_system(target)
-            system.create_dir(path, recursive=True)
-            arrays = build_tree(folder, depth).arrays()
-            for name, values in arrays.items():
-                with system.open_output_stream(f"{path}/{name}.npy.part", compression=None) as out:
-                    np.save(out, values)
-                system.move(f"{path}/{name}.npy.part", f"{path}/{name}.npy")
-            yield pa.RecordBatch.from_pydict({"name": list(arrays)})
-
-    spark.range(0, 1, 1, 1).mapInArrow(write, "name string").collect()  # a name for each array
+            for part in batch.column(0).to_pylist():
+                system, path = _file_system(f"{target}/{part}")
+                system.create_dir(path, recursive=True)
+                arrays = build_tree(folder, depth, part).arrays()
+                if part < 0:
+                    arrays["parts"] = np.array([parts])
+                for name, values in arrays.items():
+                    with system.open_output_stream(f"{path}/{name}.npy.part", compression=None) as out:
+                        np.save(out, values)
+                    system.move(f"{path}/{name}.npy.part", f"{path}/{name}.npy")
+            yield pa.RecordBatch.from_pydict({"part": batch.column(0)})
+
+    tasks = min(parts + 1, 4 * spark.sparkContext.defaultParallelism)
+    spark.range(-1, parts, 1, tasks).mapInArrow(write, "part long").collect()  # a number for each part
     return target
 
 
@@ -387,28 +440,64 @@ def _mapped_file(path: str) -> np.ndarray:
         return np.load(path)
 
 
-def load_tree(target: str, depth: int) -> FrozenTree:
-    """Map a frozen model's arrays; a worker process keeps the one it used last."""
-    kept = sys.modules.setdefault("_larkspan_kept", type(sys)("_larkspan_kept")).__dict__
-    if kept.get("folder") != target:
-        import tempfile
+def _load_arrays(folder: str) -> dict[str, np.ndarray]:
+    import tempfile
 
-        from pyarrow import fs
+    from pyarrow import fs
 
+    system, path = _file_system(folder)
+    names = [x.base_name for x in system.get_file_info(fs.FileSelector(path)) if x.base_name.endswith(".npy")]
+    if isinstance(system, fs.LocalFileSystem):
+        return {n[:-4]: _mapped_file(f"{path}/{n}") for n in names}
+    with tempfile.TemporaryDirectory() as own:  # copied once a worker; the open mapping outlives the folder's name
+        arrays = {}
+        for n in names:
+            with system.open_input_stream(f"{path}/{n}") as source, open(f"{own}/{n}", "wb") as copy:
+                while part := source.read(1 << 20):
+                    copy.write(part)
+            arrays[n[:-4]] = _mapped_file(f"{own}/{n}")
+        return arrays
+
+
+class PartedTree:
+    """A frozen model in parts; a part is mapped when a sequence first falls into it."""
+
+    def __init__(self, target: str, depth: int) -> None:
+        self.target, self.depth, self.loaded = target, depth, {}
+        arrays = _load_arrays(f"{target}/-1")
+        self.parts = int(arrays["parts"][0])
+        self.top = FrozenTree.mapped(depth, arrays)
+
+    def _part(self, part: int) -> FrozenTree:
+        if part not in self.loaded:
+            tree = FrozenTree.mapped(self.depth, _load_arrays(f"{self.target}/{part}"))
+            tree.nodes |= {d: self.top.nodes[d] for d in range(top_bytes(self.depth))}
+            self.loaded[part] = tree
+        return self.loaded[part]
+
+    def _each(self, grams: np.ndarray, look: str) -> np.ndarray:
+        part = part_of(grams, self.depth, self.parts)
+        order, out = np.argsort(part, kind="stable"), np.empty(len(grams))
+        for at in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+            if len(at):
+                out[at] = getattr(self._part(int(part[at[0]])), look)(grams[at])
+        return out
+
+    def log2(self, grams: np.ndarray) -> np.ndarray:
+        """Log2 probability of the last byte of each sequence given the bytes before."""
+        return self._each(grams, "log2")
+
+    def predict(self, grams: np.ndarray) -> np.ndarray:
+        """The same by walking the trees; see ``FrozenTree.predict``."""
+        return self._each(grams, "predict")
+
+
+def load_tree(target: str, depth: int) -> PartedTree:
+    """A frozen model; a worker process keeps the one it used last."""
+    kept = sys.modules.setdefault("_larkspan_kept", type(sys)("_larkspan_kept")).__dict__
+    if kept.get("folder") != target:
         kept.clear()
-        system, path = _file_system(target)
-        names = [x.base_name for x in system.get_file_info(fs.FileSelector(path)) if x.base_name.endswith(".npy")]
-        if isinstance(system, fs.LocalFileSystem):
-            arrays = {n[:-4]: _mapped_file(f"{path}/{n}") for n in names}
-        else:  # copied once a worker; the open mapping outlives the folder's name
-            with tempfile.TemporaryDirectory() as own:
-                arrays = {}
-                for n in names:
-                    with system.open_input_stream(f"{path}/{n}") as source, open(f"{own}/{n}", "wb") as copy:
-                        while part := source.read(1 << 20):
-                            copy.write(part)
-                    arrays[n[:-4]] = _mapped_file(f"{own}/{n}")
-        kept["tree"] = FrozenTree.mapped(depth, arrays)
+        kept["tree"] = PartedTree(target, depth)
         kept["folder"] = target
     return kept["tree"]
 
@@ -416,7 +505,7 @@ def load_tree(target: str, depth: int) -> FrozenTree:
 def score_texts(
     docs: DataFrame,
     depth: int = 5,
-    max_grams: int = 6_000_000,
+    part_grams: int = 200_000,
     top_words: int = 200_000,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -431,7 +520,7 @@ def score_texts(
     total, distinct = words.agg(F.sum("n"), F.count(F.lit(1))).first()
     total = total or 0
     floor = total + distinct + 1
-    folder = freeze_tree(spark, train_tree(counts.filter("kind = 1").select("key", "n"), depth, max_grams), depth)
+    folder = freeze_tree(spark, train_tree(counts.filter("kind = 1").select("key", "n"), depth, part_grams), depth)
     bar = kth_largest(words, "n", top_words) or 0
     frequent = words.filter(F.col("n") > F.lit(bar))  # fewer than top_words rows
     listed = np.array([tuple(r) for r in frequent.collect()], np.int64).reshape(-1, 2)
@@ -440,20 +529,33 @@ def score_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, cache, (known, times) = load_tree(folder, depth), HashCache(), shared.value
-        for batch in batches:
+        for batch in (whole.slice(i, 500) for whole in batches for i in range(0, len(whole), 500)):
             row, ids = batch.column(0).to_pylist(), batch.column(1)
-            heads, rare = [], []
+            heads, rare, grams, scores, size = [], [], [], [], 0
+
+            def score() -> None:
+                """The parts are looked up for many texts at once."""
+                if grams:
+                    starts = np.cumsum([0, *map(len, grams)])[:-1]
+                    scores.extend((np.add.reduceat(tree.log2(np.concatenate(grams)), starts) * np.log10(2)).tolist())
+                    grams.clear()
+
             for i, text in enumerate(batch.column(2)):
                 found = ascii_words(text.as_py())
-                grams = byte_grams(found, depth)
+                grams.append(byte_grams(found, depth))
+                size += len(grams[-1])
                 hashed, n = np.unique(cache.array([*found, END]), return_counts=True)
                 at = np.minimum(np.searchsorted(known, hashed), max(0, len(known) - 1))
                 hit = (known[at] == hashed) if len(known) else np.zeros(len(hashed), bool)
                 base = float((n[hit] * np.log10((times[at[hit]] + 1) / floor)).sum())
-                score = float(tree.log2(grams).sum()) * np.log10(2)
-                heads.append((int(n.sum()), int(n[hit].sum()), base, score, len(grams)))
+                heads.append((int(n.sum()), int(n[hit].sum()), base, len(grams[-1])))
+                if size > 500_000:
+                    score()
+                    size = 0
                 left = ~hit
                 rare.append((np.full(int(left.sum()), row[i]), hashed[left].view(np.int64), n[left]))
+            score()
+            heads = [(*x[:3], y, x[3]) for x, y in zip(heads, scores)]
             r, h, n = (np.concatenate(x) for x in zip(*rare))
             size, few = len(row), len(r)
             none = lambda k, kind: pa.nulls(k, kind)

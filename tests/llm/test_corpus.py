@@ -356,6 +356,21 @@ def test_ctw_against_sequential_sum(spark):
     assert abs(np.exp2(tree.log2(every)).sum() - 1) < 1e-5
 
 
+def test_ctw_keeps_rare_sequences(spark):
+    """A model in many small parts holds every sequence and predicts as the whole tree does."""
+    depth, rng = 5, random.Random(3)
+    words = ["".join(rng.choice("abcde") for _ in range(rng.randrange(2, 6))).encode() for _ in range(300)]
+    grams = Counter(ctw.byte_grams(words, depth).tolist())
+    counts = spark.createDataFrame(list(grams.items()), "key long, n long")
+    few, many = (ctw.load_tree(ctw.freeze_tree(spark, ctw.train_tree(counts, depth, size), depth), depth) for size in (10**6, 20))
+    assert few is not many and many.parts == -(-len(grams) // 20) > few.parts
+    other = np.array([int.from_bytes(bytes(rng.choice(b"abcde x") for _ in range(depth + 1)), "big") for _ in range(500)], np.uint64)
+    keys = np.concatenate([np.array(list(grams), np.uint64), other])
+    assert np.abs(few.log2(keys) - many.log2(keys)).max() < 1e-4
+    assert np.abs(many.log2(keys) - many.predict(keys)).max() < 1e-3
+    assert sum(len(many._part(k).keys) for k in range(many.parts)) == len(grams)
+
+
 def test_ctw_base_and_odd_rows(spark, odd):
     rows = [(r["doc_id"], r["text"]) for r in odd.select("doc_id", "text").collect()]
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
