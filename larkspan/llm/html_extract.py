@@ -1,21 +1,21 @@
 """Main text of web pages by equivalence-class template deduction.
 
 Tokens of a page are its elements, each told apart by its path of open elements, and its
-text blocks. Over the pages of one host a token has an occurrence vector: how often it
-occurs on each page. Tokens with equal vectors form an equivalence class; a class is valid
-for the template when it occurs on enough pages. The vectors are never gathered: a token's
-vector is fingerprinted by the xor of a hash of (page, count), which adds up in partial
-aggregation, so a host with a third of all pages costs no more memory than a small one.
-
-Classes nest by their paths. The root class holds the elements that occur once on nearly
-every page; what lies between its tokens are the slots. The slot that holds the article is
-the page's container: the root-class element with the role of an article if there is one,
-else the innermost one that still holds most of the text that isn't template. Extraction
-walks each page, keeps the blocks of the container's slots and leaves out nested slots of
-other roles (menus, headers, footers, sidebars, notices, adverts, forms, comments) as well
-as template text outside an article element. A page without the container, as a host of one
-page or an odd page of a large host, falls back to its own article element or to all slots
-without such a role.
+text blocks. Over the pages of one host (pages with equal html count once) tokens that occur
+on the same pages form a class. The pages are never gathered: a class is told by its number
+of pages and two sums over a hash of them, which add up in partial aggregation, so a host
+with a third of all pages costs no more memory than a small one.
+
+A layout is the class of an element outside articles that occurs once a page on at least
+``layout`` of the host's pages; a host may have several. A text block is template if its
+class is a layout's, however often it stands on each page, or if it occurs on at least
+``support`` of the host's pages. Within an article it must also occur equally often on each
+of its pages. What lies between are the slots: extraction keeps all blocks outside template,
+but for those of elements of other roles (menus, headers, footers, sidebars, notices,
+adverts, forms, comments). Where a layout has an article element with most of its text, only
+blocks inside it count. An odd page of a host with templates falls back to its own article
+element if that holds most of its text, a host of few pages to its own article element;
+without one all slots count. A page that template would leave without text keeps it.
 
 Defined results: null or empty html gives an empty text and 0 characters; a null or
 unreadable url counts as the host ""; rows that repeat are extracted once each; torn tags
@@ -162,7 +162,7 @@ def _text_key(text: str) -> str:
 
 
 def page_tokens(pages: DataFrame) -> DataFrame:
-    """``host, page_id, token, n, mass``: element paths (mass: characters of text inside, asides left out) and text blocks."""
+    """``host, page_id, token, n, mass, whole``: element paths (mass: characters of text inside, asides left out; whole: the page's) and text blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,9 +175,10 @@ def page_tokens(pages: DataFrame) -> DataFrame:
                         while path:
                             mass[path] += len(text)
                             path = path.rpartition("/")[0]
-                rows += [(host, page, path, n, mass[path]) for path, n in opened.items()]
-                rows += [(host, page, key, n, 0) for key, n in Counter(_text_key(x[0]) for x in found).items()]
-                rows.append((host, page, "", 1, sum(len(x[0]) for x in found if not x[2])))
+                whole = sum(len(x[0]) for x in found if not x[2])
+                rows += [(host, page, path, n, mass[path], whole) for path, n in opened.items()]
+                rows += [(host, page, key, n, 0, whole) for key, n in Counter(_text_key(x[0]) for x in found).items()]
+                rows.append((host, page, "", 1, whole, whole))
                 if len(rows) > 20_000:
                     yield pack(rows)
                     rows = []
@@ -185,69 +186,80 @@ def page_tokens(pages: DataFrame) -> DataFrame:
                 yield pack(rows)
 
     def pack(rows: list) -> pa.RecordBatch:
-        kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=["host", "page_id", "token", "n", "mass"])
+        kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=["host", "page_id", "token", "n", "mass", "whole"])
 
-    return pages.select("host", "page_id", "html").mapInArrow(run, "host string, page_id long, token string, n long, mass long")
+    return pages.select("host", "page_id", "html").mapInArrow(run, "host string, page_id long, token string, n long, mass long, whole long")
 
 
-def deduce_templates(pages: DataFrame, support: float = 0.8, min_pages: int = 3) -> DataFrame:
-    """The valid classes of each host: ``host, token, class, pages, once, mass, host_pages, host_mass``.
+def deduce_templates(pages: DataFrame, support: float = 0.8, min_pages: int = 3, layout: float = 0.2, share: float = 0.6) -> DataFrame:
+    """One row per host with a template: ``t_host, containers, texts, inner``; ``pages`` has ``host, page_id, html``.
 
-    ``pages`` has ``host, page_id, html``. ``class`` is the fingerprint of the occurrence
-    vector, ``once`` whether the token occurs once on each of its pages.
+    ``containers`` are article elements with at least ``share`` of their pages' text, outermost
+    first; ``texts`` are the keys of template text blocks, ``inner`` those that are left out of articles too.
     """
-    tokens = (
-        page_tokens(pages)
-        .groupBy("host", "token")
-        .agg(
-            F.bit_xor(F.xxhash64("page_id", "n")).alias("class"),
-            F.count(F.lit(1)).alias("pages"),
-            (F.max("n") == 1).alias("once"),
-            F.sum("mass").alias("mass"),
-        )
+    # Pages with equal html are one page here; its hash is its number.
+    rows = page_tokens(pages.select("host", F.xxhash64("html").alias("page_id"), "html"))
+    rows = rows.groupBy("host", "token", "page_id").agg(*[F.max(c).alias(c) for c in ("n", "mass", "whole")])
+    once = F.col("once") & F.col("token").startswith("/")
+    hashed = F.xxhash64("page_id")
+    tokens = rows.groupBy("host", "token").agg(
+        F.count(F.lit(1)).alias("pages"),
+        F.bit_xor(hashed).alias("xor"),
+        F.sum(F.shiftright(hashed, 28)).alias("added"),
+        (F.max("n") == 1).alias("once"),
+        (F.max("n") == F.min("n")).alias("even"),
+        F.sum("mass").alias("mass"),
+        F.sum("whole").alias("whole"),
     )
     tokens = tokens.filter(F.col("pages") >= min_pages)  # on fewer pages than that nothing is template
-    tokens = materialize(tokens, "tokens")
-    hosts = tokens.filter("token = ''").select(F.col("host").alias("t_host"), F.col("pages").alias("host_pages"), F.col("mass").alias("host_mass"))
-    valid = tokens.filter("token <> ''").join(hosts, F.col("host") == F.col("t_host")).drop("t_host")
-    return valid.filter(F.col("pages") >= F.lit(support) * F.col("host_pages"))
-
-
-def templates(valid: DataFrame, share: float = 0.6) -> DataFrame:
-    """One row per host with a template: ``host, container, texts``.
-
-    The container is a root-class element: an article element if there is one, else the
-    deepest that holds at least ``share`` of the host's text. ``texts`` are the keys of
-    text blocks in the root class.
-    """
-    roots = valid.filter("once")
-    name = F.element_at(F.split(F.element_at(F.split("token", "/"), -1), r"\."), 1)
-    depth = F.size(F.split("token", "/"))
-    elements = roots.filter("token LIKE '/%'").withColumn("rank", F.struct(name.isin("article", "main").cast("int").alias("article"), depth.alias("depth"), "mass", "token"))
-    candidates = elements.filter((F.col("mass") >= F.lit(share) * F.col("host_mass")) & (F.col("mass") > 0))
-    # Several articles in one another: the outermost keeps the whole text, so depth counts only without one.
-    order = F.when(F.col("rank.article") == 1, F.struct(F.lit(1).alias("a"), (-F.col("rank.depth")).alias("d"), F.col("mass").alias("m"), "token")).otherwise(
-        F.struct(F.lit(0).alias("a"), F.col("rank.depth").alias("d"), F.col("mass").alias("m"), "token")
+    tokens = materialize(tokens.withColumn("class", F.struct("pages", "xor", "added")), "tokens")
+    hosts = tokens.filter("token = ''").select(F.col("host").alias("h_host"), F.col("pages").alias("host_pages"))
+    valid = tokens.filter("token <> ''").join(hosts, F.col("host") == F.col("h_host")).drop("h_host").filter(F.col("pages") >= F.lit(layout) * F.col("host_pages"))
+    layouts = valid.filter(once & ~F.col("token").rlike(r"/(article|main)[./]")).select(F.col("host").alias("l_host"), F.col("class").alias("l_class")).distinct()
+    texts = valid.filter("token LIKE '#%'").join(layouts, (F.col("host") == F.col("l_host")) & (F.col("class") == F.col("l_class")), "left")
+    texts = texts.filter(F.col("l_host").isNotNull() | (F.col("pages") >= F.lit(support) * F.col("host_pages")))
+    texts = texts.groupBy("host").agg(
+        F.array_sort(F.collect_set("token")).alias("texts"), F.array_sort(F.collect_set(F.when(F.col("even"), F.col("token")))).alias("inner")
     )
-    container = candidates.groupBy("host").agg(F.max_by("token", order).alias("container"))
-    texts = roots.filter("token LIKE '#%'").groupBy("host").agg(F.array_sort(F.collect_set("token")).alias("texts")).withColumnRenamed("host", "x_host")
-    return container.join(texts, F.col("host") == F.col("x_host"), "full").select(F.coalesce("host", "x_host").alias("t_host"), "container", "texts")
-
-
-def main_text(html: str | None, container: str | None = None, template_texts: frozenset = frozenset()) -> str:
-    """The page's main text; see the module's description."""
+    name = F.element_at(F.split(F.element_at(F.split("token", "/"), -1), r"\."), 1)
+    held = valid.filter(once & name.isin("article", "main") & (F.col("mass") > 0) & (F.col("mass") >= F.lit(share) * F.col("whole")))
+    # Several articles in one another: the outermost keeps the whole text.
+    ranked = F.array_sort(F.collect_set(F.struct(F.size(F.split("token", "/")).alias("depth"), F.col("token").alias("path"))))
+    held = held.groupBy(F.col("host").alias("c_host")).agg(F.transform(ranked, lambda x: x["path"]).alias("containers"))
+    found = hosts.join(held, F.col("h_host") == F.col("c_host"), "left").join(texts, F.col("h_host") == F.col("host"), "left")
+    return found.select(F.col("h_host").alias("t_host"), "containers", "texts", "inner")
+
+
+def main_text(
+    html: str | None, containers: list[str] | None = None, texts: frozenset = frozenset(), inner: frozenset = frozenset(), known: bool = False, share: float = 0.6
+) -> tuple[str, str | None]:
+    """The page's main text and the path of the innermost element that occurs once and holds it; see the module's description."""
     found, opened = blocks(html)
     slots = [x for x in found if not x[2]]
-    inside = []
-    if container and opened[container]:
+    inside, container = [], next((x for x in containers or () if opened[x] == 1), None)
+    if container:
         inside = [x for x in slots if x[1] == container or x[1].startswith(container + "/")]
     if not inside:
-        inside = [x for x in slots if x[3]] or slots
-    return " ".join(text for text, _, _, article in inside if article or _text_key(text) not in template_texts)
-
-
-def extract(pages: DataFrame, support: float = 0.8, min_pages: int = 3, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+        inside, container = [x for x in slots if x[3]], None
+        if not inside or known and sum(len(x[0]) for x in inside) < share * sum(len(x[0]) for x in slots):
+            inside = slots
+    kept = [x for x in inside if _text_key(x[0]) not in (inner if x[3] else texts)] or inside
+    if kept and container is None:
+        shared = kept[0][1].split("/")
+        for _, path, _, _ in kept:
+            parts = path.split("/")
+            same = next((i for i, (a, b) in enumerate(zip(shared, parts)) if a != b), min(len(shared), len(parts)))
+            shared = shared[:same]
+        while len(shared) > 1 and opened["/".join(shared)] != 1:
+            shared.pop()
+        container = "/".join(shared) or None
+    return " ".join(x[0] for x in kept), container
+
+
+def extract(
+    pages: DataFrame, support: float = 0.8, min_pages: int = 3, layout: float = 0.2, id_col: str = "page_id", url_col: str = "url", html_col: str = "html"
+) -> DataFrame:
     """One row per row of ``pages``: ``page_id, url, text, n_chars, host, container``."""
     base = pages.select(
         F.col(id_col).cast("long").alias("page_id"),
@@ -256,20 +268,21 @@ def extract(pages: DataFrame, support: float = 0.8, min_pages: int = 3, id_col:
         F.col(html_col).cast("string").alias("html"),
     )
     # Written first, so the planner knows its size: it goes to all tasks where small, and meets the pages in a join where not.
-    known = materialize(templates(deduce_templates(base, support, min_pages)), "templates")
+    known = materialize(deduce_templates(base, support, min_pages, layout), "templates")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [
-                main_text(html.as_py(), container.as_py(), frozenset(own.as_py() or ()))
-                for html, container, own in zip(batch.column(3), batch.column(4), batch.column(5))
+            found = [
+                main_text(html.as_py(), containers.as_py(), frozenset(texts.as_py() or ()), frozenset(inner.as_py() or ()), host.as_py() is not None)
+                for html, containers, texts, inner, host in zip(*batch.columns[3:8])
             ]
+            texts, containers = [x[0] for x in found], [x[1] for x in found]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64()), batch.column(2), batch.column(4)],
+                [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64()), batch.column(2), pa.array(containers, pa.string())],
                 names=["page_id", "url", "text", "n_chars", "host", "container"],
             )
 
-    met = base.join(known, F.col("host") == F.col("t_host"), "left").select("page_id", "url", "host", "html", "container", "texts")
+    met = base.join(known, F.col("host") == F.col("t_host"), "left").select("page_id", "url", "host", "html", "containers", "texts", "inner", "t_host")
     return met.mapInArrow(run, "page_id long, url string, text string, n_chars long, host string, container string")
 
 

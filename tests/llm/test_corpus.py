@@ -279,6 +279,17 @@ def test_html_templates(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_layouts_of_a_host(spark):
+    """Each layout has template of its own, also twice a page or inside articles; copies of a page are no template."""
+    one = '<body><div class="one"><p>Go home</p><div class="x"><p>story {}</p></div><p>Again</p><p>Again</p></div></body>'
+    two = '<body><div class="two"><p>Other lines</p><article><p>news {}</p><p>Written by us</p></article></div></body>'
+    rows = [(i, "http://two.example/", (one if i % 5 < 3 else two).format(i)) for i in range(20)]
+    rows += [(100 + i, "http://copies.example/", "<body><div><p>all the same</p></div></body>") for i in range(5)]
+    out = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(out[i] == (f"story {i}" if i % 5 < 3 else f"news {i}") for i in range(20))
+    assert all(out[100 + i] == "all the same" for i in range(5))
+
+
 # 7 exact copies
 
 
