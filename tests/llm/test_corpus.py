@@ -290,6 +290,14 @@ def test_html_layouts_of_a_host(spark):
     assert all(out[100 + i] == "all the same" for i in range(5))
 
 
+def test_html_keeps_heading_and_lead(spark):
+    page = '<body><p>Site</p><div class="post"><h1>Title {0}</h1><div class="lead">Lead {0}</div><div class="body">{1}</div></div></body>'
+    rows = [(i, "http://post.example/", page.format(i, f"body {i} " + "words " * 60)) for i in range(5)]
+    for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        i = r["page_id"]
+        assert r["text"] == f"Title {i} Lead {i} body {i} " + " ".join(["words"] * 60) and r["container"] == "/body/div.post"
+
+
 # 7 exact copies
 
 
