@@ -47,9 +47,13 @@ def mc_costly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mc_entity_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = entities(spark, sf_dir).orderBy("s_suppkey").limit(500).collect()  # a bounded cache of parameters, as the feature has it
-    sim = montecarlo.EntityNormal(tuple(r["mean"] for r in rows), tuple(r["stddev"] for r in rows))
-    return montecarlo.trials(spark, sim, 100_000, 5_000, 4).groupBy("batch").agg(F.count(F.lit(1)).alias("trials"), F.avg("value").alias("mean"))
+    """Normal draws of all suppliers in turn, by the order of their keys."""
+    ordered = entities(spark, sf_dir).select("s_suppkey", F.col("mean").cast("double"), "stddev").orderBy("s_suppkey")
+    placed = ordered.rdd.zipWithIndex().map(lambda x: (x[1], x[0]["mean"], x[0]["stddev"])).toDF("place long, mean double, stddev double")
+    known = montecarlo.EntityTable(placed, "place", ["mean", "stddev"])
+    drawn = montecarlo.trials(spark, montecarlo.Normal(0, 1), 100_000, 5_000, 4).withColumn("at", F.col("trial") % max(1, placed.count()))
+    value = F.col("mean") + F.col("stddev") * F.col("value")
+    return known.lookup(drawn, "at").groupBy("batch").agg(F.count(F.lit(1)).alias("trials"), F.avg(value).alias("mean"))
 
 
 def duplicate_entities(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -359,3 +359,16 @@ def test_streaming_gate(spark, tmp_path):
     q = out.writeStream.format("memory").queryName("gated").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {(r["symbol"], r["ts"], r["blocked"]) for r in spark.sql("SELECT * FROM gated").collect()} == {("A", t(3), True), ("A", t(40), False), ("B", t(1), False)}
+
+
+def test_all_entities_are_drawn(spark):
+    from larkspan.plans import simulation_queries as q
+
+    sf = "/root/testdata/sf0.1"
+    rows = q.entities(spark, sf).orderBy("s_suppkey").collect()
+    assert len(rows) > 500
+    sim = montecarlo.EntityNormal(tuple(float(r["mean"]) for r in rows), tuple(r["stddev"] for r in rows))
+    got = {r["batch"]: (r["trials"], r["mean"]) for r in q.mc_entity_cached(spark, sf).collect()}
+    for b in range(20):
+        want = montecarlo.run_batch(sim, 4, b, b * 5_000, (b + 1) * 5_000)
+        assert got[b][0] == 5_000 and abs(got[b][1] - sum(want) / 5_000) < 1e-9
