@@ -5,10 +5,8 @@ frames; each frame's spectrum is folded into twelve pitch classes. Sixteen filte
 areas of that image - sums that an integral image gives in four look-ups - and each filter's
 answer takes two bits of a 32-bit integer, so a recording becomes a list of integers.
 
-Two recordings are aligned by an offset histogram: every landmark (an integer together with
-the ones ``LANDMARK_GAP`` and twice as many frames later, so that unrelated recordings hardly
-ever share one) that both hold votes for the difference of its
-places. The best offset must have ``min_votes``, and the share of differing bits over the
+Two recordings are aligned by an offset histogram: every integer that both hold votes for the
+difference of its places; one integer alone, as noise seldom leaves several in a row whole. The best offset must have ``min_votes``, and the share of differing bits over the
 overlap must be at most ``max_error``.
 
 The search takes a stated set of queries. Recordings with equal fingerprints are a class
@@ -38,7 +36,7 @@ from pyspark.sql import functions as F
 from larkspan.llm.common import mix64
 from larkspan.sources import materialize, table
 
-RATE, FRAME, HOP, LANDMARK_GAP = 4000, 1024, 256, 3
+RATE, FRAME, HOP = 4000, 1024, 256
 #: (kind, lowest pitch class, classes, frames): every kind at spread-out places of the image.
 FILTERS = [(k % 4, (5 * k) % 12, 2 + k % 3, 3 + 2 * (k % 4)) for k in range(16)]
 _WIDEST = max(f[3] for f in FILTERS)
@@ -145,13 +143,8 @@ def align(a: np.ndarray, b: np.ndarray, offset: int) -> float:
 
 
 def landmarks(prints: np.ndarray) -> np.ndarray:
-    """64-bit keys of each integer and the ones ``LANDMARK_GAP`` and twice as many frames later."""
-    n = len(prints) - 2 * LANDMARK_GAP
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    x = prints.astype(np.uint64)
-    out = mix64(x[:n]) + x[LANDMARK_GAP : LANDMARK_GAP + n]
-    return mix64(mix64(out) + x[2 * LANDMARK_GAP :]).view(np.int64)
+    """64-bit keys of the integers."""
+    return mix64(prints.astype(np.uint64)).view(np.int64)
 
 
 def fingerprints(media: DataFrame, id_col: str, audio_col: str) -> DataFrame:

@@ -217,6 +217,22 @@ def test_audio_alignment(spark):
     assert audio.match_media(media.limit(0)).count() == 0
 
 
+def test_audio_recall_against_brute_force(spark):
+    """Noisy clips: nearly all pairs that alignment at every offset finds are candidates."""
+    rng, rows = np.random.default_rng(7), []
+    for i in range(40):
+        whole = melody(100 + i)
+        clip = whole[audio.HOP * 15 : audio.HOP * 15 + 4 * audio.RATE]
+        rows += [(i, whole), (1000 + i, clip + rng.normal(0, np.sqrt((clip**2).mean() / 10**1.1), len(clip)))]
+    prints = {i: audio.fingerprint(audio.write_wav(x)) for i, x in rows}
+    true = {i for i in range(40) if min(audio.align(prints[1000 + i], prints[i], o) for o in range(-20, -9)) <= 0.2}
+    frame = spark.createDataFrame([(i, [int(x) for x in p.view(np.int32)]) for i, p in prints.items()], "id long, prints array<int>")
+    found = audio.search(frame.filter("id < 1000"), frame.filter("id >= 1000")).collect()
+    hit = {r["match_id"] for r in found if r["query_id"] == 1000 + r["match_id"]}
+    print("audio recall", len(hit & true), "of", len(true))
+    assert len(true) >= 35 and len(hit & true) >= 0.95 * len(true)
+
+
 def test_audio_formats():
     x = melody(4, 3)
     slow = audio.fingerprint(audio.write_wav(x))
