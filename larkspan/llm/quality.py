@@ -133,8 +133,12 @@ def select(
 
 
 def keep_selected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` that the selection keeps; columns are those of ``docs``."""
-    kept = select(docs, labels, id_col=id_col, **options).filter("kept").select(F.col("doc_id").alias("_lk_kept")).distinct()
+    """The rows of ``docs`` that the selection keeps; columns are those of ``docs``.
+
+    The noise decides among documents with a score below 0 only: all others stay, whatever they drew.
+    """
+    chosen = select(docs, labels, id_col=id_col, **options)
+    kept = chosen.filter("kept OR (n_grams > 0 AND score >= 0)").select(F.col("doc_id").alias("_lk_kept")).distinct()
     return docs.join(kept, docs[id_col].eqNullSafe(kept["_lk_kept"]), "left_semi")
 
 

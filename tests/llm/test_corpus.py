@@ -105,6 +105,15 @@ def test_quality_against_brute_force(spark):
     assert {i for i, r in out.items() if r["kept"]} == {i for i, r in out.items() if r["key"] >= keys[24]}
 
 
+def test_quality_filter_keeps_what_the_target_explains(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{x}.parquet") for x in ("documents", "labels"))
+    chosen = quality.select(docs, labels).collect()
+    unlucky = {r["doc_id"] for r in chosen if r["n_grams"] > 0 and r["score"] >= 0 and not r["kept"]}
+    stay = {r["doc_id"] for r in quality.keep_selected(docs, labels).select("doc_id").collect()}
+    print("rejected by noise:", len(unlucky), "kept by select:", len({r["doc_id"] for r in chosen if r["kept"]}), "kept by the filter:", len(stay))
+    assert unlucky and unlucky | {r["doc_id"] for r in chosen if r["kept"]} == stay
+
+
 def test_quality_odd_rows(spark, odd):
     labels = spark.createDataFrame([(5, 1)], "doc_id long, quality int")
     out = quality.select(odd, labels)
