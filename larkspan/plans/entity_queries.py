@@ -42,6 +42,17 @@ def text_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", F.size(tokens).cast("long").alias("n_tokens"), F.sha2(F.array_join(tokens, " "), 256).alias("tokens_sha"))
 
 
+def text_normalize_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``text_normalize`` in all languages."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(tx.normalize(F.col("text")), 256).alias("normal_sha"))
+
+
+def text_tokens_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``text_tokens`` in all languages."""
+    tokens = tx.tokenize(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(tokens).cast("long").alias("n_tokens"), F.sha2(F.array_join(tokens, " "), 256).alias("tokens_sha"))
+
+
 def proper_nouns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", F.array_join(tx.proper_nouns(F.col("text")), " ").alias("nouns"))
 
@@ -115,7 +126,7 @@ def missed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        text_normalize, part_names, text_tokens, proper_nouns, block_keys, block_sizes, pair_counts, pair_score, pair_labels, token_set_ratios, record_dedup,
+        text_normalize, text_normalize_all, part_names, text_tokens, text_tokens_all, proper_nouns, block_keys, block_sizes, pair_counts, pair_score, pair_labels, token_set_ratios, record_dedup,
         entity_clusters, clusters_with_overrides, all_pairs_recall, missed_pairs,
     )
 }
@@ -196,6 +207,8 @@ ORACLES = {
     "text_normalize": f"SELECT doc_id, sha256(array_to_string({_words('text')}, ' ')) AS normal_sha FROM documents WHERE lang = 'en'",
     "part_names": f"SELECT p_partkey, array_to_string({_words('p_name')}, ' ') AS normal, array_to_string({_tokens('p_name')}, ' ') AS tokens FROM part",
     "text_tokens": f"SELECT doc_id, len({_tokens('text')}) AS n_tokens, sha256(array_to_string({_tokens('text')}, ' ')) AS tokens_sha FROM documents WHERE lang = 'en'",
+    "text_normalize_all": f"SELECT doc_id, sha256(array_to_string({_words('text')}, ' ')) AS normal_sha FROM documents",
+    "text_tokens_all": f"SELECT doc_id, len({_tokens('text')}) AS n_tokens, sha256(array_to_string({_tokens('text')}, ' ')) AS tokens_sha FROM documents",
     "proper_nouns": f"SELECT doc_id, array_to_string({_nouns('text')}, ' ') AS nouns FROM documents WHERE lang = 'en'",
     "block_keys": f"WITH {_records_sql()} SELECT id, block FROM q",
     "block_sizes": f"""WITH {_records_sql()}, s AS (SELECT block, count(*) AS n FROM q GROUP BY block)
