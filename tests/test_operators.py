@@ -372,3 +372,19 @@ def test_all_entities_are_drawn(spark):
     for b in range(20):
         want = montecarlo.run_batch(sim, 4, b, b * 5_000, (b + 1) * 5_000)
         assert got[b][0] == 5_000 and abs(got[b][1] - sum(want) / 5_000) < 1e-9
+
+
+def test_recall_truth_over_all_customers(spark, small):
+    """The join by spans finds the pairs that comparing everything finds, beyond the first 150 customers too."""
+    from larkspan.plans import entity_queries as q
+
+    def pairs(df):
+        return sorted((r["left"], r["right"], round(r["confidence"], 9)) for r in df.collect())
+
+    r = q.records(spark, "/root/testdata/sf0.01", 300)
+    want = pairs(entity.label_pairs(entity.scored_pairs(r, None, None)).filter("label = 'matched'"))
+    assert pairs(q.matched_within(r)) == want and len(want) > 150
+    whole = q.all_pairs_recall_all(spark, "/root/testdata/sf0.01").first()
+    part = q.all_pairs_recall(spark, "/root/testdata/sf0.01").first()
+    print("truth, hit, missed:", part, whole)
+    assert whole["truth_pairs"] > part["truth_pairs"] and q.missed_pairs_all(spark, "/root/testdata/sf0.01").count() == whole["missed"]
