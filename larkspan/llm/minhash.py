@@ -4,20 +4,25 @@ A document's set is its distinct word shingles as 64-bit hashes. One pass over t
 set gives the signature: the hash range is cut into ``rows * bands`` bins, each bin keeps
 its smallest hash, and an empty bin borrows from bins drawn by a fixed hash sequence until
 one is occupied (optimal densification). Each run of ``rows`` bins is a band; documents
-with an equal band share a bucket. Sets too short for signatures to be reliable are
-bucketed by an exact prefix filter instead: with hashes ordered from rare to frequent
-(counted over all short sets), two sets similar enough must share one of their first
-``n - ceil(t * n) + 1`` hashes, so a passage that many documents share makes no bucket.
+with an equal band share a bucket. All sets go this way, short ones too: their bins borrow
+most values, each drawn anew, so bands stay independent given the set. With 64 bands of 6
+two sets at a similarity of 0.75 miss each other with a probability of about 4e-6.
 
 Candidates stay linear in a bucket's size:
 
-1. documents with identical sets form a class, only its smallest id goes on;
-2. each bucket is a star: its smallest id is the hub, and every other member is verified
-   against the hub it shares most buckets with;
-3. confirmed links give components; a bucket whose members are in one component is
-   settled. In the others, members outside the bucket's largest component are verified
-   against the members of other components, so no link between documents that share a
-   bucket is lost.
+1. documents with identical sets form a class, only its smallest id goes on; band keys that
+   one class has alone are dropped before any ids move;
+2. each bucket is a star: its hub is the member found in most buckets, which is the least
+   altered one among altered copies, and every member is verified against the hub, so there
+   are never more pairs than memberships;
+3. confirmed links give components. Pairs that share a bucket but neither a hub nor a
+   component remain. They are found exactly, and by less than all pairs of a bucket: over the
+   documents of buckets with several components, shingles are ordered from rare to frequent;
+   two sets similar enough share one of their first ``n - ceil(t * n) + 1`` shingles, and its
+   place bounds what they can share beyond it. Only pairs that pass both meet in the join,
+   one side of it holding only documents outside their buckets' largest components. So a
+   passage or line that many documents share makes buckets, but no pairs, and no link
+   between documents of one bucket is lost.
 
 Every link is confirmed on the full sets: 100 * intersection >= 100 * t * union, exactly,
 in integers. Hub texts are repeated once for every ``star_rows`` members, so a hub with a
@@ -44,8 +49,6 @@ from larkspan.llm.common import U64, HashCache, ascii_words, mix64
 from larkspan.operators.graph import connected_components
 from larkspan.sources import materialize, table
 
-#: Up to this many shingles a set's signature is too coarse, and the prefix filter finds its links.
-SHORT = 128
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=U64)
 
 
@@ -89,50 +92,74 @@ def band_keys(hashes: np.ndarray, rows: int, bands: int) -> np.ndarray:
     return mix64(sums).view(np.int64)
 
 
-def sketch(docs: DataFrame, width: int, rows: int, bands: int, percent: int) -> DataFrame:
-    """``doc_id, n, digest, keys, short`` of each row of ``docs`` (columns ``doc_id, text``).
-
-    ``keys`` are the bands of sets of SHORT hashes and more, ``short`` the hashes of sets up
-    to the largest that can be similar to one of SHORT hashes.
-    """
+def sketch(docs: DataFrame, width: int, rows: int, bands: int) -> DataFrame:
+    """``doc_id, n, digest, keys`` of each row of ``docs`` (columns ``doc_id, text``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, none = HashCache(), np.zeros(0, np.int64)
-
-        def lists(arrays: list) -> pa.Array:
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
-            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([none, *arrays]), pa.int64()))
-
         for batch in batches:
             sets = [shingle_set(x.as_py(), width, cache) for x in batch.column(1)]
+            keys = [band_keys(x, rows, bands) if len(x) else none for x in sets]
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array([len(x) for x in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets], pa.binary()),
-                    lists([band_keys(x, rows, bands) if len(x) >= SHORT else none for x in sets]),
-                    lists([x.view(np.int64) if len(x) * percent <= SHORT * 100 else none for x in sets]),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([none, *keys]), pa.int64())),
                 ],
-                names=["doc_id", "n", "digest", "keys", "short"],
+                names=["doc_id", "n", "digest", "keys"],
             )
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, digest binary, keys array<long>, short array<long>")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, digest binary, keys array<long>")
+
+
+def shingles(docs: DataFrame, width: int, most: int = 200_000) -> DataFrame:
+    """``doc_id, g``: the shingle hashes of each row of ``docs`` (columns ``doc_id, text``); a batch ends with the text that fills it."""
+    kind = docs.schema["doc_id"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = HashCache()
+        for batch in batches:
+            at, held, size = [], [], 0
+            for i, text in enumerate(batch.column(1)):
+                held.append(shingle_set(text.as_py(), width, cache).view(np.int64))
+                at.append(np.full(len(held[-1]), i))
+                size += len(held[-1])
+                if size >= most or i + 1 == len(batch):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(at))), pa.array(np.concatenate(held))], names=["doc_id", "g"])
+                    at, held, size = [], [], 0
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind.simpleString()}, g long")
+
 
+def remaining_pairs(open_docs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """All pairs ``a, b`` that may be similar of ``open_docs`` (``doc_id, n, c, stray``), one of them a stray, the components different.
 
-def prefix_buckets(reps: DataFrame, percent: int) -> DataFrame:
-    """``key, doc_id, n`` for the rarest hashes of short sets; hashes that one set has alone make no bucket."""
-    each = reps.select(F.explode("short").alias("g"), "doc_id", "n")
+    A prefix filter with places: shingles that one set has alone come first in its order and meet nothing.
+    """
+    wanted = open_docs.select(F.col("doc_id").alias("w_id"), "n", "c", "stray")
+    each = materialize(shingles(texts.join(wanted.select("w_id"), F.col("doc_id") == F.col("w_id"), "left_semi"), width), "shingles")
     common = each.groupBy("g").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select(F.col("g").alias("c_g"), "df")
-    met = each.join(common, F.col("g") == F.col("c_g"))
-    own = Window.partitionBy("doc_id")  # at most 4/3 * SHORT rows
-    rank = F.row_number().over(own.orderBy("df", "g"))
-    alone = F.col("n") - F.count(F.lit(1)).over(own)
-    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    ranked = met.select("g", "doc_id", "n", (rank + alone).alias("rank"), prefix.alias("prefix"))
-    return ranked.filter("rank <= prefix").select(F.xxhash64("g").alias("key"), "doc_id", "n")
+    met = each.join(materialize(common, "common"), F.col("g") == F.col("c_g")).select("doc_id", "g", "df")
+    met = met.join(wanted, F.col("doc_id") == F.col("w_id")).select("doc_id", "n", "c", "stray", "g", "df")
+    own = Window.partitionBy("doc_id")
+    place = F.row_number().over(own.orderBy("df", "g")) - 1 + F.col("n") - F.count(F.lit(1)).over(own)
+    index = met.select("g", "doc_id", "n", "c", "stray", place.alias("at")).filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100))
+    index = materialize(index, "prefixes")
+    x = index.filter("stray").select(*[F.col(k).alias(f"x_{k}") for k in ("g", "doc_id", "n", "c", "at")])
+    most = F.least(F.col("n") - F.col("at"), F.col("x_n") - F.col("x_at"))  # what the sets can share from here on
+    pairs = x.join(
+        index,
+        (F.col("x_g") == F.col("g"))
+        & (F.col("x_c") != F.col("c"))
+        & (~F.col("stray") | (F.col("x_doc_id") < F.col("doc_id")))
+        & (most * 100 >= (F.col("n") + F.col("x_n") - most) * percent),
+    )
+    return pairs.select(F.col("doc_id").alias("a"), F.col("x_doc_id").alias("b")).distinct()
 
 
-def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int, star_rows: int = 400) -> DataFrame:
+def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int, star_rows: int = 64) -> DataFrame:
     """The pairs ``(a, b)`` whose full sets are similar; ``a`` should be the side that repeats."""
     spread = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(star_rows)).cast("int").alias("parts")).select(F.col("a").alias("h"), "parts")
     keyed = pairs.join(spread, F.col("a") == F.col("h")).select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
@@ -166,49 +193,45 @@ def near_duplicates(
     docs: DataFrame,
     width: int = 5,
     percent: int = 75,
-    rows: int = 7,
-    bands: int = 128,
+    rows: int = 6,
+    bands: int = 64,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id, kept``."""
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sets = materialize(sketch(slim, width, rows, bands, percent), "sketches")
+    sets = materialize(sketch(slim, width, rows, bands), "sketches")
     classes = sets.filter("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    reps = sets.join(classes.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").select("doc_id", "n", "keys", "short")
-    reps = reps.dropDuplicates(["doc_id"])
-    bands_of = reps.select(F.explode("keys").alias("key"), "doc_id", "n")
-    member = bands_of.unionByName(prefix_buckets(reps, percent))
-    shared = member.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    shared = shared.select(F.col("key").alias("s_key"), F.col("hub"), "size")
-    member = materialize(member.join(shared, F.col("key") == F.col("s_key")).select("key", "doc_id", "n", "hub"), "buckets")
-    fits = lambda x, y: (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
-    hubs = member.filter("doc_id = hub").select(F.col("key").alias("h_key"), F.col("n").alias("hub_n"))
-    stars = member.filter("doc_id <> hub").join(hubs, F.col("key") == F.col("h_key")).filter(fits("n", "hub_n"))
-    best = stars.groupBy("doc_id", "hub").agg(F.count(F.lit(1)).alias("n")).groupBy("doc_id").agg(F.max_by("hub", F.struct("n", "hub")).alias("a"))
-    first = materialize(best.select("a", F.col("doc_id").alias("b")), "stars")
-    wanted = member.select("doc_id").distinct().withColumnRenamed("doc_id", "w_id")
-    texts = materialize(slim.join(wanted, F.col("doc_id") == F.col("w_id"), "left_semi"), "texts")
-    links = materialize(verify(first, texts, width, percent), "links")
+    classes = materialize(classes, "classes")
+    reps = sets.join(classes.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi")
+    each = reps.select(F.explode("keys").alias("key"), "doc_id", "n")
+    shared = each.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
+    # Written first: the joins below then have a shuffle of their own on either side, which lets hot keys be split.
+    shared = materialize(shared.select(F.col("key").alias("s_key")), "keys")
+    member = materialize(each.join(shared, F.col("key") == F.col("s_key"), "left_semi").distinct(), "members")
+
+    weight = member.groupBy("doc_id").agg(F.count(F.lit(1)).alias("w")).select(F.col("doc_id").alias("w_id"), "w")
+    weighed = member.join(weight, F.col("doc_id") == F.col("w_id"))
+    hubs = weighed.groupBy("key").agg(F.max(F.struct("w", F.xxhash64("doc_id").alias("h"), "doc_id", "n")).alias("m"), F.count(F.lit(1)).alias("size"))
+    hubs = materialize(hubs.select(F.col("key").alias("h_key"), F.col("m.doc_id").alias("hub"), F.col("m.n").alias("hub_n"), "size"), "hubs")
+    fits = (F.col("n") * 100 >= F.col("hub_n") * percent) & (F.col("hub_n") * 100 >= F.col("n") * percent)
+    stars = member.join(hubs, F.col("key") == F.col("h_key")).filter((F.col("doc_id") != F.col("hub")) & fits)
+    stars = materialize(stars.select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct(), "stars")
+    wanted = weight.select("w_id")
+    texts = materialize(slim.join(wanted, F.col("doc_id") == F.col("w_id"), "left_semi").dropDuplicates(["doc_id"]), "texts")
+    links = materialize(verify(stars, texts, width, percent), "links")
     component = materialize(connected_components(links, "a", "b"), "components")
 
     labels = component.select(F.col("node").alias("l_id"), "component")
-    labelled = member.select("key", "doc_id", "n").join(labels, F.col("doc_id") == F.col("l_id"), "left")
-    labelled = labelled.select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
-    counts = labelled.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
-    settled = counts.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    open_ = materialize(labelled.join(settled.select(F.col("key").alias("o_key"), "main"), F.col("key") == F.col("o_key")).drop("o_key"), "open")
-    x = open_.filter("c <> main").select(F.col("key").alias("x_key"), F.col("doc_id").alias("x"), F.col("n").alias("x_n"), F.col("c").alias("x_c"))
-    y = open_.select("key", F.col("doc_id").alias("y"), F.col("n").alias("y_n"), F.col("c").alias("y_c"), "main")
-    cross = (
-        x.join(y, (F.col("x_key") == F.col("key")) & (F.col("x_c") != F.col("y_c")) & ((F.col("x") < F.col("y")) | (F.col("y_c") == F.col("main"))) & fits("x_n", "y_n"))
-        .select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
-        .distinct()
-    )
-    tried = first.select(F.greatest("a", "b").alias("t_a"), F.least("a", "b").alias("t_b"))
-    cross = materialize(cross.join(tried, (F.col("a") == F.col("t_a")) & (F.col("b") == F.col("t_b")), "left_anti"), "cross")
-    if not cross.isEmpty():
-        more = materialize(verify(cross, texts, width, percent), "links")
+    labelled = member.join(labels, F.col("doc_id") == F.col("l_id"), "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
+    labelled = materialize(labelled, "labelled")
+    parts = labelled.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"))
+    unsettled = parts.groupBy("key").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count(F.lit(1)).alias("cs"), F.sum("m").alias("size"))
+    unsettled = materialize(unsettled.filter("cs > 1 AND size > 2").select(F.col("key").alias("u_key"), "main"), "unsettled")
+    open_docs = labelled.join(unsettled, F.col("key") == F.col("u_key")).groupBy("doc_id").agg(F.first("n").alias("n"), F.first("c").alias("c"), F.max(F.col("c") != F.col("main")).alias("stray"))
+    open_docs = materialize(open_docs, "open")
+    if not open_docs.isEmpty():
+        more = materialize(verify(remaining_pairs(open_docs, texts, width, percent), texts, width, percent), "links")
         if not more.isEmpty():
             component = materialize(connected_components(links.unionByName(more), "a", "b"), "components")
 

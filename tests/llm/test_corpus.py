@@ -183,6 +183,48 @@ def test_near_duplicates_against_brute_force(spark, seed):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in out)
 
 
+def test_near_duplicates_in_hot_groups(spark):
+    """Altered copies on both sides of the threshold, and a passage that makes up most of many texts: buckets with several components."""
+    rng = random.Random(5)
+    base, passage, rows = [f"b{i}" for i in range(140)], [f"p{i}" for i in range(90)], []
+    for k in range(150):
+        w = list(base)
+        for _ in range(k % 10):
+            w[rng.randrange(len(w))] = f"m{rng.randrange(300)}"
+        rows.append(" ".join(w))
+        rows.append(" ".join([f"h{k}x{i}" for i in range(k % 40)] + passage + [f"t{k}x{i}" for i in range(k // 4)]))
+    rows = list(enumerate(rows))
+    out = minhash.near_duplicates(docs_of(spark, [(i, t, "en", "s") for i, t in rows])).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == brute_components(rows)
+
+
+def test_remaining_pairs_lose_none(spark):
+    """The exact step by itself: no hubs, every document a component of its own."""
+    rows = [(i, t) for i, t in planted(random.Random(3)) if t]
+    sets = {i: shingles(t) for i, t in rows}
+    texts = docs_of(spark, [(i, t, "en", "s") for i, t in rows]).select("doc_id", "text")
+    open_docs = spark.createDataFrame([(i, len(x), i, i % 3 != 0) for i, x in sets.items()], "doc_id long, n long, c long, stray boolean")
+    found = {tuple(sorted((r["a"], r["b"]))) for r in minhash.remaining_pairs(open_docs, texts, 5, 75).collect()}
+    want = {
+        (i, j) for i, j in itertools.combinations(sorted(sets), 2)
+        if (i % 3 or j % 3) and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])
+    }
+    assert want and want <= found and len(found) < 2 * len(want) + 50
+
+
+@pytest.mark.parametrize("n", [7, 30, 128, 200, 400, 2000])
+def test_bands_at_the_threshold(n):
+    """Pairs with a similarity of 0.75 to 0.80 share a band, whatever the sets' size: 400 pairs each, none missed."""
+    rng = np.random.default_rng(n)
+    missed = 0
+    for _ in range(400):
+        both = int(np.ceil(0.75 * n))
+        x = rng.integers(0, 2**64, n, dtype=np.uint64)
+        a, b = np.sort(x[:both]), np.sort(x[:n])  # |a & b| / |a | b| = both / n
+        missed += not (minhash.band_keys(a, 6, 64) == minhash.band_keys(b, 6, 64)).any()
+    assert missed == 0
+
+
 def test_near_duplicates_odd_rows(spark, odd):
     out = minhash.near_duplicates(odd).collect()
     assert len(out) == odd.count()
