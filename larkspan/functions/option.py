@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,26 +14,54 @@ from pyspark.sql.types import DoubleType
 from larkspan.functions.text import let
 
 IV_LOW, IV_HIGH, IV_STEPS = 1e-4, 10.0, 30
-ERF_TERMS = 100
 _INTRINSIC_SLACK = 1e-6
+# Coefficients of Cody's rational Chebyshev approximations of erf and erfc (Math. Comp. 23, 1969), by range of |x|.
+_NEAR = (
+    (1.85777706184603153e-1, 3.16112374387056560, 1.13864154151050156e2, 3.77485237685302021e2, 3.20937758913846947e3),
+    (1.0, 2.36012909523441209e1, 2.44024637934444173e2, 1.28261652607737228e3, 2.84423683343917062e3),
+)
+_MIDDLE = (
+    (2.15311535474403846e-8, 5.64188496988670089e-1, 8.88314979438837594, 6.61191906371416295e1, 2.98635138197400131e2, 8.81952221241769090e2, 1.71204761263407058e3, 2.05107837782607147e3, 1.23033935479799725e3),
+    (1.0, 1.57449261107098347e1, 1.17693950891312499e2, 5.37181101862009858e2, 1.62138957456669019e3, 3.29079923573345963e3, 4.36261909014324716e3, 3.43936767414372164e3, 1.23033935480374942e3),
+)
+_FAR = (
+    (1.63153871373020978e-2, 3.05326634961232344e-1, 3.60344899949804439e-1, 1.25781726111229246e-1, 1.60837851487422766e-2, 6.58749161529837803e-4),
+    (1.0, 2.56852019228982242, 1.87295284992346047, 5.27905102951428412e-1, 6.05183413124413191e-2, 2.33520497626869185e-3),
+)
+_NEAR_END, _MIDDLE_END, _FAR_END = 0.46875, 4.0, 6.0
+
+
+def _quotient(ranges: tuple, x):
+    """The quotient of two polynomials, highest power first; ``x`` is a column or an array."""
+    above, below = (reduce(lambda total, c: total * x + c, more, first) for first, *more in ranges)
+    return above / below
 
 
 def erf(x: Column) -> Column:
-    """The error function by its all-positive series; beyond 6 it is 1 to double precision."""
-    return let(x.cast("double"), _erf)
+    """The error function to double precision; beyond 6 it is 1."""
+    return let(x.cast("double"), lambda v: let(F.least(F.abs(v), F.lit(_FAR_END)), lambda z: F.signum(v) * _erf(z)))
 
 
-def _erf(x: Column) -> Column:
-    return let(F.least(F.abs(x), F.lit(6.0)), lambda z: F.signum(x) * F.when(z >= 6, 1.0).otherwise(_erf_series(z)))
+def _erf(z: Column) -> Column:
+    near = let(z * z, lambda q: z * _quotient(_NEAR, q))
+    middle = 1 - F.exp(-z * z) * _quotient(_MIDDLE, z)
+    far = let(1 / (z * z), lambda q: 1 - F.exp(-z * z) / z * (F.lit(1 / math.sqrt(math.pi)) - q * _quotient(_FAR, q)))
+    return F.when(z <= _NEAR_END, near).when(z <= _MIDDLE_END, middle).when(z < _FAR_END, far).otherwise(z * 0 + 1)
 
 
-def _erf_series(z: Column) -> Column:
-    def step(acc: Column, n: Column) -> Column:
-        term = acc["term"] * 2 * z * z / (2 * n + 1)
-        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
-
-    series = F.aggregate(F.sequence(F.lit(1), F.lit(ERF_TERMS)), F.struct(z.alias("term"), z.alias("total")), step, lambda acc: acc["total"])
-    return F.lit(2 / math.sqrt(math.pi)) * F.exp(-z * z) * series
+def erf_array(x: np.ndarray) -> np.ndarray:
+    """``erf`` of an array."""
+    z = np.abs(x)
+    out = np.ones(len(z))
+    out[np.isnan(z)] = np.nan
+    at = z <= _NEAR_END
+    out[at] = z[at] * _quotient(_NEAR, z[at] ** 2)
+    at = (z > _NEAR_END) & (z <= _MIDDLE_END)
+    out[at] = 1 - np.exp(-z[at] ** 2) * _quotient(_MIDDLE, z[at])
+    at = (z > _MIDDLE_END) & (z < _FAR_END)
+    q = z[at] ** -2.0
+    out[at] = 1 - np.exp(-z[at] ** 2) / z[at] * (1 / math.sqrt(math.pi) - q * _quotient(_FAR, q))
+    return np.copysign(out, x)
 
 
 def norm_cdf(x: Column) -> Column:
@@ -100,9 +129,8 @@ def implied_vol_arrow(price_: Column, spot: Column, strike: Column, years: Colum
     usable = (price_ > 0) & (years > 0) & (spot > 0) & (strike > 0) & (price_ >= intrinsic(spot, strike, call) - _INTRINSIC_SLACK)
 
     def value(s: np.ndarray, k: np.ndarray, t: np.ndarray, v: np.ndarray, sign: np.ndarray) -> np.ndarray:
-        erf_of = np.frompyfunc(math.erf, 1, 1)
         a = (np.log(s / k) + (rate + v * v / 2) * t) / (v * np.sqrt(t))
-        cdf = lambda x: 0.5 * (1 + erf_of(x / math.sqrt(2)).astype(np.float64))
+        cdf = lambda x: 0.5 * (1 + erf_array(x / math.sqrt(2)))
         return sign * (s * cdf(sign * a) - k * np.exp(-rate * t) * cdf(sign * (a - v * np.sqrt(t))))
 
     @F.pandas_udf(DoubleType())

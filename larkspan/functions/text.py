@@ -7,7 +7,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
@@ -19,7 +20,7 @@ OPENERS = [
     "Could", "Would", "Might", "Shall", "Has", "The", "Over", "Under", "Yes", "This", "That", "Their", "There",
 ]
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-NOUN_PATTERN = r"\b([A-Z][A-Za-z]{3,})\b"
+NOUN_PATTERN = r"(?U)\b([A-Z][A-Za-z]{3,})\b"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -156,20 +157,62 @@ def token_set_ratio(a: Column, b: Column) -> Column:
     return let(token_set_parts(a, b), lambda x: ratio_of_parts(x, lcs_length(x["a"], x["b"])))
 
 
-@F.pandas_udf(IntegerType())
-def lcs_arrow(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Longest common subsequence in Arrow batches, for joins that score millions of pairs: bit-parallel over Python's integers."""
+def _code_points(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All characters of an array of strings in a row (null: none), and where each string's begin and end."""
+    strings = pa.array(strings.fill_null(""), pa.large_string()) if strings.null_count else strings.cast(pa.large_string())
+    ends = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset : strings.offset + len(strings) + 1]
+    raw = np.frombuffer(strings.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    at = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])[ends - ends[0]]
+    return np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32), at
 
-    def one(x: str, y: str) -> int:
-        if not x or not y:
-            return 0
-        masks: dict[str, int] = {}
-        for i, c in enumerate(x):
-            masks[c] = masks.get(c, 0) | 1 << i
-        rest = full = (1 << len(x)) - 1
-        for c in y:
-            u = rest & masks.get(c, 0)
-            rest = ((rest + u) | (rest - u)) & full
-        return len(x) - rest.bit_count()
 
-    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="int32")
+def _padded(chars: np.ndarray, at: np.ndarray, rows: np.ndarray, fill: int) -> np.ndarray:
+    """The strings of ``rows`` as a matrix, one row each."""
+    size = (at[1:] - at[:-1])[rows]
+    places = np.arange(size.max(initial=0))
+    out = chars[np.minimum(at[:-1][rows][:, None] + places, len(chars) - 1)] if len(chars) else np.zeros((len(rows), 0), np.uint32)
+    return np.where(places < size[:, None], out, np.uint32(fill))
+
+
+def lcs_lengths(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Longest common subsequences of two arrays of strings, all pairs at once.
+
+    Bit-parallel: one 64-bit word a pair is the row of the dynamic program, and each step takes
+    a character of every pair. Pairs whose shorter string has over 63 characters go one by one,
+    over Python's long integers.
+    """
+    (chars_a, at_a), (chars_b, at_b) = _code_points(a), _code_points(b)
+    size_a, size_b = np.diff(at_a), np.diff(at_b)
+    out = np.zeros(len(size_a), np.int32)
+    shorter = np.minimum(size_a, size_b)
+    for swap in (False, True):
+        sides = ((chars_b, at_b), (chars_a, at_a)) if swap else ((chars_a, at_a), (chars_b, at_b))
+        rows = np.flatnonzero((shorter > 0) & (shorter < 64) & ((size_a > size_b) == swap))
+        if not len(rows):
+            continue
+        x, y = _padded(*sides[0], rows, 0xFFFFFFFF), _padded(*sides[1], rows, 0xFFFFFFFE)
+        bits = np.uint64(1) << np.arange(x.shape[1], dtype=np.uint64)
+        full = (np.uint64(1) << shorter[rows].astype(np.uint64)) - np.uint64(1)
+        row = full.copy()
+        for j in range(y.shape[1]):
+            met = row & ((x == y[:, j, None]) @ bits)
+            row = ((row + met) | (row - met)) & full
+        out[rows] = shorter[rows] - np.bitwise_count(row)
+    for i in np.flatnonzero(shorter >= 64):
+        out[i] = _lcs_long(chars_a[at_a[i] : at_a[i + 1]].tolist(), chars_b[at_b[i] : at_b[i + 1]].tolist())
+    return out
+
+
+def _lcs_long(x: list[int], y: list[int]) -> int:
+    masks: dict[int, int] = {}
+    for i, c in enumerate(x):
+        masks[c] = masks.get(c, 0) | 1 << i
+    row = full = (1 << len(x)) - 1
+    for c in y:
+        met = row & masks.get(c, 0)
+        row = ((row + met) | (row - met)) & full
+    return len(x) - row.bit_count()
+
+
+#: ``lcs_length`` in Arrow batches, for joins that score millions of pairs. Marked as not deterministic so the planner calls it once a pair.
+lcs_arrow = F.arrow_udf(lambda a, b: pa.array(lcs_lengths(a, b)), IntegerType()).asNondeterministic()

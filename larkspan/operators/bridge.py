@@ -44,7 +44,8 @@ def capped_factors(factors: DataFrame, caps: Caps | None = None) -> DataFrame:
     caps = caps or Caps()
     own = Window.partitionBy("event_id", "category")
     event = Window.partitionBy("event_id")
-    f = factors.withColumn("_one", clamp(F.col("delta"), -caps.per_factor, caps.per_factor))
+    # One shuffle by event: it also brings each category of an event together, for all windows below and the sums of ``adjust``.
+    f = factors.repartition("event_id").withColumn("_one", clamp(F.col("delta"), -caps.per_factor, caps.per_factor))
     f = f.withColumn("factor_capped", F.col("_one") != F.col("delta"))
     f = f.withColumn("_sum", F.when(F.col("category").isNotNull(), F.round(F.sum("_one").over(own), 12)))
     f = f.withColumn("category_capped", F.coalesce(F.abs("_sum") > caps.per_category, F.lit(False)))

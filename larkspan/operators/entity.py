@@ -68,6 +68,14 @@ def block_size_report(records: DataFrame, blocker: Callable[[DataFrame], Column]
     )
 
 
+def _where(df: DataFrame, name: str, value: Column, test: Callable[[Column], Column]) -> DataFrame:
+    """The rows of ``df`` whose ``value`` passes ``test``, with it as column ``name``.
+
+    A filter over a projection would move below it and evaluate the value there once more.
+    """
+    return df.select("*", F.explode(F.filter(F.array(value), test)).alias(name))
+
+
 @dataclass(frozen=True)
 class Scorer:
     """Weights and limits of the composite score; ``max_days`` None leaves time out (weights stay as they are)."""
@@ -87,15 +95,13 @@ class Scorer:
             raise ValueError("max_days must be positive or None")
 
     def prepare(self, records: DataFrame) -> DataFrame:
-        """``records`` with ``_words`` (normalised, in order) and ``_nouns``."""
-        return records.withColumn("_words", tx.words(F.col("text"))).withColumn("_nouns", tx.proper_nouns(F.col("text")))
+        """``records`` with ``_set`` (normalised words, sorted, each once) and ``_nouns``."""
+        return records.withColumn("_set", F.array_sort(F.array_distinct(tx.words(F.col("text"))))).withColumn("_nouns", tx.proper_nouns(F.col("text")))
 
     def score(self, pairs: DataFrame) -> DataFrame:
         """Pairs with sides ``a`` and ``b`` (prepared records as structs) that pass all tests, with the score's parts."""
-        words_a, words_b = F.col("a._words"), F.col("b._words")
+        words_a, words_b = F.col("a._set"), F.col("b._set")
         near = pairs.filter((F.size(words_a) > 0) & (F.size(words_b) > 0))
-        near = near.withColumn("jaccard", tx.jaccard(F.array_distinct(words_a), F.array_distinct(words_b)))
-        near = near.filter(F.col("jaccard") >= self.min_jaccard)
         if self.max_days is None:
             near = near.withColumn("days", F.lit(None).cast("double"))
             time_term = F.lit(0.0)
@@ -103,10 +109,18 @@ class Scorer:
             near = near.withColumn("days", F.abs(F.unix_micros(F.col("a.ts").cast("timestamp")) - F.unix_micros(F.col("b.ts").cast("timestamp"))) / F.lit(86_400_000_000.0))
             near = near.filter(F.col("days") <= self.max_days)
             time_term = 1 - F.col("days") / F.lit(self.max_days)
-        near = near.withColumn("_parts", tx.token_set_parts(F.array_join(words_a, " "), F.array_join(words_b, " ")))
-        # No subsequence is longer than the shorter rest: most pairs fail on that bound, before any is computed.
-        bound = tx.ratio_of_parts(F.col("_parts"), F.least(F.length("_parts.a"), F.length("_parts.b")))
-        near = near.filter(bound >= self.min_fuzz).withColumn("_lcs", tx.lcs_arrow(F.col("_parts.a"), F.col("_parts.b")))
+
+        def similarity(common: Column) -> Column:
+            return F.size(common) / (F.size(words_a) + F.size(words_b) - F.size(common))
+
+        # The sets are sorted, and so are intersections and differences: they keep the order of the first.
+        near = _where(near, "_common", F.array_intersect(words_a, words_b), lambda x: similarity(x) >= self.min_jaccard)
+        near = near.withColumn("jaccard", similarity(F.col("_common")))
+        rest = lambda x, y: F.array_join(F.array_except(x, y), " ")
+        parts = F.struct(F.array_join("_common", " ").alias("i"), rest(words_a, words_b).alias("a"), rest(words_b, words_a).alias("b"), F.lit(False).alias("empty"))
+        # No subsequence is longer than the shorter rest: pairs that fail on that bound need none.
+        near = _where(near, "_parts", parts, lambda x: tx.ratio_of_parts(x, F.least(F.length(x["a"]), F.length(x["b"]))) >= self.min_fuzz)
+        near = near.withColumn("_lcs", tx.lcs_arrow(F.col("_parts.a"), F.col("_parts.b")))
         near = near.withColumn("fuzz", tx.ratio_of_parts(F.col("_parts"), F.col("_lcs"))).filter(F.col("fuzz") >= self.min_fuzz)
         near = near.withColumn("noun_diff", tx.symmetric_difference_size(F.col("a._nouns"), F.col("b._nouns")))
         bonus = F.when(F.abs(F.col("a.value") - F.col("b.value")) <= self.value_tolerance, self.value_bonus).otherwise(0.0)
@@ -115,12 +129,17 @@ class Scorer:
         return near.withColumn("confidence", F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)))
 
 
-def candidate_pairs(records: DataFrame, blocker: Callable[[DataFrame], Column] | None, cross_source: bool = True) -> DataFrame:
-    """``a, b``: all ordered pairs of a block as structs; without a blocker, of everything (for recall checks of small sets)."""
+def candidate_pairs(records: DataFrame, blocker: Callable[[DataFrame], Column] | None, cross_source: bool = True, salts: int = 8) -> DataFrame:
+    """``a, b``: all ordered pairs of a block as structs; without a blocker, of everything (for recall checks of small sets).
+
+    A block's pairs are dealt to ``salts`` keys: one side is spread over them, the other repeated, so a
+    large block isn't one task's work.
+    """
     sides = records.withColumn("block", blocker(records) if blocker else F.lit(""))
     row = F.struct(*[F.col(c) for c in records.columns])
-    a, b = sides.select("block", row.alias("a")), sides.select(F.col("block").alias("b_block"), row.alias("b"))
-    on = (F.col("block") == F.col("b_block")) & (F.col("a.idx") < F.col("b.idx"))
+    a = sides.select("block", F.explode(F.array(*[F.lit(i) for i in range(salts)])).alias("salt"), row.alias("a"))
+    b = sides.select(F.col("block").alias("b_block"), F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("b_salt"), row.alias("b"))
+    on = (F.col("block") == F.col("b_block")) & (F.col("salt") == F.col("b_salt")) & (F.col("a.idx") < F.col("b.idx"))
     if cross_source:
         on = on & (F.col("a.source") != F.col("b.source"))
     return a.join(b, on).select("a", "b")

@@ -90,7 +90,9 @@ def with_replacement(trades: DataFrame, config: WashConfig | None = None, open_p
     frame = Window.partitionBy("symbol", "chain_account").orderBy("day").rangeBetween(-w if config.symmetric else 0, w)
     counted = axis.withColumn("n", F.sum("bought").over(frame)).filter("bought = 0")
     own = F.datediff(F.col("row.closed"), F.col("row.opened")) <= (w if config.symmetric else 0)
-    return counted.select("row.*", "chain_account", (F.col("n") - own.cast("int") >= 1).alias("replaced"))
+    # The key column itself, not the row's copy of it: what follows by key then needs no second shuffle.
+    own_columns = [F.col(c) if c == "symbol" else F.col("row")[c].alias(c) for c in trades.columns]
+    return counted.select(*own_columns, "chain_account", (F.col("n") - own.cast("int") >= 1).alias("replaced"))
 
 
 def apply_wash_sales(

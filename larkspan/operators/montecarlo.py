@@ -9,6 +9,7 @@ start, stop)`` returning an array where it can be vectorised.
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any, Protocol
@@ -22,38 +23,43 @@ from larkspan.operators.checks import require_columns
 
 
 class Reducer(Protocol):
-    """Folds batches of results: ``initial``, ``add(acc, results, batch)``, ``finalize(acc)``."""
+    """What becomes of results: each batch's are folded where they were drawn, and the parts meet in batch order."""
 
-    def initial(self) -> Any: ...
-    def add(self, acc: Any, results: list, batch: int) -> Any: ...
-    def finalize(self, acc: Any) -> Any: ...
+    def partial(self, results: list, batch: int) -> Any:
+        """The picklable part of one batch; runs in the worker that drew it."""
+
+    def merge(self, left: Any, right: Any) -> Any:
+        """Two neighbouring parts as one; ``left`` has the earlier batches."""
+
+    def finalize(self, part: Any) -> Any:
+        """The value of all parts, or of None if there was no batch."""
 
 
 class CollectReducer:
-    """All results in trial order, whatever the order in which batches come."""
+    """All results in trial order; the whole list comes to the driver."""
 
-    def initial(self) -> dict:
-        return {}
+    def partial(self, results: list, batch: int) -> list:
+        return list(results)
 
-    def add(self, acc: dict, results: list, batch: int) -> dict:
-        acc[batch] = list(results)
-        return acc
+    def merge(self, left: list, right: list) -> list:
+        left.extend(right)
+        return left
 
-    def finalize(self, acc: dict) -> list:
-        return [x for batch in sorted(acc) for x in acc[batch]]
+    def finalize(self, part: list | None) -> list:
+        return [] if part is None else part
 
 
 class MeanReducer:
-    """The mean of numeric results."""
+    """The mean of numeric results, None of no results."""
 
-    def initial(self) -> tuple[int, float]:
-        return (0, 0.0)
+    def partial(self, results: list, batch: int) -> tuple[int, float]:
+        return len(results), math.fsum(results)
 
-    def add(self, acc: tuple[int, float], results: list, batch: int) -> tuple[int, float]:
-        return (acc[0] + len(results), acc[1] + math.fsum(results))
+    def merge(self, left: tuple[int, float], right: tuple[int, float]) -> tuple[int, float]:
+        return left[0] + right[0], left[1] + right[1]
 
-    def finalize(self, acc: tuple[int, float]) -> float | None:
-        return acc[1] / acc[0] if acc[0] else None
+    def finalize(self, part: tuple[int, float] | None) -> float | None:
+        return part[1] / part[0] if part and part[0] else None
 
 
 @dataclass(frozen=True)
@@ -73,11 +79,14 @@ def _check(n_trials: int, batch_size: int) -> int:
     return -(-n_trials // batch_size)
 
 
-def batch_bounds(spark: SparkSession, n_trials: int, batch_size: int) -> DataFrame:
-    """``batch, start, stop``: half-open ranges of trials, the last one short."""
+def batch_bounds(spark: SparkSession, n_trials: int, batch_size: int, first: int = 0, last: int | None = None) -> DataFrame:
+    """``batch, start, stop``: half-open ranges of trials, the last one short; batches ``first`` to ``last`` in contiguous partitions."""
     count = _check(n_trials, batch_size)
+    last = count if last is None else min(last, count)
     start = F.col("id") * batch_size
-    return spark.range(count).select(F.col("id").alias("batch"), start.alias("start"), F.least(start + batch_size, F.lit(n_trials)).alias("stop"))
+    tasks = max(1, min(last - first, 4 * spark.sparkContext.defaultParallelism))
+    ids = spark.range(first, max(first, last), 1, tasks)
+    return ids.select(F.col("id").alias("batch"), start.alias("start"), F.least(start + batch_size, F.lit(n_trials)).alias("stop"))
 
 
 def batch_rng(run_seed: int, batch: int) -> np.random.Generator:
@@ -89,14 +98,12 @@ def run_batch(simulation: Any, run_seed: int, batch: int, start: int, stop: int)
     """Results of one batch."""
     rng = batch_rng(run_seed, batch)
     if hasattr(simulation, "run_batch"):
-        return list(simulation.run_batch(rng, start, stop))
+        return np.asarray(simulation.run_batch(rng, start, stop)).tolist()
     return [simulation.run_trial(rng, i) for i in range(start, stop)]
 
 
 def trials(spark: SparkSession, simulation: Any, n_trials: int, batch_size: int = 1000, run_seed: int = 0, value_type: str = "double") -> DataFrame:
     """``batch, trial, value``: a lazy row per trial; batches are spread over tasks."""
-    count = _check(n_trials, batch_size)
-    bounds = batch_bounds(spark, n_trials, batch_size).repartition(max(1, min(count, 4 * spark.sparkContext.defaultParallelism)), "batch")
 
     def play(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -104,7 +111,20 @@ def trials(spark: SparkSession, simulation: Any, n_trials: int, batch_size: int
                 values = run_batch(simulation, run_seed, int(batch), int(start), int(stop))
                 yield pd.DataFrame({"batch": batch, "trial": np.arange(start, stop), "value": values})
 
-    return bounds.mapInPandas(play, f"batch long, trial long, value {value_type}")
+    return batch_bounds(spark, n_trials, batch_size).mapInPandas(play, f"batch long, trial long, value {value_type}")
+
+
+def _partials(spark: SparkSession, simulation: Any, reducer: Reducer, n_trials: int, batch_size: int, run_seed: int, first: int, last: int) -> list:
+    """``(batch, trials, part)`` of the batches ``first`` to ``last``, drawn and folded in the workers."""
+
+    def play(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for batch, start, stop in frame.itertuples(index=False):
+                part = reducer.partial(run_batch(simulation, run_seed, int(batch), int(start), int(stop)), int(batch))
+                yield pd.DataFrame({"batch": [batch], "trials": [stop - start], "part": [pickle.dumps(part)]})
+
+    rows = batch_bounds(spark, n_trials, batch_size, first, last).mapInPandas(play, "batch long, trials long, part binary").collect()
+    return [(r["batch"], r["trials"], pickle.loads(r["part"])) for r in sorted(rows, key=lambda r: r["batch"])]
 
 
 def run(
@@ -115,68 +135,80 @@ def run(
     batch_size: int = 1000,
     run_seed: int = 0,
     backend: str = "spark",
-    value_type: str = "double",
     on_progress: Callable[[int, int], None] | None = None,
 ) -> RunResult:
-    """Run all trials and fold them; batches reach the reducer in batch order on either backend ("spark" or "local")."""
+    """Run all trials and fold them; both backends ("spark" or "local") merge the same parts in the same order, so their values are equal.
+
+    On Spark a part for each batch reaches the driver, wave by wave, so it holds one wave's parts at a time.
+    ``on_progress`` gets the trials done and all trials after each batch.
+    """
     if backend not in ("spark", "local"):
         raise ValueError(f"unknown backend {backend!r}")
     total = _check(n_trials, batch_size)
     reducer = reducer or CollectReducer()
-    acc = reducer.initial()
-    if backend == "local":
-        found = ((b, run_batch(simulation, run_seed, b, b * batch_size, min(n_trials, (b + 1) * batch_size))) for b in range(total))
-    else:
-        rows = trials(spark, simulation, n_trials, batch_size, run_seed, value_type).repartitionByRange("batch").sortWithinPartitions("batch", "trial")
-
-        def stream() -> Iterator[tuple[int, list]]:
-            batch, held = None, []
-            for row in rows.toLocalIterator():
-                if row["batch"] != batch and held:
-                    yield batch, held
-                    held = []
-                batch = row["batch"]
-                held.append(row["value"])
-            if held:
-                yield batch, held
-
-        found = stream()
-    seen = 0
-    for done, (batch, results) in enumerate(found, 1):
-        acc = reducer.add(acc, results, batch)
-        seen += len(results)
+
+    def drawn() -> Iterator[tuple[int, int, Any]]:
+        if backend == "local":
+            for batch in range(total):
+                start, stop = batch * batch_size, min(n_trials, (batch + 1) * batch_size)
+                yield batch, stop - start, reducer.partial(run_batch(simulation, run_seed, batch, start, stop), batch)
+            return
+        wave = 32 * spark.sparkContext.defaultParallelism
+        for first in range(0, total, wave):
+            yield from _partials(spark, simulation, reducer, n_trials, batch_size, run_seed, first, first + wave)
+
+    part, seen = None, 0
+    for batch, count, own in drawn():
+        part = reducer.merge(part, own) if batch else own
+        seen += count
         if on_progress:
-            on_progress(done, total)
-    return RunResult(reducer.finalize(acc), seen, total, backend, run_seed)
+            on_progress(seen, n_trials)
+    return RunResult(reducer.finalize(part), seen, total, backend, run_seed)
+
+
+def serial_loop(simulation: Any, n_trials: int, run_seed: int = 0) -> list:
+    """All trials from one stream on this machine: what batches are held against in distribution, not value by value."""
+    rng = np.random.default_rng(run_seed)
+    if hasattr(simulation, "run_batch"):
+        return np.asarray(simulation.run_batch(rng, 0, n_trials)).tolist()
+    return [simulation.run_trial(rng, i) for i in range(n_trials)]
 
 
 @dataclass(frozen=True)
 class Coin:
+    """1 with probability ``p``, else 0."""
+
     p: float = 0.5
 
-    def run_trial(self, rng: np.random.Generator, index: int) -> float:
-        return float(rng.random() < self.p)
+    def run_batch(self, rng: np.random.Generator, start: int, stop: int) -> np.ndarray:
+        return (rng.random(stop - start) < self.p).astype(float)
 
 
 @dataclass(frozen=True)
 class Draw:
-    def run_trial(self, rng: np.random.Generator, index: int) -> float:
-        return float(rng.random())
+    """Uniform in [0, 1)."""
+
+    def run_batch(self, rng: np.random.Generator, start: int, stop: int) -> np.ndarray:
+        return rng.random(stop - start)
 
 
 @dataclass(frozen=True)
 class Indexed:
-    def run_trial(self, rng: np.random.Generator, index: int) -> int:
-        return index
+    """The trial's own number."""
+
+    def run_batch(self, rng: np.random.Generator, start: int, stop: int) -> np.ndarray:
+        return np.arange(start, stop)
 
 
 @dataclass(frozen=True)
 class Normal:
+    """Normal draws of one mean and deviation."""
+
     mean: float = 0.0
     stddev: float = 1.0
 
-    def run_trial(self, rng: np.random.Generator, index: int) -> float:
-        return float(rng.normal(self.mean, self.stddev))
+    def run_batch(self, rng: np.random.Generator, start: int, stop: int) -> np.ndarray:
+        return rng.normal(self.mean, self.stddev, stop - start)
 
 
 @dataclass(frozen=True)
@@ -201,10 +233,107 @@ class Costly:
         return np.sqrt(rng.random((stop - start, self.inner_steps))).sum(axis=1)
 
 
+class EntityCache:
+    """Entities of a bounded table as arrays, for simulations that look them up by key or dense position.
+
+    Pickled with the simulation that holds it; positions follow the order of the records.
+    """
+
+    def __init__(self, keys: list, columns: dict[str, np.ndarray]) -> None:
+        for name, values in columns.items():
+            if len(values) != len(keys):
+                raise ValueError(f"field {name!r} has {len(values)} values for {len(keys)} keys")
+        self.keys, self._columns = list(keys), {k: np.asarray(v) for k, v in columns.items()}
+        self._at = {k: i for i, k in enumerate(self.keys)}
+        if len(self._at) < len(self.keys):
+            seen: set = set()
+            double = next(k for k in self.keys if k in seen or seen.add(k))
+            raise ValueError(f"key {double!r} is not unique")
+
+    @classmethod
+    def from_records(cls, records: list[dict], key: str, fields: list[str], dtype: type = np.float64) -> EntityCache:
+        """From dictionaries; a record without the key or a field is a KeyError that names its position."""
+        for i, record in enumerate(records):
+            missing = [x for x in (key, *fields) if x not in record]
+            if missing:
+                raise KeyError(f"record {i} has no {missing[0]!r}")
+        return cls([r[key] for r in records], {f: np.array([r[f] for r in records], dtype) for f in fields})
+
+    @classmethod
+    def from_frame(cls, entities: DataFrame, key: str, fields: list[str], max_rows: int = 1_000_000, dtype: type = np.float64) -> EntityCache:
+        """From a table, in the order of its keys; a table over ``max_rows`` is an error, look that up by ``EntityTable``."""
+        require_columns(entities, [key, *fields], "entities")
+        rows = entities.select(key, *fields).orderBy(key).limit(max_rows + 1).collect()
+        if len(rows) > max_rows:
+            raise ValueError(f"more than {max_rows} entities")
+        return cls.from_records([r.asDict() for r in rows], key, fields, dtype)
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    @property
+    def fields(self) -> list[str]:
+        return list(self._columns)
+
+    def index_of(self, key: Any) -> int:
+        """The dense position of a key; KeyError if there is none."""
+        if key not in self._at:
+            raise KeyError(f"no entity {key!r}")
+        return self._at[key]
+
+    def field(self, name: str) -> np.ndarray:
+        """All values of a field, by position; KeyError if there is no such field."""
+        if name not in self._columns:
+            raise KeyError(f"no field {name!r}; there are {self.fields}")
+        return self._columns[name]
+
+    def field_list(self, name: str) -> list:
+        """``field`` as Python numbers, which scalar look-ups read faster."""
+        return self.field(name).tolist()
+
+
+@dataclass(frozen=True)
+class CachedNormal:
+    """A normal draw with the parameters of entity ``index % n`` of a cache; fields by position."""
+
+    cache: EntityCache
+    mean: str = "mean"
+    stddev: str = "stddev"
+
+    def run_batch(self, rng: np.random.Generator, start: int, stop: int) -> np.ndarray:
+        at = np.arange(start, stop) % len(self.cache)
+        return rng.normal(self.cache.field(self.mean)[at], self.cache.field(self.stddev)[at])
+
+
+@dataclass(frozen=True)
+class LookupNormal:
+    """The same draws, one trial at a time and each entity by its key."""
+
+    cache: EntityCache
+    mean: str = "mean"
+    stddev: str = "stddev"
+
+    def run_trial(self, rng: np.random.Generator, index: int) -> float:
+        at = self.cache.index_of(self.cache.keys[index % len(self.cache)])
+        return float(rng.normal(self.cache.field(self.mean)[at], self.cache.field(self.stddev)[at]))
+
+
+class FrameNormal:
+    """The same draws, each entity by a search through a pandas frame: the slow form that caches are held against."""
+
+    def __init__(self, frame: pd.DataFrame, key: str, mean: str = "mean", stddev: str = "stddev") -> None:
+        self.frame, self.key, self.mean, self.stddev = frame, key, mean, stddev
+
+    def run_trial(self, rng: np.random.Generator, index: int) -> float:
+        keys = self.frame[self.key]
+        row = self.frame.loc[keys == keys.iloc[index % len(keys)]].iloc[0]
+        return float(rng.normal(row[self.mean], row[self.stddev]))
+
+
 class EntityTable:
-    """A dimension of entities with unique keys, to look up by key or dense position."""
+    """A dimension of entities with unique keys, to look up by key or dense position; broadcast up to ``broadcast_rows`` rows."""
 
-    def __init__(self, entities: DataFrame, key: str, fields: list[str], broadcast_rows: int = 1_000_000) -> None:
+    def __init__(self, entities: DataFrame, key: str, fields: list[str], broadcast_rows: int = 100_000) -> None:
         require_columns(entities, [key, *fields], "entities")
         double = entities.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).collect()
         if double:
