@@ -14,8 +14,11 @@ Defined results: a null html is the empty payload; payloads below ``min_revisit`
 are always response records; of equal larger ones the smallest ``page_id`` is the response
 and the others revisit it; a null url gives an empty target URI; line breaks in a url are
 percent-encoded so they cannot break the header; an empty table gives no archive and an
-empty result; rows that repeat a ``page_id`` are one page if their html is equal (the
-repeat revisits itself), and null ids are refused. Extra columns are ignored.
+empty result; every row gives one record and one row of the result. Rows that repeat the
+smallest ``page_id`` of a payload are all response records; rows that share a ``page_id`` but
+not the html are told apart by their digests. A row without ``page_id`` has a record without a
+number; it revisits an equal payload that has one, and is a response otherwise. Extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -45,14 +48,14 @@ def digest_of(payload: bytes) -> str:
     return hashlib.sha256(payload).hexdigest()
 
 
-def write_record(kind: str, page_id: int, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def write_record(kind: str, page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """One WARC record as one gzip member."""
     block = _HEAD % len(payload) + (payload if kind == "response" else b"")
     target = url.replace("\r", "%0D").replace("\n", "%0A")
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:page:{page_id}>",
+        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Target-URI: {target}",
         "Content-Type: application/http; msgtype=response",
@@ -130,27 +133,29 @@ def read_records(stream, read_size: int = 1 << 16) -> Iterator[tuple[dict[str, s
 
 
 def plan_records(pages: DataFrame, min_revisit: int = 100) -> DataFrame:
-    """``page_id, url, html, payload_digest, refers_to``: which record revisits which.
+    """``page_id, url, html, refers_to``, a row per row: which record revisits which.
 
-    Digests meet without the html; the html moves once, by ``page_id``, which spreads evenly.
+    Digests meet without the html; the html moves once, by ``page_id`` and digest, which spread evenly.
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), html.alias("html"))
-    slim = base.select("page_id", F.sha2("html", 256).alias("digest"), F.octet_length("html").alias("bytes")).filter(F.col("bytes") >= min_revisit)
+    base = base.withColumn("digest", F.sha2("html", 256))
+    slim = base.filter(F.octet_length("html") >= min_revisit).select("page_id", "digest")
     first = (
         slim.groupBy("digest")
         .agg(F.min("page_id").alias("response_id"), F.count(F.lit(1)).alias("n"))
-        .filter("n > 1")
+        .filter("n > 1 AND response_id IS NOT NULL")
         .select(F.concat(F.lit("#"), "digest").alias("first_digest"), "response_id")
     )
     revisits = (
         slim.select("page_id", F.concat(F.lit("#"), "digest").alias("slim_digest"))
         .join(first, F.col("slim_digest") == F.col("first_digest"))
-        .filter("page_id <> response_id")
-        .select(F.col("page_id").alias("r_page_id"), F.col("response_id").alias("refers_to"))
+        .filter(~F.col("page_id").eqNullSafe(F.col("response_id")))
+        .select(F.col("page_id").alias("r_page_id"), F.substring("slim_digest", 2, 64).alias("r_digest"), F.col("response_id").alias("refers_to"))
         .distinct()
     )
-    return base.join(revisits, base["page_id"] == revisits["r_page_id"], "left").select("page_id", "url", "html", "refers_to")
+    same = base["page_id"].eqNullSafe(revisits["r_page_id"]) & (base["digest"] == revisits["r_digest"])
+    return base.join(revisits, same, "left").select("page_id", "url", "html", "refers_to")
 
 
 def write_archives(pages: DataFrame, folder: str, min_revisit: int = 100, archive_bytes: int = 1 << 30) -> DataFrame:
@@ -173,17 +178,16 @@ def write_archives(pages: DataFrame, folder: str, min_revisit: int = 100, archiv
             made.append((names[1], records, size))
 
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["page_id"] is None:
-                    raise ValueError("a page without page_id")
-                payload = row["html"].encode("utf-8", "surrogatepass")
-                digest, refers = digest_of(payload), row["refers_to"]
+            for row in zip(*batch.columns):  # one page at a time leaves Arrow's memory
+                page_id, url, html, refers = (x.as_py() for x in row)
+                payload = html.encode("utf-8", "surrogatepass")
+                digest = digest_of(payload)
                 if out is None:
                     system.create_dir(base, recursive=True)
                     name = f"{base}/pages-{task.partitionId():06d}-{len(made):04d}.warc.gz"
                     names, records, size = (f"{name}.{task.taskAttemptId()}.part", name), 0, 0
                     out = system.open_output_stream(names[0], compression=None)
-                raw = write_record("response" if refers is None else "revisit", row["page_id"], row["url"], payload, digest, refers)
+                raw = write_record("response" if refers is None else "revisit", page_id, url, payload, digest, refers)
                 out.write(raw)
                 records, size = records + 1, size + len(raw)
                 if size >= archive_bytes:
@@ -217,7 +221,7 @@ def read_archives(spark: SparkSession, folder: str, archives: DataFrame, read_si
                         if payload is not None and digest_of(payload) != told:
                             raise ValueError(f"payload digest of {headers['warc-record-id']} does not match")
                         refers = headers.get("warc-refers-to")
-                        number = lambda x: int(x.rpartition(":")[2].rstrip(">"))
+                        number = lambda x: int(digits) if (digits := x.rpartition(":")[2].rstrip(">")) else None
                         rows.append((number(headers["warc-record-id"]), headers["warc-target-uri"], kind, refers and number(refers), told, None if payload is None else len(payload), payload))
                         held += len(block)
                         if held > 8 << 20:
@@ -240,12 +244,13 @@ def read_archives(spark: SparkSession, folder: str, archives: DataFrame, read_si
 def resolve_revisits(records: DataFrame) -> DataFrame:
     """Give each revisit record the length of the payload that it refers to; digests must agree."""
     slim = records.select("page_id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes")
-    sources = slim.filter("record_type = 'response'").select(
+    sources = slim.filter("record_type = 'response' AND page_id IS NOT NULL").select(
         F.col("page_id").alias("s_id"), F.col("payload_digest").alias("s_digest"), F.col("payload_bytes").alias("s_bytes")
     )
-    revisits = slim.filter("record_type = 'revisit'").join(sources, F.col("refers_to") == F.col("s_id"), "left")
-    checked = F.when(F.col("s_digest") == F.col("payload_digest"), F.col("s_bytes")).otherwise(
-        F.raise_error(F.concat(F.lit("revisit without an equal response: "), F.col("page_id").cast("string"))).cast("long")
+    same = (F.col("refers_to") == F.col("s_id")) & (F.col("payload_digest") == F.col("s_digest"))
+    revisits = slim.filter("record_type = 'revisit'").join(sources.distinct(), same, "left")
+    checked = F.when(F.col("s_digest").isNotNull(), F.col("s_bytes")).otherwise(
+        F.raise_error(F.concat(F.lit("revisit without an equal response: "), F.coalesce(F.col("page_id").cast("string"), F.lit("null")))).cast("long")
     )
     return slim.filter("record_type = 'response'").unionByName(revisits.withColumn("payload_bytes", checked).drop("s_id", "s_digest", "s_bytes"))
 
@@ -269,6 +274,6 @@ q AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha256(html
 m AS (SELECT payload_digest, min(page_id) AS first_id FROM q WHERE payload_bytes >= 100 GROUP BY payload_digest)
 SELECT q.page_id, q.payload_bytes, q.payload_digest,
   CASE WHEN m.first_id IS NULL OR m.first_id = q.page_id THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN m.first_id <> q.page_id THEN m.first_id END AS refers_to
+  CASE WHEN m.first_id IS DISTINCT FROM q.page_id THEN m.first_id END AS refers_to
 FROM q LEFT JOIN m ON m.payload_digest = q.payload_digest AND q.payload_bytes >= 100
 """
