@@ -6,13 +6,15 @@ on the same pages form a class. The pages are never gathered: a class is told by
 of pages and two sums over a hash of them, which add up in partial aggregation, so a host
 with a third of all pages costs no more memory than a small one.
 
-A layout is the class of an element outside articles that occurs once a page on at least
-``layout`` of the host's pages; a host may have several. A text block is template if its
-class is a layout's, however often it stands on each page, or if it occurs on at least
-``support`` of the host's pages. Within an article it must also occur equally often on each
-of its pages. What lies between are the slots: extraction keeps all blocks outside template,
-but for those of elements of other roles (menus, headers, footers, sidebars, notices,
-adverts, forms, comments). Where a layout has an article element with most of its text, only
+A class is valid if its tokens that occur once a page, on at least ``layout`` of the host's
+pages, stand in the same order on all of them. Valid classes nest by their elements into the
+host's template: a class hangs in the one that holds the nearest element around its first
+(``template_tree``). A layout is a valid class with an element outside articles; a host may
+have several. A text block is template if its class is a layout's, however often it stands on
+each page, or if it occurs on at least ``support`` of the host's pages. Within an article it
+must also occur equally often on each of its pages. What lies between are the slots: extraction
+keeps all blocks outside template, but for those of elements of other roles (menus, headers,
+footers, sidebars, notices, adverts, forms, comments). Where a layout has an article element with most of its text, only
 blocks inside it count. An odd page of a host with templates falls back to its own article
 element if that holds most of its text, a host of few pages to its own article element;
 without one all slots count. A page that template would leave without text keeps it.
@@ -124,20 +126,22 @@ def walk(html: str) -> Iterator[tuple[str, object, list[_Element]]]:
         stack.append(element)
 
 
-def blocks(html: str | None) -> tuple[list[tuple[str, str, bool, bool]], Counter]:
-    """The page's blocks in order, ``(text, path, aside, article)``, and how often each element path occurs."""
-    out, opened, run, where = [], Counter(), [], None
+def blocks(html: str | None) -> tuple[list[tuple[str, str, bool, bool]], Counter, dict[str, int]]:
+    """The page's blocks in order, ``(text, path, aside, article)``, how often each element path occurs, and the place of each token's first occurrence."""
+    out, opened, places, run, where = [], Counter(), {}, [], None
 
     def flush() -> None:
         nonlocal run
         if run:
             text = " ".join(unescape("".join(run)).split())
             if text:
+                places.setdefault(_text_key(text), len(places))
                 out.append((text, where.path, where.aside, where.article))
             run = []
 
     for kind, value, stack in walk(html or ""):
         if kind == "open":
+            places.setdefault(value.path, len(places))
             opened[value.path] += 1
         elif kind == "break":
             flush()
@@ -149,7 +153,7 @@ def blocks(html: str | None) -> tuple[list[tuple[str, str, bool, bool]], Counter
                 where = top
             run.append(value)
     flush()
-    return out, opened
+    return out, opened, places
 
 
 def host_of(url: Column) -> Column:
@@ -162,13 +166,13 @@ def _text_key(text: str) -> str:
 
 
 def page_tokens(pages: DataFrame) -> DataFrame:
-    """``host, page_id, token, n, mass, whole``: element paths (mass: characters of text inside, asides left out; whole: the page's) and text blocks."""
+    """``host, page_id, token, n, at, mass, whole``: element paths (mass: characters of text inside, asides left out; whole: the page's) and text blocks; ``at`` is the place of the first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for host, page, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                found, opened = blocks(html.as_py())
+                found, opened, places = blocks(html.as_py())
                 mass = Counter()
                 for text, path, aside, _ in found:
                     if not aside:
@@ -176,32 +180,30 @@ def page_tokens(pages: DataFrame) -> DataFrame:
                             mass[path] += len(text)
                             path = path.rpartition("/")[0]
                 whole = sum(len(x[0]) for x in found if not x[2])
-                rows += [(host, page, path, n, mass[path], whole) for path, n in opened.items()]
-                rows += [(host, page, key, n, 0, whole) for key, n in Counter(_text_key(x[0]) for x in found).items()]
-                rows.append((host, page, "", 1, whole, whole))
+                rows += [(host, page, path, n, places[path], mass[path], whole) for path, n in opened.items()]
+                rows += [(host, page, key, n, places[key], 0, whole) for key, n in Counter(_text_key(x[0]) for x in found).items()]
+                rows.append((host, page, "", 1, -1, whole, whole))
                 if len(rows) > 20_000:
                     yield pack(rows)
                     rows = []
             if rows:
                 yield pack(rows)
 
-    def pack(rows: list) -> pa.RecordBatch:
-        kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=["host", "page_id", "token", "n", "mass", "whole"])
+    names = ["host", "page_id", "token", "n", "at", "mass", "whole"]
 
-    return pages.select("host", "page_id", "html").mapInArrow(run, "host string, page_id long, token string, n long, mass long, whole long")
+    def pack(rows: list) -> pa.RecordBatch:
+        kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=names)
 
+    return pages.select("host", "page_id", "html").mapInArrow(run, "host string, page_id long, token string, n long, at long, mass long, whole long")
 
-def deduce_templates(pages: DataFrame, support: float = 0.8, min_pages: int = 3, layout: float = 0.2, share: float = 0.6) -> DataFrame:
-    """One row per host with a template: ``t_host, containers, texts, inner``; ``pages`` has ``host, page_id, html``.
 
-    ``containers`` are article elements with at least ``share`` of their pages' text, outermost
-    first; ``texts`` are the keys of template text blocks, ``inner`` those that are left out of articles too.
-    """
+def classified(pages: DataFrame, min_pages: int = 3, layout: float = 0.2) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``tokens`` of hosts with their class, ``hosts`` with their pages, and the valid ``classes`` (``host, class, members`` in page order)."""
     # Pages with equal html are one page here; its hash is its number.
     rows = page_tokens(pages.select("host", F.xxhash64("html").alias("page_id"), "html"))
-    rows = rows.groupBy("host", "token", "page_id").agg(*[F.max(c).alias(c) for c in ("n", "mass", "whole")])
-    once = F.col("once") & F.col("token").startswith("/")
+    rows = rows.groupBy("host", "token", "page_id").agg(*[F.max(c).alias(c) for c in ("n", "at", "mass", "whole")])
+    rows = materialize(rows, "occurrences")
     hashed = F.xxhash64("page_id")
     tokens = rows.groupBy("host", "token").agg(
         F.count(F.lit(1)).alias("pages"),
@@ -215,14 +217,49 @@ def deduce_templates(pages: DataFrame, support: float = 0.8, min_pages: int = 3,
     tokens = tokens.filter(F.col("pages") >= min_pages)  # on fewer pages than that nothing is template
     tokens = materialize(tokens.withColumn("class", F.struct("pages", "xor", "added")), "tokens")
     hosts = tokens.filter("token = ''").select(F.col("host").alias("h_host"), F.col("pages").alias("host_pages"))
+    able = tokens.filter("token <> '' AND once").join(hosts, F.col("host") == F.col("h_host")).filter(F.col("pages") >= F.lit(layout) * F.col("host_pages"))
+    able = materialize(able.select(F.col("host").alias("a_host"), F.col("token").alias("a_token"), "class"), "able")
+    met = rows.join(able, (F.col("host") == F.col("a_host")) & (F.col("token") == F.col("a_token")))
+    # A page's tokens of a class, in order: no more than the page has.
+    seen = met.groupBy("host", "class", "page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "token"))), lambda x: x["token"]).alias("members"))
+    classes = seen.groupBy("host", "class").agg(F.min("members").alias("members"), F.max("members").alias("last"))
+    return tokens, hosts, materialize(classes.filter("members = last").drop("last"), "classes")
+
+
+def template_tree(classes: DataFrame) -> DataFrame:
+    """``host, class, members, inside``: valid classes and the class that each hangs in; null at the top.
+
+    That is the class of the nearest element around the first element of a class that belongs to another.
+    """
+    elements = classes.select("host", "class", F.explode("members").alias("token")).filter("token LIKE '/%'")
+    elements = elements.select(F.col("host").alias("e_host"), F.col("token").alias("e_token"), F.col("class").alias("inside"))
+    first = classes.withColumn("path", F.element_at(F.filter("members", lambda x: x.startswith("/")), 1))
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(2), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    above = F.when(F.size(parts) > 2, above)
+    reach = first.select("host", "class", F.posexplode(above).alias("depth", "token"))
+    met = reach.join(elements, (F.col("host") == F.col("e_host")) & (F.col("token") == F.col("e_token")) & (F.col("class") != F.col("inside")))
+    nearest = met.groupBy(F.col("host").alias("n_host"), F.col("class").alias("n_class")).agg(F.max_by("inside", "depth").alias("inside"))
+    return classes.join(nearest, (F.col("host") == F.col("n_host")) & (F.col("class") == F.col("n_class")), "left").select("host", "class", "members", "inside")
+
+
+def deduce_templates(pages: DataFrame, support: float = 0.8, min_pages: int = 3, layout: float = 0.2, share: float = 0.6) -> DataFrame:
+    """One row per host with a template: ``t_host, containers, texts, inner``; ``pages`` has ``host, page_id, html``.
+
+    ``containers`` are article elements with at least ``share`` of their pages' text, outermost
+    first; ``texts`` are the keys of template text blocks, ``inner`` those that are left out of articles too.
+    """
+    tokens, hosts, classes = classified(pages, min_pages, layout)
     valid = tokens.filter("token <> ''").join(hosts, F.col("host") == F.col("h_host")).drop("h_host").filter(F.col("pages") >= F.lit(layout) * F.col("host_pages"))
-    layouts = valid.filter(once & ~F.col("token").rlike(r"/(article|main)[./]")).select(F.col("host").alias("l_host"), F.col("class").alias("l_class")).distinct()
+    outside = F.exists("members", lambda x: x.startswith("/") & ~x.rlike(r"/(article|main)[./]"))
+    layouts = classes.filter(outside).select(F.col("host").alias("l_host"), F.col("class").alias("l_class"))
     texts = valid.filter("token LIKE '#%'").join(layouts, (F.col("host") == F.col("l_host")) & (F.col("class") == F.col("l_class")), "left")
     texts = texts.filter(F.col("l_host").isNotNull() | (F.col("pages") >= F.lit(support) * F.col("host_pages")))
     texts = texts.groupBy("host").agg(
         F.array_sort(F.collect_set("token")).alias("texts"), F.array_sort(F.collect_set(F.when(F.col("even"), F.col("token")))).alias("inner")
     )
     name = F.element_at(F.split(F.element_at(F.split("token", "/"), -1), r"\."), 1)
+    once = F.col("once") & F.col("token").startswith("/")
     held = valid.filter(once & name.isin("article", "main") & (F.col("mass") > 0) & (F.col("mass") >= F.lit(share) * F.col("whole")))
     # Several articles in one another: the outermost keeps the whole text.
     ranked = F.array_sort(F.collect_set(F.struct(F.size(F.split("token", "/")).alias("depth"), F.col("token").alias("path"))))
@@ -235,7 +272,7 @@ def main_text(
     html: str | None, containers: list[str] | None = None, texts: frozenset = frozenset(), inner: frozenset = frozenset(), known: bool = False, share: float = 0.6
 ) -> tuple[str, str | None]:
     """The page's main text and the path of the innermost element that occurs once and holds it; see the module's description."""
-    found, opened = blocks(html)
+    found, opened, _ = blocks(html)
     slots = [x for x in found if not x[2]]
     inside, container = [], next((x for x in containers or () if opened[x] == 1), None)
     if container:

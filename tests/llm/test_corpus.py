@@ -402,6 +402,73 @@ def test_html_layouts_of_a_host(spark):
     assert all(out[100 + i] == "all the same" for i in range(5))
 
 
+def _hosts_without_names(rng):
+    """Two layouts on a host without article elements or telling class names; menus, asides and closing lines differ by layout."""
+    shells = [
+        '<body><div class="q1"><p>Start</p><p>Places</p></div><div class="q2"><p>{0}</p><p>{1}</p></div><div class="q3"><p>Often read</p><p>Write to us</p></div></body>',
+        '<body><div class="z1"><ul><li>Home</li><li>Shop</li></ul></div><div class="z2"><h1>{0}</h1><p>Share this</p><p>{1}</p></div><p>All rights</p></body>',
+    ]
+    words = lambda n: " ".join(rng.choice(["red", "stone", "river", "quiet", "seven", "walks"]) + str(rng.randrange(99)) for _ in range(n))
+    rows = [(i, "http://plain.example/", rng.choice(shells).format(words(5), words(60))) for i in range(40)]
+    return rows + [(100, "http://plain.example/", rows[0][2]), (100, "http://plain.example/", rows[0][2])]
+
+
+def brute_slots(rows, layout=0.2, support=0.8):
+    """Occurrence vectors written out, classes as sets of tokens with equal vectors, order checked page by page, slots as what no valid class or frequent text covers."""
+    pages = sorted({h for _, _, h in rows})
+    parsed = [html_extract.blocks(h) for h in pages]
+    where, count = {}, {}
+    for k, (found, opened, _) in enumerate(parsed):
+        for token, n in [*opened.items(), *Counter(html_extract._text_key(x[0]) for x in found).items()]:
+            where.setdefault(token, set()).add(k)
+            count.setdefault(token, set()).add(n)
+    template = {t for t, on in where.items() if t[0] == "#" and len(on) >= support * len(pages)}
+    for vector in {frozenset(x) for x in where.values() if len(x) >= max(3, layout * len(pages))}:
+        once = [t for t, on in where.items() if on == vector and count[t] == {1}]
+        orders = {tuple(sorted(once, key=parsed[k][2].get)) for k in vector}
+        if len(orders) == 1 and any(t[0] == "/" for t in once):
+            template |= {t for t, on in where.items() if t[0] == "#" and on == vector}
+    return {i: " ".join(x[0] for x in html_extract.blocks(h)[0] if html_extract._text_key(x[0]) not in template) for i, _, h in rows}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_html_classes_against_brute_force(spark, seed):
+    rows = _hosts_without_names(random.Random(seed))
+    out = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    want = brute_slots(rows)
+    assert len(out) == len(rows) and all(r["text"] == want[r["page_id"]] for r in out)
+    assert not any(w in r["text"] for r in out for w in ("Start", "Often", "Home", "Share", "rights"))
+    alone = {i: html_extract.main_text(h)[0] for i, _, h in rows}  # without classes the layouts' lines stay
+    assert all(alone[r["page_id"]] != r["text"] for r in out)
+
+
+def test_html_template_tree(spark):
+    rows = _hosts_without_names(random.Random(9))
+    # Two lines on the same pages whose order changes: no valid class, so they are not template.
+    turn = "<body><p>{0}</p><div>{1}</div><p>{2}</p></body>"
+    rows += [(200 + i, "http://turn.example/", turn.format(*(("first", i, "second") if i % 3 else ("second", i, "first"))) if i % 2 else f"<body><div>x{i}</div></body>") for i in range(12)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").select("page_id", "html", html_extract.host_of(F.col("url")).alias("host"))
+    _, _, classes = html_extract.classified(pages)
+    tree = {(r["host"], tuple(r["class"])): r for r in html_extract.template_tree(classes).collect()}
+    top = [r for r in tree.values() if r["inside"] is None]
+    assert {r["host"] for r in top} == {"plain.example", "turn.example"} and all("/body" in r["members"] for r in top)
+    nested = [r for r in tree.values() if r["inside"] is not None and r["host"] == "plain.example"]
+    assert len(nested) == 2 and {m for r in nested for m in r["members"] if m.startswith("/")} >= {"/body/div.q1", "/body/div.q2", "/body/div.z2"}
+    assert not any(html_extract._text_key("first") in r["members"] for r in tree.values())
+    out = {r["page_id"]: r["text"] for r in html_extract.extract(pages.withColumn("url", F.concat(F.lit("http://"), "host"))).collect()}
+    assert out[201] == "first 1 second" and out[203] == "second 3 first"
+
+
+def test_html_odd_rows(spark):
+    """Rows that repeat, a very long page, clashing column names, null url and html."""
+    long_ = "<body><article>" + "".join(f"<p>part {i}</p>" for i in range(20_000)) + "</article></body>"
+    rows = [(1, "http://h/1", long_), (1, "http://h/1", long_), (None, None, "<p>a</p>"), (2, None, None), (3, "http://h/3", "")]
+    pages = spark.createDataFrame([(*r, "t", "h", 5, "c") for r in rows], "page_id long, url string, html string, text string, host string, n int, token string")
+    out = [(r["page_id"], r["url"], r["text"], r["n_chars"]) for r in html_extract.extract(pages).collect()]
+    whole = " ".join(f"part {i}" for i in range(20_000))
+    assert sorted(out, key=str) == sorted([(1, "http://h/1", whole, len(whole))] * 2 + [(None, None, "a", 1), (2, None, "", 0), (3, "http://h/3", "", 0)], key=str)
+
+
 def test_html_keeps_heading_and_lead(spark):
     page = '<body><p>Site</p><div class="post"><h1>Title {0}</h1><div class="lead">Lead {0}</div><div class="body">{1}</div></div></body>'
     rows = [(i, "http://post.example/", page.format(i, f"body {i} " + "words " * 60)) for i in range(5)]
