@@ -96,7 +96,7 @@ class Scorer:
 
     def prepare(self, records: DataFrame) -> DataFrame:
         """``records`` with ``_set`` (normalised words, sorted, each once) and ``_nouns``."""
-        return records.withColumn("_set", F.array_sort(F.array_distinct(tx.words(F.col("text"))))).withColumn("_nouns", tx.proper_nouns(F.col("text")))
+        return records.withColumn("_set", F.sort_array(F.array_distinct(tx.words(F.col("text"))))).withColumn("_nouns", tx.proper_nouns(F.col("text")))
 
     def score(self, pairs: DataFrame) -> DataFrame:
         """Pairs with sides ``a`` and ``b`` (prepared records as structs) that pass all tests, with the score's parts."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspan.operators import lineup, montecarlo, report, tail
-from larkspan.sources import table
+from larkspan.sources import scratch_path, table
 
 TRIALS, BATCH = 20_000, 1_000
 THRESHOLDS = (0.0, 50_000.0, 1e9)
@@ -121,6 +121,31 @@ def lineup_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineup.validity(_built(spark, sf_dir), pool(spark, sf_dir), SPEC)
 
 
+BROKEN = 300
+# The first pool number of each place's players, and how many there are.
+_FIRST_OF_PLACE = [(10 if n == "C" else 50 if n == "SS" else 30 if n == "2B" else 40 if n == "3B" else 20 if n == "1B" else 60 if n == "OF" else 0, 30 if n == "OF" else 10) for n in SPEC.slot_names]
+
+
+def broken_lineups(spark: SparkSession) -> DataFrame:
+    """Lineups that break every rule here and there: wrong size, repeats, misfits, salaries on both sides, crowded teams."""
+    i = F.col("id")
+    places = [F.lit(first) + (i * (j + 3)) % n for j, (first, n) in enumerate(_FIRST_OF_PLACE)]
+    places[1] = F.when(i % 7 == 1, places[0]).otherwise(places[1])
+    places[2] = F.when(i % 11 == 2, F.lit(5).cast("long")).otherwise(places[2])
+    crowd = F.transform(F.sequence(F.lit(0), F.lit(len(places) - 1)), lambda j: (i % 10 + 10 * (j % 9)).cast("long"))
+    whole = F.when(i % 13 == 4, crowd).otherwise(F.array(*places))
+    return spark.range(BROKEN).select(i.alias("lineup_id"), F.slice(whole, F.lit(1), F.when(i % 5 == 0, len(places) - 1).otherwise(len(places))).alias("players"))
+
+
+def lineup_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lineup.validity(broken_lineups(spark), pool(spark, sf_dir), SPEC)
+
+
+def lineup_overlap_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = _hashed(spark, sf_dir).withColumnRenamed("attempt", "lineup_id")
+    return lineup.overlap(made).withColumn("mean_overlap", F.round("mean_overlap", 9))
+
+
 def lineup_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lineup.totals(_hashed(spark, sf_dir).withColumnRenamed("attempt", "lineup_id").drop("salary"), pool(spark, sf_dir), SPEC)
     return out.select("lineup_id", "salary", F.round("projection", 6).alias("projection"), F.concat_ws(",", "names").alias("names"))
@@ -146,7 +171,7 @@ def tail_excess(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(*sums)
 
 
-# Measured medians of one published run, as a small inline table.
+# Measured medians of one published run, as a small inline table.
 CASES = [
     ("asof/10", "asof", 0.0030026), ("asof/10", "serial", 0.0592538), ("asof/100", "asof", 0.00388792), ("asof/100", "serial", 0.0843271), ("resolve/250", "blocked", 0.00768376),
     ("resolve/250", "all_pairs", 0.195305), ("resolve/8000", "blocked", 3.96127), ("build/10", "greedy", 0.000130594), ("build/10", "exact", 151.631),
@@ -175,6 +200,29 @@ def latest_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.latest_results(spark.createDataFrame(FILES, "hardware_id string, file string"))
 
 
+def _dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A benchmark dump for each brand, as the runner's JSON has it: a case for each part."""
+    k = F.col("p_partkey")
+    stats = F.struct((k % 9 + 1).alias("rounds"), (F.col("p_retailprice") / 1000).alias("mean"), (F.col("p_size") / 100).alias("median"), (k % 4 / 8).alias("stddev"), (k % 3 / 2).alias("min"))
+    told = F.struct(F.concat(F.lit("size/"), F.col("p_size")).alias("case"), F.lower("p_type").alias("impl"))
+    one = F.struct(F.col("p_name").alias("name"), F.create_map(F.lit("part"), k.cast("string")).alias("params"), told.alias("extra_info"), stats.alias("stats"))
+    return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.collect_list(one).alias("benchmarks"))
+
+
+def bench_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = report.convert_cases(_dumps(spark, sf_dir))
+    return out.select("case", "impl", F.col("params")["part"].alias("part"), "n", F.round("mean", 9).alias("mean"), "median", "stddev", "min")
+
+
+def bench_results_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results written as JSON and read back."""
+    path = scratch_path(spark, "results")
+    report.write_results(report.convert_cases(_dumps(spark, sf_dir)).drop("params").withColumn("hardware_id", F.concat(F.lit("h"), F.col("n"))), path)
+    kinds = "`case` string, impl string, n bigint, mean double, median double, stddev double, min double, schema int, hardware_id string"
+    back = spark.read.schema(kinds).json(path)
+    return back.groupBy("hardware_id", "schema").agg(F.count(F.lit(1)).alias("cases"), F.countDistinct("case", "impl").alias("kinds"), F.round(F.sum("median"), 6).alias("median"))
+
+
 def hardware_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", report.hardware_id(F.concat(F.col("p_brand"), F.lit("(R) "), F.col("p_name")), F.lit("Linux")).alias("hardware_id"))
 
@@ -183,7 +231,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         mc_batches, mc_coin_hash, mc_entity_normal_hash, mc_numpy_coin, mc_indexed, mc_costly, mc_entity_cached, duplicate_entities, position_masks, lineup_eligibility, lineup_bounds,
-        lineup_objectives, lineup_greedy_hash, lineup_repaired, lineup_generated, lineup_validity, lineup_totals, lineup_overlap, lineup_best, tail_excess, bench_ratio,
+        lineup_objectives, lineup_greedy_hash, lineup_repaired, lineup_generated, lineup_validity, lineup_broken, lineup_totals, lineup_overlap, lineup_overlap_hash, lineup_best, tail_excess, bench_cases, bench_results_file, bench_ratio,
         bench_ratio_named, bench_relative, latest_result, hardware_ids,
     )
 }
@@ -230,6 +278,14 @@ sw AS (SELECT sh.*, o.salary AS out_salary, c.idx AS cand, c.team AS c_team, c.s
 ok AS (SELECT * FROM sw WHERE len(list_filter(range(0, {len(_PLACES)}), lambda i: i <> place AND teams[CAST(i + 1 AS INTEGER)] = c_team)) < 6 AND (place >= 8 OR len(list_filter(range(0, 8), lambda i: i <> place AND teams[CAST(i + 1 AS INTEGER)] = c_team)) < 5)),
 fx AS (SELECT attempt, list_transform(range(0, {len(_PLACES)}), lambda i: CASE WHEN i = place THEN cand ELSE players[CAST(i + 1 AS INTEGER)] END) AS players, spent + gain AS salary FROM ok QUALIFY row_number() OVER (PARTITION BY attempt ORDER BY out_salary, place, cand) = 1),
 fin AS MATERIALIZED (SELECT attempt, players, spent AS salary FROM {_LAST} WHERE spent >= {SPEC.salary_floor} UNION ALL SELECT * FROM fx)"""
+_BROKEN_PLACES = [f"{first} + i * {j + 3} % {n}" for j, (first, n) in enumerate(_FIRST_OF_PLACE)]
+_BROKEN_PLACES[1] = f"CASE WHEN i % 7 = 1 THEN {_BROKEN_PLACES[0]} ELSE {_BROKEN_PLACES[1]} END"
+_BROKEN_PLACES[2] = f"CASE WHEN i % 11 = 2 THEN 5 ELSE {_BROKEN_PLACES[2]} END"
+_BROKEN = f"""bl AS (SELECT i AS lineup_id, (CASE WHEN i % 13 = 4 THEN list_transform(range(0, {len(_PLACES)}), lambda j: i % 10 + 10 * (j % 9)) ELSE [{", ".join(_BROKEN_PLACES)}] END)[1:CASE WHEN i % 5 = 0 THEN {len(_PLACES) - 1} ELSE {len(_PLACES)} END] AS players FROM range({BROKEN}) r(i)),
+be AS (SELECT lineup_id, unnest(players) AS idx, generate_subscripts(players, 1) AS place FROM bl),
+bm AS (SELECT be.*, pool.pos, pool.salary, pool.team, {_POS_OF_PLACE}[place] AS wanted FROM be LEFT JOIN pool USING (idx)),
+bo AS (SELECT lineup_id, count(*) AS n, count(DISTINCT idx) AS kinds, sum(salary) AS salary, bool_or(pos IS DISTINCT FROM wanted) AS misfit FROM bm GROUP BY lineup_id),
+bg AS (SELECT lineup_id FROM bm GROUP BY lineup_id, team HAVING count(*) > 6 OR count(*) FILTER (WHERE wanted <> 'P') > 5)"""
 _VALUES = ", ".join(f"('{a}', '{b}', {c}::DOUBLE)" for a, b, c in CASES)
 
 ORACLES = {
@@ -246,6 +302,13 @@ SELECT key, count(*) AS trials, round(avg(x), 8) AS mean, round(stddev_samp(x),
     "lineup_greedy_hash": f"WITH {_greedy()} SELECT attempt, array_to_string(players, ',') AS players, spent AS salary FROM {_LAST}",
     "lineup_repaired": f"WITH {_greedy()}, {_REPAIR} SELECT attempt, array_to_string(players, ',') AS players, salary FROM fin",
     "lineup_validity": "SELECT CAST(1 AS BIGINT) AS lineup_id, 'none' AS rule WHERE false",
+    "lineup_broken": f"""WITH {_POOL}, {_BROKEN} SELECT lineup_id, 'size' AS rule FROM bo WHERE n <> {len(_PLACES)} UNION SELECT lineup_id, 'repeat' FROM bo WHERE kinds < n
+UNION SELECT lineup_id, 'cap' FROM bo WHERE salary > {SPEC.salary_cap} UNION SELECT lineup_id, 'floor' FROM bo WHERE salary < {SPEC.salary_floor} UNION SELECT lineup_id, 'eligibility' FROM bo WHERE misfit UNION SELECT lineup_id, 'group' FROM bg""",
+    "lineup_overlap_hash": f"""WITH {_greedy()}, {_REPAIR}, f AS (SELECT players AS p0, attempt AS a0 FROM fin ORDER BY attempt LIMIT 1)
+SELECT (SELECT count(*) FROM fin) AS lineups, (SELECT count(DISTINCT p) FROM (SELECT unnest(players) AS p FROM fin)) AS players, round(avg(len(list_intersect(players, p0))), 9) AS mean_overlap FROM fin, f WHERE attempt <> a0""",
+    "bench_cases": """SELECT 'size/' || p_size AS "case", lower(p_type) AS impl, CAST(p_partkey AS VARCHAR) AS part, p_partkey % 9 + 1 AS n, round(p_retailprice / 1000, 9) AS mean, p_size / 100.0::DOUBLE AS median,
+  p_partkey % 4 / 8.0::DOUBLE AS stddev, p_partkey % 3 / 2.0::DOUBLE AS "min" FROM part""",
+    "bench_results_file": """SELECT 'h' || (p_partkey % 9 + 1) AS hardware_id, 1 AS schema, count(*) AS cases, count(DISTINCT p_size || lower(p_type)) AS kinds, round(sum(p_size / 100.0::DOUBLE), 6) AS median FROM part GROUP BY 1""",
     "lineup_totals": f"""WITH {_greedy()}, {_REPAIR}, e AS (SELECT attempt, unnest(players) AS idx, generate_subscripts(players, 1) AS i FROM fin)
 SELECT attempt AS lineup_id, CAST(sum(salary) AS BIGINT) AS salary, round(sum(projection), 6) AS projection, string_agg(name, ',' ORDER BY i) AS names FROM e JOIN pool USING (idx) GROUP BY attempt""",
     "lineup_best": """WITH p AS (SELECT p_partkey AS k, p_partkey // 8 AS g, 3000 + p_partkey % 8 * 600 AS s, 5 + p_size % 12 * 1.5::DOUBLE AS v, p_partkey % 4 AS t FROM part WHERE p_partkey < 24),
