@@ -29,6 +29,24 @@ def last_of_each_id(records: DataFrame, order_col: str = "idx") -> DataFrame:
     return ranked.filter("_rn = 1").withColumn(order_col, F.col("_first")).drop("_rn", "_first")
 
 
+def utc(records: DataFrame, col: str = "ts") -> Column:
+    """``col`` as a wall clock in UTC, whatever the session's zone; a time without a zone counts as UTC already."""
+    own = F.col(col)
+    if records.schema[col].dataType.typeName() in ("timestamp_ntz", "date"):
+        return own.cast("timestamp_ntz")
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), own.cast("timestamp").cast("timestamp_ntz"))
+
+
+def utc_micros(records: DataFrame, col: str = "ts") -> Column:
+    """Microseconds of ``col`` since 1970 in UTC."""
+    own = F.col(col)
+    if records.schema[col].dataType.typeName() not in ("timestamp_ntz", "date"):
+        return F.unix_micros(own.cast("timestamp"))
+    own = own.cast("timestamp_ntz")
+    seconds = F.unix_date(own.cast("date")).cast("long") * 86_400 + F.hour(own) * 3600 + F.minute(own) * 60
+    return seconds * 1_000_000 + (F.extract(F.lit("SECOND"), own) * 1_000_000).cast("long")
+
+
 def iso_week(ts: Column) -> Column:
     """"YYYYWww" of the ISO year and week, or "undated"."""
     year = F.lpad(F.extract(F.lit("YEAROFWEEK"), ts).cast("string"), 4, "0")
@@ -38,9 +56,9 @@ def iso_week(ts: Column) -> Column:
 def iso_week_blocker(*attribute_keys: str) -> Callable[[DataFrame], Column]:
     """A block key of the named attributes and the week; a missing attribute equals a missing one."""
 
-    def block(_: DataFrame) -> Column:
+    def block(records: DataFrame) -> Column:
         parts = [F.coalesce(F.concat(F.lit("="), F.col("attributes")[k]), F.lit("~")) for k in attribute_keys]
-        return F.concat_ws("\x1f", *parts, iso_week(F.col("ts")))
+        return F.concat_ws("\x1f", *parts, iso_week(utc(records)))
 
     return block
 
@@ -95,8 +113,8 @@ class Scorer:
             raise ValueError("max_days must be positive or None")
 
     def prepare(self, records: DataFrame) -> DataFrame:
-        """``records`` with ``_set`` (normalised words, sorted, each once) and ``_nouns``."""
-        return records.withColumn("_set", F.sort_array(F.array_distinct(tx.words(F.col("text"))))).withColumn("_nouns", tx.proper_nouns(F.col("text")))
+        """``records`` with ``_set`` (normalised words, sorted, each once), ``_nouns`` and ``_at`` (microseconds in UTC)."""
+        return records.withColumn("_at", utc_micros(records)).withColumn("_set", F.sort_array(F.array_distinct(tx.words(F.col("text"))))).withColumn("_nouns", tx.proper_nouns(F.col("text")))
 
     def score(self, pairs: DataFrame) -> DataFrame:
         """Pairs with sides ``a`` and ``b`` (prepared records as structs) that pass all tests, with the score's parts."""
@@ -106,7 +124,7 @@ class Scorer:
             near = near.withColumn("days", F.lit(None).cast("double"))
             time_term = F.lit(0.0)
         else:
-            near = near.withColumn("days", F.abs(F.unix_micros(F.col("a.ts").cast("timestamp")) - F.unix_micros(F.col("b.ts").cast("timestamp"))) / F.lit(86_400_000_000.0))
+            near = near.withColumn("days", F.abs(F.col("a._at") - F.col("b._at")) / F.lit(86_400_000_000.0))
             near = near.filter(F.col("days") <= self.max_days)
             time_term = 1 - F.col("days") / F.lit(self.max_days)
 

@@ -285,12 +285,16 @@ def build_lineups(
     chunks: int = 64,
     profiles: tuple[JitterProfile, ...] = PROFILES,
     max_pool: int = 100_000,
+    turns: str = "run",
 ) -> DataFrame:
     """``lineup_id, chunk, attempt, players (array of idx in slot order)``: distinct valid lineups, at most ``num_lineups``.
 
     The pool goes to every task, behind a check that it has at most ``max_pool`` rows.
-    Profiles take turns by the attempt's number over all chunks, so small runs use them all.
+    Profiles take turns by the attempt's number over all chunks, so small runs use them all;
+    with ``turns="chunk"`` each chunk begins with the first profile.
     """
+    if turns not in ("run", "chunk"):
+        raise ValueError(f"turns is run or chunk, not {turns!r}")
     if num_lineups < 0 or chunks < 1 or attempts_per_lineup < 1 or noise < 0 or not profiles:
         raise ValueError("num_lineups, chunks, attempts, noise and profiles are out of range")
     spark = pool.sparkSession
@@ -315,7 +319,7 @@ def build_lineups(
                 seen, found = set(), []
                 for k in range(per_chunk):
                     number = int(chunk) * per_chunk + k
-                    got = attempt(known, jittered(known, profiles[number % len(profiles)], noise, rng))
+                    got = attempt(known, jittered(known, profiles[(number if turns == "run" else k) % len(profiles)], noise, rng))
                     if got is not None and (key := frozenset(got)) not in seen:
                         seen.add(key)
                         found.append((chunk, number, [int(ids[p]) for p in got]))
@@ -325,6 +329,28 @@ def build_lineups(
     return first_distinct(made, num_lineups)
 
 
+def serial_lineups(
+    pool: pd.DataFrame, spec: RosterSpec, num_lineups: int, seed: int = 0, noise: float = 0.35, attempts_per_lineup: int = 3, profiles: tuple[JitterProfile, ...] = PROFILES
+) -> list[list[int]]:
+    """Lineups from one stream on this machine, until enough distinct ones are found or attempts run out.
+
+    The yardstick for ``build_lineups``: alike in distribution, not lineup by lineup. ``pool`` is a collected player pool.
+    """
+    rows = pool.sort_values("idx")
+    if rows.empty:
+        raise ValueError("the pool is empty")
+    arrays, idx = _Arrays.of(rows, spec), rows["idx"].tolist()
+    if len(rows) < spec.roster_size or not arrays.feasible:
+        return []
+    rng, found = np.random.default_rng(seed), {}
+    for k in range(num_lineups * attempts_per_lineup):
+        if len(found) >= num_lineups:
+            break
+        if (got := attempt(arrays, jittered(arrays, profiles[k % len(profiles)], noise, rng))) is not None:
+            found.setdefault(frozenset(got), [idx[p] for p in got])
+    return list(found.values())
+
+
 def first_distinct(made: DataFrame, num_lineups: int) -> DataFrame:
     """The first lineup of each player set in attempt order, at most ``num_lineups`` of them, numbered from 0."""
     once = made.withColumn("_set", F.array_sort("players")).groupBy("_set").agg(F.min_by(F.struct("chunk", "attempt", "players"), "attempt").alias("l")).select("l.*")
@@ -479,10 +505,104 @@ def overlap(lineups: DataFrame, id_col: str = "lineup_id") -> DataFrame:
     return common.join(F.broadcast(used), F.lit(True)).select("lineups", "players", "mean_overlap")
 
 
+def _branch(arrays: _Arrays, k: int) -> list[tuple[float, list[int]]]:
+    """The ``k`` player sets of the highest projection by depth-first search over the slots, with players in index order inside a slot.
+
+    The bound relaxes the salary cap: at a price a unit of salary, what is left can add no more
+    than the best priced players of each open slot and the price of the unspent salary. The
+    price is the one with the least bound at the root. Of lineups that tie for the last place any may stay.
+    """
+    spec, n = arrays.spec, len(arrays.salary)
+    places = [(j, c) for j, slot in enumerate(spec.slots) for c in range(slot.count)]
+    able = [np.flatnonzero(ok) for ok in arrays.eligible]
+
+    def tail(price: float) -> list[float]:
+        """What the places from each one on can add at most, at a price."""
+        worth, out = arrays.projection - price * arrays.salary, [0.0]
+        for j, c in reversed(places):
+            best = np.sort(worth[able[j]])[::-1]
+            out.append(out[-1] + float(best[min(c, len(best) - 1)]))
+        return out[::-1]
+
+    top = float(arrays.projection.max() / max(1, arrays.salary.min())) if n else 0.0
+    price = min(np.linspace(0, 2 * top, 201), key=lambda x: tail(x)[0] + x * spec.salary_cap)
+    rest = tail(price)
+    worth = arrays.projection - price * arrays.salary
+    dear = [0.0]
+    for j, c in reversed(places):
+        dear.append(dear[-1] + float(np.sort(arrays.salary[able[j]])[::-1][: c + 1][-1]))
+    dear = dear[::-1]
+    found: dict[tuple, tuple[float, list[int]]] = {}
+    bar = [-np.inf]
+    tally, used = _Tally(arrays), np.zeros(n, bool)
+    order = [x[np.lexsort((x, -worth[x]))] for x in able]
+    spot = [{int(p): i for i, p in enumerate(x)} for x in order]
+
+    def settle(picks: list[int], value: float) -> None:
+        key = tuple(sorted(picks))
+        found.setdefault(key, (value, list(picks)))
+        if len(found) >= 4 * k + 64:
+            best = sorted(found.items(), key=lambda x: (-round(x[1][0], 6), x[0]))[:k]
+            found.clear()
+            found.update(best)
+        if len(found) >= k:
+            bar[0] = sorted((round(v, 6) for v, _ in found.values()), reverse=True)[k - 1]
+
+    def search(place: int, picks: list[int], spent: int, value: float) -> None:
+        if place == len(places):
+            if spent >= spec.salary_floor:
+                settle(picks, value)
+            return
+        j, c = places[place]
+        slot = spec.slots[j]
+        least = arrays.least[j][slot.count - c - 1] + arrays.rest[j]
+        start = spot[j][picks[-1]] + 1 if c else 0
+        for p in order[j][start:]:
+            p = int(p)
+            here = value + float(arrays.projection[p])
+            cost = spent + int(arrays.salary[p])
+            # Players come by falling worth, so all later ones are below the bar too.
+            if value + float(worth[p]) + price * (spec.salary_cap - spent) + rest[place + 1] <= bar[0] + 1e-7:
+                break
+            if used[p] or cost + least > spec.salary_cap or cost + dear[place + 1] < spec.salary_floor or not tally.fits(p, slot.name):
+                continue
+            used[p] = True
+            tally.add(p, slot.name)
+            picks.append(p)
+            search(place + 1, picks, cost, here)
+            picks.pop()
+            tally.add(p, slot.name, -1)
+            used[p] = False
+
+    if k > 0 and n >= spec.roster_size and arrays.feasible:
+        search(0, [], 0, 0.0)
+    ranked = sorted(found.items(), key=lambda x: (-round(x[1][0], 6), x[0]))
+    return [v for _, v in ranked[:k]]
+
+
+def exact_lineups(pool: DataFrame, spec: RosterSpec, k: int = 1, max_pool: int = 1000) -> DataFrame:
+    """``best_lineups`` for pools that can't be enumerated, by branch and bound in one process: the same columns; see ``_branch`` for ties.
+
+    Many players with equal projection for their salary weaken the bound, and the search may take long.
+    """
+    rows = pool.orderBy("idx").limit(max_pool + 1).toPandas()
+    if len(rows) > max_pool:
+        raise ValueError(f"exact search takes at most {max_pool} players")
+    kind = "lineup_id long, players array<long>, salary long, projection double"
+    if rows.empty:
+        return pool.sparkSession.createDataFrame([], kind)
+    arrays, idx = _Arrays.of(rows, spec), rows["idx"].tolist()
+    made = [(i, [idx[p] for p in picks], int(arrays.salary[picks].sum()), round(value, 6)) for i, (value, picks) in enumerate(_branch(arrays, k))]
+    return pool.sparkSession.createDataFrame(made, kind)
+
+
 def best_lineups(pool: DataFrame, spec: RosterSpec, k: int = 1, max_pool: int = 40) -> DataFrame:
-    """The ``k`` valid lineups of the highest projection, exactly, by enumerating a small pool: ``lineup_id, players, salary, projection``."""
+    """The ``k`` valid lineups of the highest projection, exactly: ``lineup_id, players, salary, projection``.
+
+    Up to ``max_pool`` players by enumeration in joins, beyond by ``exact_lineups``.
+    """
     if pool.limit(max_pool + 1).count() > max_pool:
-        raise ValueError(f"exhaustive search takes at most {max_pool} players")
+        return exact_lineups(pool, spec, k)
     slim = pool.select("idx", "mask", "salary", "projection", *spec.group_keys)
     state = pool.sparkSession.range(1).select(
         F.array().cast("array<bigint>").alias("players"), F.lit(0).cast("bigint").alias("salary"), F.lit(0.0).alias("projection"), F.array().cast("array<string>").alias("tags")
@@ -505,6 +625,8 @@ def best_lineups(pool: DataFrame, spec: RosterSpec, k: int = 1, max_pool: int =
                 (F.col("s.projection") + F.col("c.projection")).alias("projection"), F.concat("s.tags", more).alias("tags"),
             )
     top = state.filter(F.col("salary") >= spec.salary_floor).select("players", "salary", F.round("projection", 6).alias("projection"))
-    top = top.dropDuplicates(["players"]).orderBy(F.desc("projection"), F.array_sort("players")).limit(k)
+    # The same players in other slots are the same lineup.
+    top = top.groupBy(F.array_sort("players").alias("_set")).agg(F.min(F.struct("players", "salary", "projection")).alias("l")).select("l.*")
+    top = top.orderBy(F.desc("projection"), F.array_sort("players")).limit(k)
     number = F.row_number().over(Window.orderBy(F.desc("projection"), F.array_sort("players"))) - 1  # k rows
     return top.select(number.cast("long").alias("lineup_id"), "players", "salary", "projection")

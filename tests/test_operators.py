@@ -446,3 +446,64 @@ def test_one_python_call_a_pair(spark, small):
 
     plan = q.pair_labels(spark, small)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython [lambda") + plan.count("ArrowEvalPython [<lambda>") <= 1 and plan.count("ArrowEvalPython") <= 2
+
+
+def test_exact_lineups(spark, small):
+    """Branch and bound against enumeration, on pools where salary, floor and caps bind; then a slate of 90."""
+    spec = lineup.RosterSpec(
+        ("P", "C", "OF"), (lineup.Slot("C", ("C",)), lineup.Slot("OF", ("OF",), 2), lineup.Slot("FLEX", ("OF", "C")), lineup.Slot("P", ("P",))), 21_000, 20_000, (lineup.GroupCap("team", 2),)
+    )
+    for seed in range(3):
+        rng = random.Random(seed)
+        rows = [(i, [("P", "C", "OF")[i % 3]] + (["C"] if i % 7 == 0 else []), rng.randrange(25, 60) * 100, rng.randrange(20, 90) / 7, f"t{rng.randrange(4)}") for i in range(24)]
+        pool = lineup.player_pool(spark.createDataFrame(rows, "idx long, positions array<string>, salary long, projection double, team string"), spec)
+        want = [(r["salary"], r["projection"]) for r in lineup.best_lineups(pool, spec, 6).collect()]
+        got = lineup.exact_lineups(pool, spec, 6)
+        assert [r["projection"] for r in got.collect()] == [p for _, p in want] and len(want) == 6
+        assert lineup.validity(got, pool, spec).count() == 0
+    rng = random.Random(8)
+    places = ["P", "C", "1B", "2B", "3B", "SS"]
+    rows = [(i, [places[i // 10] if i < 60 else "OF"], 2500 + rng.randrange(90) * 50, 4 + rng.random() * 14, f"t{i % 10}") for i in range(90)]
+    mlb = lineup.RosterSpec(lineup.DK_MLB_CLASSIC.positions, lineup.DK_MLB_CLASSIC.slots, 40_000, 38_000, lineup.DK_MLB_CLASSIC.groups)
+    slate = lineup.player_pool(spark.createDataFrame(rows, "idx long, positions array<string>, salary long, projection double, team string"), mlb)
+    best = lineup.best_lineups(slate, mlb, 2)
+    greedy = lineup.totals(lineup.build_lineups(slate, mlb, 60, 11), slate, mlb).agg(F.max("projection")).first()[0]
+    assert lineup.validity(best, slate, mlb).count() == 0 and best.collect()[0]["projection"] >= greedy - 1e-6
+
+
+def test_serial_lineups_are_alike(spark):
+    from larkspan.plans import simulation_queries as q
+
+    slate = q.pool(spark, "/root/testdata/sf0.01")
+    frame = slate.toPandas()
+    serial = lineup.serial_lineups(frame, q.SPEC, 60, 5)
+    worth = dict(zip(frame["idx"], frame["projection"]))
+    mean = lambda many: sum(worth[p] for x in many for p in x) / len(many)
+    for turns in ("run", "chunk"):
+        spread = [r["players"] for r in lineup.build_lineups(slate, q.SPEC, 60, 11, turns=turns).collect()]
+        assert len(spread) == len(serial) == 60 and abs(mean(serial) - mean(spread)) < 0.1 * mean(serial)
+    assert len({frozenset(x) for x in serial}) == 60
+    with pytest.raises(ValueError, match="empty"):
+        lineup.serial_lineups(frame[:0], q.SPEC, 1)
+    assert lineup.serial_lineups(frame[:5], q.SPEC, 1) == []
+
+
+def test_times_are_utc_in_any_session_zone(spark):
+    """Blocks and scores don't depend on the session's zone; times without a zone count as UTC."""
+    rows = [("a1", "x", "Will Acmecorp ship by June?", "2026-03-08 02:30:00.25", 1.0, 1), ("b1", "y", "Acmecorp ship June", "2026-03-08 23:30:00", 1.0, 2), ("b2", "y", "Acmecorp ship June", "2026-03-09 00:30:00", 1.0, 3)]
+    plain = spark.createDataFrame(rows, "id string, source string, text string, at string, value double, idx long")
+    found = {}
+    for zone in ("UTC", "America/New_York", "Asia/Tokyo"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            for kind, ts in (("naive", F.to_timestamp_ntz("at")), ("zoned", F.to_timestamp_ltz(F.concat("at", F.lit("Z"))))):
+                r = plain.withColumn("ts", ts).drop("at")
+                blocks = [(x["id"], x["b"]) for x in r.select("id", entity.iso_week_blocker()(r).alias("b")).orderBy("id").collect()]
+                pairs = [(x["left"], x["right"], round(x["days"], 9)) for x in entity.scored_pairs(r, None, None).orderBy("left", "right").collect()]
+                found[zone, kind] = (blocks, pairs)
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert len({str(x) for x in found.values()}) == 1
+    blocks, pairs = found["UTC", "naive"]
+    assert blocks == [("a1", "2026W10"), ("b1", "2026W10"), ("b2", "2026W11")]
+    assert pairs == [("a1", "b1", round((20 * 3600 + 3599.75 + 0 - 0) / 86400, 9)), ("a1", "b2", round((21 * 3600 + 3599.75) / 86400, 9))]
