@@ -230,15 +230,20 @@ def near_duplicates(
     unsettled = materialize(unsettled.filter("cs > 1 AND size > 2").select(F.col("key").alias("u_key"), "main"), "unsettled")
     open_docs = labelled.join(unsettled, F.col("key") == F.col("u_key")).groupBy("doc_id").agg(F.first("n").alias("n"), F.first("c").alias("c"), F.max(F.col("c") != F.col("main")).alias("stray"))
     open_docs = materialize(open_docs, "open")
+    merged = None
     if not open_docs.isEmpty():
         more = materialize(verify(remaining_pairs(open_docs, texts, width, percent), texts, width, percent), "links")
-        if not more.isEmpty():
-            component = materialize(connected_components(links.unionByName(more), "a", "b"), "components")
+        if not more.isEmpty():  # between components: their labels are the nodes
+            of = lambda side: open_docs.select(F.col("doc_id").alias(f"{side}_id"), F.col("c").alias(f"c_{side}"))
+            between = more.join(of("a"), F.col("a") == F.col("a_id")).join(of("b"), F.col("b") == F.col("b_id")).select("c_a", "c_b").distinct()
+            merged = connected_components(between, "c_a", "c_b").select(F.col("node").alias("m_node"), F.col("component").alias("m_component"))
 
     joined = sets.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
     by_class = classes.join(component, F.col("rep") == F.col("node"), "left").select(
         F.concat(F.lit(b"."), F.col("digest")).alias("c_digest"), F.coalesce("component", "rep").alias("component")
     )
+    if merged is not None:
+        by_class = by_class.join(merged, F.col("component") == F.col("m_node"), "left").select("c_digest", F.coalesce("m_component", "component").alias("component"))
     out = joined.join(by_class, F.concat(F.lit(b"."), F.col("digest")) == F.col("c_digest"), "left")
     component_id = F.coalesce("component", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component_id.alias("component_id"), F.col("doc_id").eqNullSafe(component_id).alias("kept"))
