@@ -1,7 +1,14 @@
 """Corpus pipeline: quality classifier, exact dedup, near dedup, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and returns
-a DataFrame; all but the last return the columns of ``documents``.
+a DataFrame; all but the last return the columns of ``documents``, whatever others there are
+beside the five that stages read.
+
+Defined results, by stage: texts without words (null, empty, blank) are rejected by the
+classifier; rows that repeat a ``doc_id`` and its text share every stage's decision, so they
+stay or go together; rows without ``doc_id`` are never dropped as copies, and share the
+classifier's and the mixture's decision; a null language or source is a category of its own;
+very long texts count whole; an empty table gives an empty result at every stage.
 """
 
 from __future__ import annotations

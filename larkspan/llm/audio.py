@@ -6,17 +6,21 @@ areas of that image - sums that an integral image gives in four look-ups - and e
 answer takes two bits of a 32-bit integer, so a recording becomes a list of integers.
 
 Two recordings are aligned by an offset histogram: every integer that both hold votes for the
-difference of its places; one integer alone, as noise seldom leaves several in a row whole. The best offset must have ``min_votes``, and the share of differing bits over the
-overlap must be at most ``max_error``.
-
-The search takes a stated set of queries. Recordings with equal fingerprints are a class
-and only its smallest id is indexed, so copies cost nothing; landmarks meet in a join on
-their own value, counts per (query, recording, offset) are summed before the shuffle, and
-nothing is dropped for being frequent.
+difference of its places. One integer alone votes, as noise seldom leaves several in a row
+whole; an integer that repeats the one before it (silence, a steady tone) doesn't. The best
+offset needs ``min_votes`` and an overlap of ``min_overlap`` integers (or of the whole shorter
+recording), and the share of differing bits over the overlap must be at most ``max_error``.
+
+The search takes a stated set of queries against all recordings, in blocks: recordings are
+dealt by a hash to chunks of about ``chunk_ints`` integers, queries to blocks of about
+``block_ints``, and a task holds one of each, the block as an inverted index. Votes are counted
+there, part by part, so integers that many recordings share cost time but neither shuffle nor
+memory, and only aligned pairs leave the task. Recordings with equal fingerprints are a class
+and only its smallest id is searched, so copies cost nothing; nothing is dropped for being frequent.
 
 Defined results: null, empty, torn or too short audio has an empty fingerprint, belongs to a
-class of its own and matches nothing; ties between offsets go to the smallest absolute, then
-smallest offset, ties between queries to the lower error, then the smaller id; rows that
+class of its own and matches nothing; ties between offsets go to the lower error, then the smallest
+absolute, then smallest offset, ties between queries to the lower error, then the smaller id; rows that
 repeat an id and audio are repeated in the result; an empty table gives an empty result;
 extra columns are ignored.
 """
@@ -33,7 +37,6 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspan.llm.common import mix64
 from larkspan.sources import materialize, table
 
 RATE, FRAME, HOP = 4000, 1024, 256
@@ -57,6 +60,9 @@ def read_wav(data: bytes | None) -> tuple[np.ndarray, int]:
         x = np.frombuffer(raw, np.uint8).astype(np.float64) / 128 - 1
     elif width in (2, 4):
         x = np.frombuffer(raw[: len(raw) // width * width], f"<i{width}").astype(np.float64) / 2 ** (8 * width - 1)
+    elif width == 3:
+        low, mid, top = (np.frombuffer(raw[: len(raw) // 3 * 3], np.uint8)[i::3].astype(np.int64) for i in range(3))
+        x = (((top ^ 0x80) - 0x80) * 65536 + mid * 256 + low) / 2**23
     else:
         return np.zeros(0), RATE
     x = x[: len(x) // channels * channels].reshape(-1, channels).mean(axis=1)
@@ -143,8 +149,56 @@ def align(a: np.ndarray, b: np.ndarray, offset: int) -> float:
 
 
 def landmarks(prints: np.ndarray) -> np.ndarray:
-    """64-bit keys of the integers."""
-    return mix64(prints.astype(np.uint64)).view(np.int64)
+    """The places of the integers that vote: those that differ from the one before."""
+    return np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]])) if len(prints) else np.zeros(0, np.int64)
+
+
+class QueryIndex:
+    """The landmarks of a block of queries, by value."""
+
+    def __init__(self, prints: list[np.ndarray]) -> None:
+        self.prints = prints
+        places = [landmarks(x) for x in prints]
+        values = np.concatenate([np.zeros(0, np.uint32), *(x[at] for x, at in zip(prints, places))])
+        order = np.argsort(values, kind="stable")
+        self.values = values[order]
+        self.query = np.repeat(np.arange(len(prints)), [len(x) for x in places])[order]
+        self.place = np.concatenate([np.zeros(0, np.int64), *places])[order]
+
+    def votes(self, prints: np.ndarray, most: int = 2_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``query, offset, votes`` of a recording, merged part by part: about ``most`` equal pairs are held at a time."""
+        at = landmarks(prints)
+        low, high = (np.searchsorted(self.values, prints[at], side) for side in ("left", "right"))
+        shift = len(prints)
+        codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        begin, seen = 0, np.cumsum(high - low)
+        while begin < len(at):
+            end = max(begin + 1, int(np.searchsorted(seen, (seen[begin - 1] if begin else 0) + most, "right")))
+            n = (high - low)[begin:end]
+            hit = np.repeat(low[begin:end] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            new = (self.query[hit] << 40) + (self.place[hit] - np.repeat(at[begin:end], n) + shift)
+            new, times = np.unique(new, return_counts=True)
+            if len(codes):
+                new, back = np.unique(np.concatenate([codes, new]), return_inverse=True)
+                times = np.bincount(back, weights=np.concatenate([counts, times])).astype(np.int64)
+            codes, counts, begin = new, times, end
+        return codes >> 40, (codes & ((1 << 40) - 1)) - shift, counts
+
+    def matches(self, prints: np.ndarray, min_votes: int, max_error: float, min_overlap: int) -> list[tuple[int, int, int, float]]:
+        """``(query, offset, votes, bit error)`` of each query that aligns with a recording; offsets count from the query's start."""
+        query, offset, votes = self.votes(prints)
+        size = np.array([len(x) for x in self.prints], np.int64)[query]
+        overlap = np.minimum(size, len(prints) + offset) - np.maximum(0, offset)
+        use = (votes >= min_votes) & (overlap >= np.minimum(min_overlap, np.minimum(size, len(prints))))
+        query, offset, votes = query[use], offset[use], votes[use]
+        first = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1]])) if len(query) else np.zeros(0, np.int64)
+        top = np.repeat(np.maximum.reduceat(votes, first) if len(first) else votes, np.diff(np.append(first, len(query))))
+        best: dict[int, tuple] = {}
+        for q, o, v in zip(query[votes == top].tolist(), offset[votes == top].tolist(), votes[votes == top].tolist()):
+            found = (align(self.prints[q], prints, o), abs(o), o, v)
+            if q not in best or found < best[q]:
+                best[q] = found
+        return [(q, o, v, error) for q, (error, _, o, v) in best.items() if error <= max_error]
 
 
 def fingerprints(media: DataFrame, id_col: str, audio_col: str) -> DataFrame:
@@ -162,49 +216,38 @@ def fingerprints(media: DataFrame, id_col: str, audio_col: str) -> DataFrame:
     return media.select(F.col(id_col).alias("id"), F.col(audio_col).alias("audio")).mapInArrow(run, f"id {kind}, prints array<int>, digest string")
 
 
-def search(printed: DataFrame, queries: DataFrame, min_votes: int = 4, max_error: float = 0.2) -> DataFrame:
+def search(
+    printed: DataFrame, queries: DataFrame, min_votes: int = 2, max_error: float = 0.2, min_overlap: int = 16, chunk_ints: int = 100_000, block_ints: int = 1_000_000
+) -> DataFrame:
     """Aligned pairs of ``queries`` (``id, prints``) and ``printed``: ``query_id, match_id, offset, votes, bit_error``.
 
     Ids are to be distinct on either side. A recording isn't paired with itself.
     """
-
-    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, prints in zip(batch.column(0), batch.column(1)):
-                keys = landmarks(np.asarray(prints.as_py() or [], np.int32).view(np.uint32))
-                yield pa.RecordBatch.from_arrays([pa.array([i.as_py()] * len(keys), batch.schema.field(0).type), pa.array(keys), pa.array(np.arange(len(keys), dtype=np.int32))], names=["id", "key", "at"])
-
+    ints = lambda df: df.agg(F.coalesce(F.sum(F.size("prints")), F.lit(0))).first()[0]
+    chunks, blocks = max(1, -(-ints(printed) // chunk_ints)), max(1, -(-ints(queries) // block_ints))
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select(dealt(blocks).alias("block"), every(chunks).alias("chunk"), F.col("id").alias("q_id"), F.col("prints").alias("q_prints"))
+    right = printed.select(every(blocks).alias("block"), dealt(chunks).alias("chunk"), F.col("id").alias("m_id"), F.col("prints").alias("m_prints"))
     kind = printed.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, key long, at int"
-    left = queries.select("id", "prints").mapInArrow(marks, schema).select(F.col("id").alias("query_id"), F.col("key").alias("q_key"), F.col("at").alias("q_at"))
-    right = printed.select("id", "prints").mapInArrow(marks, schema)
-    votes = (
-        right.join(left, (F.col("key") == F.col("q_key")) & (F.col("id") != F.col("query_id")))
-        .groupBy("query_id", F.col("id").alias("match_id"), (F.col("q_at") - F.col("at")).alias("offset"))
-        .agg(F.count(F.lit(1)).alias("votes"))
-    )
-    best = (
-        votes.groupBy("query_id", "match_id")
-        .agg(F.max_by(F.struct("offset", "votes"), F.struct("votes", -F.abs("offset"), -F.col("offset"))).alias("b"))
-        .select("query_id", "match_id", "b.offset", "b.votes")
-        .filter(F.col("votes") >= min_votes)
-    )
-    sides = best.join(queries.select(F.col("id").alias("query_id"), F.col("prints").alias("q_prints")), "query_id")
-    sides = sides.join(printed.select(F.col("id").alias("match_id"), F.col("prints").alias("m_prints")), "match_id")
 
-    def errors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = ([np.asarray(x, np.int32).view(np.uint32) for x in batch.column(k).to_pylist()] for k in (4, 5))
-            found = pa.array([align(x, y, o) for x, y, o in zip(a, b, batch.column(2).to_pylist())], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], found], names=["query_id", "match_id", "offset", "votes", "bit_error"])
+    def lists(column: pa.ChunkedArray) -> list[np.ndarray]:
+        return [np.asarray(x.values if x.is_valid else [], np.int32).view(np.uint32) for part in column.chunks for x in part]
 
-    paired = sides.select("query_id", "match_id", "offset", "votes", "q_prints", "m_prints").mapInArrow(
-        errors, f"query_id {kind}, match_id {kind}, offset int, votes long, bit_error double"
-    )
-    return paired.filter(F.col("bit_error") <= max_error)
+    def run(asked: pa.Table, media: pa.Table) -> pa.Table:
+        kind, found = media.schema.field("m_id").type if len(media) else asked.schema.field("q_id").type, []
+        if len(asked) and len(media):  # a side without rows has no columns
+            index, own = QueryIndex(lists(asked["q_prints"])), asked["q_id"].to_pylist()
+            for i, prints in zip(media["m_id"].to_pylist(), lists(media["m_prints"])):
+                found += [(own[q], i, o, v, e) for q, o, v, e in index.matches(prints, min_votes, max_error, min_overlap) if own[q] != i]
+        columns = zip(zip(*found) if found else [()] * 5, (kind, kind, pa.int32(), pa.int64(), pa.float64()))
+        return pa.table([pa.array(x, t) for x, t in columns], names=["query_id", "match_id", "offset", "votes", "bit_error"])
+
+    by = ("block", "chunk")
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(run, f"query_id {kind}, match_id {kind}, offset int, votes long, bit_error double")
 
 
-def match_media(media: DataFrame, id_col: str = "id", audio_col: str = "audio", every: int = 20, min_votes: int = 4, max_error: float = 0.2) -> DataFrame:
+def match_media(media: DataFrame, id_col: str = "id", audio_col: str = "audio", every: int = 20, min_votes: int = 2, max_error: float = 0.2) -> DataFrame:
     """Fingerprint all rows and search with those whose id is divisible by ``every``.
 
     One row per row: ``id, n_ints, digest, class_id, n_matches, best_query, best_offset,

@@ -695,3 +695,29 @@ def test_pipeline(spark, tmp_path):
             assert all(c[1] == i for i, c in brute_components([tuple(r) for r in left.select("doc_id", "text").collect()]).items())
     out = cp.STAGES[-1][1](spark, left, sf)
     assert {r[0] for r in out.select("doc_id").collect()} == {r[0] for r in left.select("doc_id").collect()}
+
+
+def test_pipeline_odd_rows(spark, odd, small, tmp_path):
+    """Every stage on nulls, empty and very long texts, repeated rows and clashing columns, and on an empty table."""
+    import corpus_pipeline as cp
+
+    def rows(df):
+        return Counter(tuple(r) for r in df.collect())
+
+    whole = rows(odd)
+    for name, stage in cp.STAGES[:-1]:
+        kept = stage(spark, odd, small)
+        assert kept.columns == odd.columns
+        got = rows(kept)
+        assert all(n == whole[r] for r, n in got.items()), name  # repeated rows stay or go together
+        text = {r[0]: r[1] for r in got}
+        if name == "quality classifier":
+            assert not any(t is None or not t.strip() for t in text.values())
+        if name == "exact dedup":
+            assert set(text) == {2, 4, 1, 5, 6, 7, None} - ({5} if 5 not in text else set()) and 3 not in text and 0 not in text
+        if name == "near dedup":
+            assert 4 not in text and 3 in text and {0, 1, 2, None} <= set(text)
+        empty = stage(spark, odd.limit(0), small)
+        assert empty.columns == odd.columns and empty.count() == 0
+    packed = cp.STAGES[-1][1](spark, odd, small)
+    assert packed.count() == odd.count() and cp.STAGES[-1][1](spark, odd.limit(0), small).count() == 0
