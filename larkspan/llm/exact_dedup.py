@@ -3,9 +3,10 @@
 A text is cut where its own content says so (after a sentence or line end, between
 ``min_chunk`` and ``max_chunk`` characters), each chunk becomes a 64-bit identifier, and
 two texts are equal when their ordered identifier lists - their recipes - are equal. The
-identifiers are verified: every chunk also has a SHA-256 digest, and where one
-identifier stands for two digests the documents that hold it get those digests added to
-their recipes. Only identifiers and digests move between tasks; texts never do.
+identifiers are verified: every distinct chunk also has a SHA-256 digest, and a document that
+holds an identifier that stands for two digests gets its chunks' digests added to its recipe,
+within its own row. Only identifiers and digests move between tasks; texts never do, and of a
+chunk that many documents share each task sends one row.
 
 Defined results:
 
@@ -25,7 +26,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspan.sources import table
+from larkspan.sources import materialize, table
+
+#: Identifiers that stand for two chunks; 64 bits make even one unlikely below billions of distinct chunks. With more than this all recipes get digests.
+MAX_LISTED = 10_000
 
 
 def chunks_of(text: Column, min_chunk: int = 512, max_chunk: int = 4096) -> Column:
@@ -46,23 +50,24 @@ def chunk_recipes(
         "doc_id",
         F.sha2("whole", 256).alias("text_sha256"),
         F.transform("chunks", lambda c: F.xxhash64(c)).alias("recipe"),
+        "chunks",
     )
-    digests = cut.select(
-        "doc_id",
-        F.posexplode(F.transform("chunks", lambda c: F.struct(F.xxhash64(c).alias("id"), F.unhex(F.sha2(c, 256)).alias("digest")))).alias("pos", "c"),
-    ).select("doc_id", "pos", "c.id", "c.digest")
-    colliding = (
-        digests.groupBy("id")
-        .agg(F.min("digest").alias("low"), F.max("digest").alias("high"))
-        .filter("low <> high")
-        .select("id")
-    )
-    extra = (
-        digests.join(colliding, "id", "left_semi")
-        .groupBy("doc_id")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "digest"))), lambda x: x["digest"]).alias("extra"))
-    )
-    return recipes.join(extra, "doc_id", "left").select("doc_id", "text_sha256", "recipe", "extra")
+    found = cut.select(F.explode(F.transform("chunks", lambda c: F.struct(F.xxhash64(c).alias("id"), F.unhex(F.sha2(c, 256)).alias("digest")))).alias("c"))
+    colliding = found.groupBy("c.id").agg(F.min("c.digest").alias("low"), F.max("c.digest").alias("high")).filter("low <> high").select("id")
+    return _with_digests(recipes, [r["id"] for r in materialize(colliding, "colliding").limit(MAX_LISTED + 1).collect()])
+
+
+def _with_digests(recipes: DataFrame, colliding: list[int]) -> DataFrame:
+    """``recipes`` (with ``chunks``) with ``extra``: the chunks' digests of documents that hold a colliding identifier, of all if too many collide."""
+    digests = F.transform("chunks", lambda c: F.unhex(F.sha2(c, 256)))
+    if len(colliding) > MAX_LISTED:
+        extra = digests
+    elif colliding:
+        listed = F.array(*[F.lit(x).cast("long") for x in colliding])
+        extra = F.when(F.arrays_overlap("recipe", listed), digests)
+    else:
+        extra = F.lit(None).cast("array<binary>")
+    return recipes.select("doc_id", "text_sha256", "recipe", extra.alias("extra"))
 
 
 def exact_groups(
