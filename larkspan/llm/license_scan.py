@@ -4,8 +4,10 @@ Case, punctuation, copyright lines, white space and equivalent spellings are nor
 away, the whole canonical text is hashed with SHA-256, and the digest is hash-joined to
 the digests of known licence texts. The same lookup runs over every line of the text, so a
 one-line notice inside a longer document is found too: a line counts when all of it is a
-known text. Known texts are a fixed list (or the caller's table, which is broadcast only
-if its row count is at most ``broadcast_rows``).
+known text. Known texts are a fixed list, with the digests alone of long licences (or the
+caller's table, which is broadcast only if its row count is at most ``broadcast_rows``).
+Lines are looked up within their own row, and only those as long as a known text are hashed;
+over ``few`` known texts they meet the digests in a join instead.
 
 Defined results:
 
@@ -22,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspan.sources import table
+from larkspan.sources import materialize, table
 
 # Public licence texts and customary one-line notices, by SPDX name.
 _WARRANTY_BSD = (
@@ -97,6 +99,23 @@ KNOWN_TEXTS = [
     ),
 ]
 
+# Digests of the canonical form of long public licence texts, as Debian ships them, by SPDX name.
+KNOWN_DIGESTS = [
+    ("Apache-2.0", "4580e5390400d27df89edd0617548ac0e66eaa029f6e07cf98aac9cd100b3a37"),
+    ("Artistic-1.0-Perl", "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2", "1c057ea35084eb195331cec1a49fca335c176422a7726a9a23636906fd4e241f"),
+    ("GFDL-1.3", "7e8edd3abe6258bb82bb853d91a0c24fcd9976894fd0592747354cffe1cb18e7"),
+    ("GPL-1.0", "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224"),
+    ("GPL-2.0", "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"),
+    ("GPL-3.0", "a8cd54d6683aa630f0b8d05d56184ad91dc486756da2df61c94d3e4e8d5ecb68"),
+    ("LGPL-2.0", "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908"),
+    ("LGPL-2.1", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "fbe9a0b96f52e03cb474f9a7083781399c011279e85b548118563ec96e659354"),
+    ("MPL-2.0", "9e79a7d513376f6fa1500e4df4f6276c6e7e61c5c3e28dcdb1acee24033acc56"),
+]
+
 # Spellings that count as equal, applied in this order to lower-case text without punctuation.
 EQUIVALENT_SPELLINGS = [
     ("licenc", "licens"),
@@ -142,12 +161,40 @@ def canonical_lines(text: Column) -> Column:
 
 
 def known_digests(spark: SparkSession, known: DataFrame | None = None) -> DataFrame:
-    """``digest, license``: one row per canonical text; ``known`` has the columns ``license, text``."""
-    if known is None:
+    """``digest, license, length``: one row per canonical text and its length; ``known`` has the columns ``license, text``.
+
+    Without ``known``, the fixed texts and, for long licences, the fixed digests (their length is null: they are no one-line notices).
+    """
+    fixed = known is None
+    if fixed:
         rows = F.array(*[F.struct(F.lit(name).alias("license"), F.lit(text).alias("text")) for name, text in KNOWN_TEXTS])
         known = spark.range(1).select(F.inline(rows))
-    digest = F.sha2(F.array_join(canonical_lines(F.coalesce("text", F.lit(""))), " "), 256)
-    return known.select(digest.alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
+    whole = F.array_join(canonical_lines(F.coalesce("text", F.lit(""))), " ")
+    out = known.select(F.sha2(whole, 256).alias("digest"), "license", F.length(whole).alias("length"))
+    if fixed:
+        long_ = F.array(*[F.struct(F.lit(digest).alias("digest"), F.lit(name).alias("license"), F.lit(None).cast("int").alias("length")) for name, digest in KNOWN_DIGESTS])
+        out = out.unionByName(spark.range(1).select(F.inline(long_)))
+    return out.groupBy("digest").agg(F.min("license").alias("license"), F.min("length").alias("length"))
+
+
+def _notices_in_row(lines: DataFrame, digests: DataFrame, few: int) -> DataFrame | None:
+    """``lines`` with ``found``, the licences of lines that are known texts; None if over ``few`` texts are known."""
+    listed = digests.limit(few + 1).collect()
+    if len(listed) > few:
+        return None
+    names = F.create_map(*[F.lit(x) for r in listed for x in (r["digest"], r["license"])])
+    lengths = sorted({r["length"] for r in listed if r["length"]})
+    named = F.transform(F.filter("lines", lambda x: F.length(x).isin(lengths)), lambda x: F.try_element_at(names, F.sha2(x, 256)))
+    return lines.withColumn("found", F.filter(named, lambda x: x.isNotNull()))
+
+
+def _notices_by_join(lines: DataFrame, digests: DataFrame) -> DataFrame:
+    """The same for any number of known texts: lines meet digests in a join, under a number that is written with each row."""
+    numbered = materialize(lines.withColumn("row", F.monotonically_increasing_id()), "lines")
+    met = numbered.select("row", F.explode("lines").alias("line")).join(digests.select(F.col("digest").alias("d"), "license"), F.sha2("line", 256) == F.col("d"))
+    found = met.groupBy("row", "license").agg(F.count(F.lit(1)).alias("n"))
+    found = found.groupBy(F.col("row").alias("f_row")).agg(F.flatten(F.collect_list(F.array_repeat("license", F.col("n").cast("int")))).alias("found"))
+    return numbered.join(found, F.col("row") == F.col("f_row"), "left").select("doc_id", "lines", F.coalesce("found", F.array().cast("array<string>")).alias("found"))
 
 
 def scan(
@@ -156,35 +203,24 @@ def scan(
     id_col: str = "doc_id",
     text_col: str = "text",
     broadcast_rows: int = 20_000,
+    few: int = 500,
 ) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, text_digest, license, notices, n_lines``."""
     spark = docs.sparkSession
     digests = known_digests(spark, known)
+    lines = docs.select(F.col(id_col).alias("doc_id"), canonical_lines(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("lines"))
+    noted = _notices_in_row(lines, digests, few)
+    noted = _notices_by_join(lines, digests) if noted is None else noted
+    side = digests.select(F.col("digest").alias("known_digest"), "license")
     if known is None or known.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        digests = F.broadcast(digests)
-    lines = docs.select(
-        F.col(id_col).alias("doc_id"), canonical_lines(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("lines")
-    )
-    texts = lines.select(
-        "doc_id", F.when(F.size("lines") > 0, F.sha2(F.array_join("lines", " "), 256)).alias("text_digest")
-    ).join(digests.withColumnRenamed("digest", "text_digest"), "text_digest", "left")
-    notices = (
-        lines.select("doc_id", F.explode("lines").alias("line"))
-        .select("doc_id", F.sha2("line", 256).alias("digest"))
-        .join(digests, "digest")
-        .groupBy("doc_id", "license")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("doc_id")
-        .agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"), F.sum("n").alias("n_lines"))
-        .withColumnRenamed("doc_id", "n_doc_id")
-    )
-    return texts.join(notices, texts["doc_id"].eqNullSafe(notices["n_doc_id"]), "left").select(
+        side = F.broadcast(side)
+    texts = noted.select(
         "doc_id",
-        "text_digest",
-        "license",
-        F.coalesce("notices", F.lit("")).alias("notices"),
-        F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"),
+        F.when(F.size("lines") > 0, F.sha2(F.array_join("lines", " "), 256)).alias("text_digest"),
+        F.array_join(F.array_sort(F.array_distinct("found")), ",").alias("notices"),
+        F.size("found").cast("long").alias("n_lines"),
     )
+    return texts.join(side, F.col("text_digest") == F.col("known_digest"), "left").select("doc_id", "text_digest", "license", "notices", "n_lines")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,12 +242,13 @@ def _canonical_sql(text: str) -> str:
 
 ORACLE = f"""
 WITH known AS (
-  SELECT sha256(array_to_string({_canonical_sql("t")}, ' ')) AS digest, min(l) AS license
-  FROM (VALUES {", ".join(f"({_sql_text(a)}, {_sql_text(b)})" for a, b in KNOWN_TEXTS)}) v(l, t) GROUP BY 1),
-d AS (SELECT doc_id, {_canonical_sql("coalesce(text, '')")} AS lines FROM documents),
-t AS (SELECT doc_id, CASE WHEN len(lines) > 0 THEN sha256(array_to_string(lines, ' ')) END AS text_digest FROM d),
-n AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS notices, count(*) AS n_lines
-      FROM (SELECT doc_id, unnest(lines) AS line FROM d) x JOIN known ON sha256(line) = digest GROUP BY doc_id)
+  SELECT digest, min(l) AS license FROM (
+    SELECT sha256(array_to_string({_canonical_sql("t")}, ' ')) AS digest, l FROM (VALUES {", ".join(f"({_sql_text(a)}, {_sql_text(b)})" for a, b in KNOWN_TEXTS)}) v(l, t)
+    UNION ALL SELECT d, l FROM (VALUES {", ".join(f"({_sql_text(a)}, {_sql_text(b)})" for a, b in KNOWN_DIGESTS)}) w(l, d)) GROUP BY 1),
+d AS (SELECT row_number() OVER () AS row, doc_id, {_canonical_sql("coalesce(text, '')")} AS lines FROM documents),
+t AS (SELECT row, doc_id, CASE WHEN len(lines) > 0 THEN sha256(array_to_string(lines, ' ')) END AS text_digest FROM d),
+n AS (SELECT row, string_agg(DISTINCT license, ',' ORDER BY license) AS notices, count(*) AS n_lines
+      FROM (SELECT row, unnest(lines) AS line FROM d) x JOIN known ON sha256(line) = digest GROUP BY row)
 SELECT t.doc_id, t.text_digest, k.license, coalesce(n.notices, '') AS notices, CAST(coalesce(n.n_lines, 0) AS BIGINT) AS n_lines
-FROM t LEFT JOIN known k ON k.digest = t.text_digest LEFT JOIN n ON n.doc_id = t.doc_id
+FROM t LEFT JOIN known k ON k.digest = t.text_digest LEFT JOIN n ON n.row = t.row
 """
