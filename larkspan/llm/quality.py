@@ -58,12 +58,24 @@ def count(marked: DataFrame, buckets: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, sums = HashCache(), np.zeros((2, buckets), np.int64)
+        held, size = ([], []), 0
+
+        def add() -> None:
+            for row, parts in zip(sums, held):
+                if parts:
+                    row += np.bincount(np.concatenate(parts), minlength=buckets)
+                parts.clear()
+
         for batch in batches:
             for text, good in zip(batch.column(0), batch.column(1)):
                 found = ngram_buckets(text.as_py(), cache, buckets)
-                np.add.at(sums[0], found, 1)
-                if good.as_py():
-                    np.add.at(sums[1], found, 1)
+                size += len(found)
+                for parts in held if good.as_py() else held[:1]:
+                    parts.append(found)
+                if size > 1_000_000:
+                    add()
+                    size = 0
+        add()
         at = np.flatnonzero(sums[0])
         yield pa.RecordBatch.from_pydict({"bucket": at, "raw": sums[0][at], "good": sums[1][at]})
 
