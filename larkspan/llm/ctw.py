@@ -476,7 +476,7 @@ class PartedTree:
         return self.loaded[part]
 
     def _each(self, grams: np.ndarray, look: str) -> np.ndarray:
-        part = part_of(grams, self.depth, self.parts)
+        part = part_of(grams, self.depth, self.parts).astype(np.uint16)  # below 65,536, and sorted by radix in this type
         order, out = np.argsort(part, kind="stable"), np.empty(len(grams))
         for at in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
             if len(at):

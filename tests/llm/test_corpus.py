@@ -62,6 +62,19 @@ def test_mixing_meets_targets(spark):
     assert {r["doc_id"]: r["kept"] for r in out} == {r["doc_id"]: r["kept"] for r in again}
 
 
+def test_mixing_marginals_on_the_query(spark):
+    """After the query's rounds all three marginals of the calibrated token weights are at their targets, not the last one only."""
+    rows = registry.QUERIES["op1_mixing"](spark, "/root/testdata/sf0.01").collect()
+    for k, (name, power) in enumerate((("source", 0.6), ("lang", 0.7), ("topic", 0.8))):
+        tokens, weight = Counter(), Counter()
+        for r in rows:
+            tokens[r[name]] += r["tokens"]
+            weight[r[name]] += r["tokens"] * r["probability"]
+        goal = {x: n**power for x, n in tokens.items() if n}
+        for x in goal:
+            assert abs(weight[x] / sum(weight.values()) - goal[x] / sum(goal.values())) < (2e-3 if k < 2 else 1e-4)
+
+
 def test_mixing_odd_rows(spark, odd):
     out = mixing.mix(odd)
     assert out.count() == odd.count()
