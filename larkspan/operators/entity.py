@@ -163,13 +163,20 @@ def candidate_pairs(records: DataFrame, blocker: Callable[[DataFrame], Column] |
     return a.join(b, on).select("a", "b")
 
 
-def scored_pairs(records: DataFrame, scorer: Scorer | None = None, blocker=None, cross_source: bool = True) -> DataFrame:
-    """``left, right`` (canonical order), ``confidence, fuzz, jaccard, noun_diff, days`` of pairs that pass the score's tests."""
+def scored_pairs(records: DataFrame, scorer: Scorer | Callable[[Column, Column], Column] | None = None, blocker=None, cross_source: bool = True) -> DataFrame:
+    """``left, right`` (canonical order), ``confidence, fuzz, jaccard, noun_diff, days`` of pairs that pass the score's tests.
+
+    ``scorer`` may also be a function of the two records (struct columns): its confidence, or a
+    struct with a field ``confidence`` whose fields become the columns; null rejects a pair.
+    """
+    ends = (F.least("a.id", "b.id").alias("left"), F.greatest("a.id", "b.id").alias("right"))
+    if scorer is not None and not hasattr(scorer, "score"):
+        pairs = _where(candidate_pairs(records, blocker, cross_source), "_score", scorer(F.col("a"), F.col("b")), lambda x: x.isNotNull())
+        whole = pairs.schema["_score"].dataType.typeName() == "struct"
+        return pairs.select(*ends, *(["_score.*"] if whole else [F.col("_score").cast("double").alias("confidence")]))
     scorer = scorer or Scorer()
     pairs = scorer.score(candidate_pairs(scorer.prepare(records), blocker, cross_source))
-    return pairs.select(
-        F.least("a.id", "b.id").alias("left"), F.greatest("a.id", "b.id").alias("right"), "confidence", "fuzz", "jaccard", "noun_diff", "days"
-    )
+    return pairs.select(*ends, "confidence", "fuzz", "jaccard", "noun_diff", "days")
 
 
 def label_pairs(pairs: DataFrame, threshold: float = THRESHOLD, margin: float = REVIEW_MARGIN) -> DataFrame:
@@ -218,7 +225,7 @@ class Resolution:
 
 def resolve(
     records: DataFrame,
-    scorer: Scorer | None = None,
+    scorer: Scorer | Callable[[Column, Column], Column] | None = None,
     blocker: Callable[[DataFrame], Column] | None = None,
     threshold: float = THRESHOLD,
     margin: float = REVIEW_MARGIN,

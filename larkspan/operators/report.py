@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import platform
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +22,12 @@ def hardware_id(cpu: Column, system: Column) -> Column:
     return F.concat_ws("-", tidy(cpu), tidy(system))
 
 
+def environment(spark: SparkSession) -> dict[str, str]:
+    """Versions that a result's numbers depend on."""
+    java = spark._jvm.System.getProperty
+    return {"spark": spark.version, "java": java("java.version"), "arch": java("os.arch"), "python": platform.python_version(), "numpy": np.__version__, "pyarrow": pa.__version__}
+
+
 def convert_cases(raw: DataFrame) -> DataFrame:
     """``case, impl, params, n, mean, median, stddev, min`` of benchmark dumps; a case or impl that is missing is an error."""
     each = raw.select(F.explode("benchmarks").alias("b"))

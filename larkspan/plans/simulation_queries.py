@@ -56,6 +56,13 @@ def mc_entity_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
     return known.lookup(drawn, "at").groupBy("batch").agg(F.count(F.lit(1)).alias("trials"), F.avg(value).alias("mean"))
 
 
+def mc_entity_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same draws from a cache of arrays that goes with the simulation."""
+    cache = montecarlo.EntityCache.from_frame(entities(spark, sf_dir).withColumn("mean", F.col("mean").cast("double")), "s_suppkey", ["mean", "stddev"])
+    drawn = montecarlo.trials(spark, montecarlo.CachedNormal(cache), 100_000, 5_000, 4)
+    return drawn.groupBy("batch").agg(F.count(F.lit(1)).alias("trials"), F.avg("value").alias("mean"))
+
+
 def duplicate_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
@@ -230,7 +237,7 @@ def hardware_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        mc_batches, mc_coin_hash, mc_entity_normal_hash, mc_numpy_coin, mc_indexed, mc_costly, mc_entity_cached, duplicate_entities, position_masks, lineup_eligibility, lineup_bounds,
+        mc_batches, mc_coin_hash, mc_entity_normal_hash, mc_numpy_coin, mc_indexed, mc_costly, mc_entity_cached, mc_entity_arrays, duplicate_entities, position_masks, lineup_eligibility, lineup_bounds,
         lineup_objectives, lineup_greedy_hash, lineup_repaired, lineup_generated, lineup_validity, lineup_broken, lineup_totals, lineup_overlap, lineup_overlap_hash, lineup_best, tail_excess, bench_cases, bench_results_file, bench_ratio,
         bench_ratio_named, bench_relative, latest_result, hardware_ids,
     )

@@ -416,6 +416,8 @@ def test_all_entities_are_drawn(spark):
     for b in range(20):
         want = montecarlo.run_batch(sim, 4, b, b * 5_000, (b + 1) * 5_000)
         assert got[b][0] == 5_000 and abs(got[b][1] - sum(want) / 5_000) < 1e-9
+    for r in q.mc_entity_arrays(spark, sf).collect():
+        assert r["trials"] == 5_000 and abs(r["mean"] - got[r["batch"]][1]) < 1e-9
 
 
 def test_recall_truth_over_all_customers(spark, small):
@@ -507,3 +509,19 @@ def test_times_are_utc_in_any_session_zone(spark):
     blocks, pairs = found["UTC", "naive"]
     assert blocks == [("a1", "2026W10"), ("b1", "2026W10"), ("b2", "2026W11")]
     assert pairs == [("a1", "b1", round((20 * 3600 + 3599.75 + 0 - 0) / 86400, 9)), ("a1", "b2", round((21 * 3600 + 3599.75) / 86400, 9))]
+
+
+def test_plain_functions_score_pairs(spark):
+    """A scorer may be a function of two records: a confidence, or a struct with one; null rejects."""
+    rows = [("a", "x", "t", None, 1.0, 1), ("b", "y", "t", None, 1.0, 2), ("c", "y", "t", None, 3.0, 3)]
+    records = spark.createDataFrame(rows, "id string, source string, text string, ts timestamp, value double, idx long")
+    close = lambda a, b: F.when(F.abs(a["value"] - b["value"]) < 5, 1 - F.abs(a["value"] - b["value"]) / 5)
+    plain = entity.resolve(records, close, threshold=0.9)
+    assert {(r["left"], r["right"], r["label"]) for r in plain.pairs.collect()} == {("a", "b", "matched"), ("a", "c", "none")}
+    assert [(r["id"], r["size"]) for r in plain.assignments.orderBy("id").collect()] == [("a", 2), ("b", 2)]
+    whole = entity.scored_pairs(records, lambda a, b: F.when(a["value"] == b["value"], F.struct(F.lit(0.7).alias("confidence"), a["text"].alias("why"))))
+    assert [tuple(r) for r in whole.collect()] == [("a", "b", 0.7, "t")] and whole.columns == ["left", "right", "confidence", "why"]
+
+
+def test_environment(spark):
+    assert report.environment(spark)["spark"] == spark.version
