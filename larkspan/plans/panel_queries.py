@@ -77,6 +77,13 @@ def asof_last_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.select("l_orderkey", "l_linenumber", "symbol", "date", "last_loss", panel.whole_days(F.col("date"), F.col("last_loss")).cast("long").alias("days_since"))
 
 
+def asof_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``asof_last_loss`` with a task for each symbol's month, as hot symbols need it."""
+    month = lambda day: F.trunc(day, "month")
+    met = panel.last_before(signals(spark, sf_dir), losses(spark, sf_dir), ["symbol"], "date", "loss_date", "last_loss", month)
+    return met.select("l_orderkey", "l_linenumber", "symbol", "date", "last_loss", panel.whole_days(F.col("date"), F.col("last_loss")).cast("long").alias("days_since"))
+
+
 _MONEY = "CAST(round({}, 4) AS DECIMAL(18,4))"
 _TRADES = f"""t AS (SELECT l_partkey AS symbol, CAST(l_shipdate AS DATE) AS opened,
   CAST(l_shipdate AS DATE) + CAST((l_orderkey * 7 + l_linenumber * 13) % 120 AS INTEGER) AS closed,
@@ -169,7 +176,7 @@ def trade_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        cooldown_gate, cooldown_summary, cooldown_window_sweep, event_cooldown, asof_last_loss, wash_replacement, wash_ledger, wash_summary,
+        cooldown_gate, cooldown_summary, cooldown_window_sweep, event_cooldown, asof_last_loss, asof_by_month, wash_replacement, wash_ledger, wash_summary,
         wash_account_scope, wash_forward_only, wash_open_positions, wash_bars, wash_invariant, trade_columns, trade_violations,
     )
 }
@@ -185,6 +192,7 @@ l AS (SELECT DISTINCT user_id AS symbol, ts AS loss_ts FROM events WHERE event_t
 j AS (SELECT s.*, entry AND coalesce(floor((epoch_us(ts) - epoch_us(loss_ts)) / 86400000000.0) < 2, false) AS blocked FROM s ASOF LEFT JOIN l ON s.symbol = l.symbol AND s.ts >= l.loss_ts)
 SELECT event_id, symbol, entry AND NOT blocked AS entry, blocked FROM j""",
     "asof_last_loss": f"WITH {_SIGNALS} SELECT l_orderkey, l_linenumber, symbol, date, loss_date AS last_loss, CAST(date - loss_date AS BIGINT) AS days_since FROM j",
+    "asof_by_month": f"WITH {_SIGNALS} SELECT l_orderkey, l_linenumber, symbol, date, loss_date AS last_loss, CAST(date - loss_date AS BIGINT) AS days_since FROM j",
     "wash_replacement": f"WITH {_ledger_sql()} SELECT idx, symbol, replaced FROM x",
     "wash_ledger": f"WITH {_ledger_sql()} {_ROW_SQL}",
     "wash_summary": f"WITH {_ledger_sql()} {_SUMMARY_SQL}",
