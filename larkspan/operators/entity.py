@@ -157,6 +157,9 @@ def candidate_pairs(records: DataFrame, blocker: Callable[[DataFrame], Column] |
     row = F.struct(*[F.col(c) for c in records.columns])
     a = sides.select("block", F.explode(F.array(*[F.lit(i) for i in range(salts)])).alias("salt"), row.alias("a"))
     b = sides.select(F.col("block").alias("b_block"), F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("b_salt"), row.alias("b"))
+    # A stated number of tasks: records are few bytes for the pairs they make, and the planner would merge them into one task.
+    tasks = 4 * records.sparkSession.sparkContext.defaultParallelism
+    b = b.repartition(tasks, "b_block", "b_salt")
     on = (F.col("block") == F.col("b_block")) & (F.col("salt") == F.col("b_salt")) & (F.col("a.idx") < F.col("b.idx"))
     if cross_source:
         on = on & (F.col("a.source") != F.col("b.source"))
