@@ -95,21 +95,12 @@ def clusters_with_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def matched_within(records_: DataFrame, scorer: entity.Scorer | None = None) -> DataFrame:
-    """All matched pairs of two sources, exactly: a pair can only score within ``max_days``, so it meets in its own or a neighbouring span of that length."""
-    scorer = scorer or entity.Scorer()
-    sides = scorer.prepare(records_)
-    row = F.struct(*[F.col(c) for c in sides.columns])
-    span = F.floor(F.col("_at") / F.lit(scorer.max_days * 86_400_000_000.0))
-    a = sides.select(span.alias("span"), row.alias("a"))
-    b = sides.select(F.explode(F.array(span - 1, span, span + 1)).alias("b_span"), row.alias("b"))
-    on = (F.col("span") == F.col("b_span")) & (F.col("a.idx") < F.col("b.idx")) & (F.col("a.source") != F.col("b.source"))
-    pairs = scorer.score(a.join(b, on).select("a", "b"))
-    pairs = pairs.select(F.least("a.id", "b.id").alias("left"), F.greatest("a.id", "b.id").alias("right"), "confidence", "fuzz", "jaccard", "noun_diff", "days")
-    return entity.label_pairs(pairs).filter("label = 'matched'")
+    """All matched pairs of two sources, exactly."""
+    return entity.label_pairs(entity.near_pairs(records_, scorer, entity.THRESHOLD)).filter("label = 'matched'")
 
 
 def _found(r: DataFrame) -> DataFrame:
-    return entity.label_pairs(entity.scored_pairs(r, None, entity.iso_week_blocker())).filter("label = 'matched'")
+    return entity.label_pairs(entity.scored_pairs(r, None, entity.iso_week_blocker(), min_confidence=entity.THRESHOLD)).filter("label = 'matched'")
 
 
 def all_pairs_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
