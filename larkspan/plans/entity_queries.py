@@ -68,7 +68,7 @@ def pair_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pair_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return entity.resolve(records(spark, sf_dir)).pairs.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return entity.resolve(records(spark, sf_dir)).label_counts
 
 
 def token_set_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
