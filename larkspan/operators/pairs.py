@@ -140,12 +140,15 @@ class Scores:
         pairs = n_a * n_b
         self.plain = len(self.classes_a) * len(self.classes_b) > max(16, pairs // 2000) or (pairs > 4096 and met > pairs // 4)
         self.pw_b = pw_b
-        keys = [np.zeros(0, np.int64)]
+        keys, alone = [], []
         if not self.plain:
             for kind, w in shared:
                 x, y = ((pw_a, pw_b), (pn_a, pn_b))[kind]
-                keys.append((np.array(x[w], np.int64)[:, None] * n_b + np.array(y[w], np.int64)).ravel())
-        self.apart = np.unique(np.concatenate(keys))
+                if len(x[w]) == len(y[w]) == 1:
+                    alone.append(x[w][0] * n_b + y[w][0])
+                else:
+                    keys.append((np.array(x[w], np.int64)[:, None] * n_b + np.array(y[w], np.int64)).ravel())
+        self.apart = np.unique(np.concatenate([np.array(alone, np.int64), *keys]))
 
     def _classes(self, side: Side) -> dict[tuple, np.ndarray]:
         out: dict[tuple, list[int]] = defaultdict(list)
