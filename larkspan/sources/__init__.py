@@ -40,11 +40,26 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/larkspan-{name}-{uuid.uuid4().hex}"
 
 
+#: Shuffle files go at the end of a write; else they stay until the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there, and a lost executor costs nothing."""
+    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there, and a lost executor costs nothing.
+
+    What the write has shuffled is deleted with its end, so disk holds one step's shuffles at a time.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

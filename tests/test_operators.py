@@ -525,3 +525,21 @@ def test_plain_functions_score_pairs(spark):
 
 def test_environment(spark):
     assert report.environment(spark)["spark"] == spark.version
+
+
+def test_writes_leave_no_shuffle_files(spark):
+    """op3_minhash: a step's shuffle files go with its end, so disk holds one step's at a time."""
+    import glob
+    import time
+
+    from larkspan.sources import materialize
+
+    dirs = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    files = lambda: {p for d in dirs for p in glob.glob(f"{d}/**/shuffle_*.data", recursive=True)}
+    before = files()
+    out = materialize(spark.range(50_000).groupBy((F.col("id") % 99).alias("k")).count(), "counts")
+    for _ in range(50):
+        if not (left := files() - before):
+            break
+        time.sleep(0.1)
+    assert not left and out.count() == 99
