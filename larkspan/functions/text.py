@@ -28,12 +28,22 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _parts(text: Column) -> Column:
+    """Words before stopwords go; "" where blanks begin or end a text."""
+    clean = F.lower(F.translate(F.coalesce(text, F.lit("")), PUNCTUATION, " " * len(PUNCTUATION)))
+    return F.split(clean, r"(?U)\s+")
+
+
 def words(text: Column, stopwords: list[str] | None = None) -> Column:
     """Normalised words in order: ASCII punctuation is blank, lower case, no stopwords; [] for null."""
     drop = STOPWORDS if stopwords is None else stopwords
-    clean = F.lower(F.translate(F.coalesce(text, F.lit("")), PUNCTUATION, " " * len(PUNCTUATION)))
-    parts = F.split(clean, r"(?U)\s+")
-    return F.filter(parts, lambda w: (w != "") & ~w.isin(drop) if drop else w != "")
+    return F.filter(_parts(text), lambda w: (w != "") & ~w.isin(drop) if drop else w != "")
+
+
+def word_set(text: Column, stopwords: list[str] | None = None) -> Column:
+    """``words``, sorted and each once; compiled as a whole, where a lambda is interpreted word by word."""
+    drop = STOPWORDS if stopwords is None else stopwords
+    return F.sort_array(F.array_except(_parts(text), F.array(*map(F.lit, ["", *drop]))))
 
 
 def normalize(text: Column, stopwords: list[str] | None = None) -> Column:
@@ -50,7 +60,7 @@ def proper_nouns(text: Column, openers: list[str] | None = None) -> Column:
     """The sorted set of capitalised words of four letters and more that aren't sentence openers."""
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(NOUN_PATTERN), F.lit(1))
     drop = OPENERS if openers is None else openers
-    return F.array_sort(F.array_distinct(F.filter(found, lambda w: ~w.isin(drop)) if drop else found))
+    return F.sort_array(F.array_except(found, F.array(*map(F.lit, drop))) if drop else F.array_distinct(found))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -37,6 +37,7 @@ class Side:
         self.ids = np.array(t["id"].to_pylist(), object)
         self.idx = t["idx"].to_numpy()
         self.source = np.array(t["source"].to_pylist(), object)
+        self.apart = np.array(t["apart"].to_pylist(), object) if "apart" in t.column_names else None
         at = t["at"]
         self.no_time = at.is_null().to_numpy(zero_copy_only=False)
         self.at = at.fill_null(0).to_numpy()
@@ -322,6 +323,8 @@ def _finished(a: Side, b: Side, scores: Scores, upper: bool, mixed: bool) -> Ite
             ok &= a.idx[ra] < b.idx[rb] if upper else a.idx[ra] != b.idx[rb]
         if mixed:
             ok &= a.source[ra] != b.source[rb]
+        if a.apart is not None:  # a null compares to None only, and is no block
+            ok &= (a.apart[ra] != b.apart[rb]) | (a.apart[ra] == None)  # noqa: E711
         days = np.abs(a.at[ra] - b.at[rb]) / DAY
         if s.max_days is not None:
             ok &= (days <= s.max_days) & ~a.no_time[ra] & ~b.no_time[rb]

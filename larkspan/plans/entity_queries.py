@@ -21,12 +21,16 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select("c_custkey").repartition(4 * spark.sparkContext.defaultParallelism, "c_custkey")
     k, name = F.col("c_custkey"), _subject(F.col("c_custkey"))
     day = lambda n: F.date_add(F.lit("2026-01-01").cast("date"), n.cast("int")).cast("timestamp")
-    side = lambda tag, source, text, ts, value, idx: c.select(
-        F.concat(F.lit(tag), k.cast("string")).alias("id"), F.lit(source).alias("source"), text.alias("text"), ts.alias("ts"), value.alias("value"), idx.alias("idx")
+    # Both sources from one read: as two sides of a union the table is read and dealt once for each.
+    of = lambda a, b: F.when(F.col("side") == 0, a).otherwise(b)
+    return c.select("c_custkey", F.explode(F.array(F.lit(0), F.lit(1))).alias("side")).select(
+        F.concat(of(F.lit("a"), F.lit("b")), k.cast("string")).alias("id"),
+        of(F.lit("alpha"), F.lit("beta")).alias("source"),
+        F.concat(of(F.lit("Will "), F.lit("")), name, of(F.lit(" report revenue above $5B in Q3?"), F.lit(" Q3 revenue over $5B?"))).alias("text"),
+        of(day(k % 365), day(k % 365 + k % 3)).alias("ts"),
+        (of(F.lit(0.40), F.lit(0.41)) + (k % 5) / 100).alias("value"),
+        (2 * k + F.col("side")).alias("idx"),
     )
-    a = side("a", "alpha", F.concat(F.lit("Will "), name, F.lit(" report revenue above $5B in Q3?")), day(k % 365), 0.40 + (k % 5) / 100, 2 * k)
-    b = side("b", "beta", F.concat(name, F.lit(" Q3 revenue over $5B?")), day(k % 365 + k % 3), 0.41 + (k % 5) / 100, 2 * k + 1)
-    return a.unionByName(b)
 
 
 def text_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,8 +114,7 @@ def all_pairs_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def missed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = entity.prepared(entity.spread(records(spark, sf_dir)))
-    return entity.missed_pairs(_found(r), matched_within(r))
+    return entity.missed_by_blocks(records(spark, sf_dir), entity.iso_week_blocker())
 
 
 QUERIES = {
