@@ -11,9 +11,9 @@ postings, row by row.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import asdict
+from functools import cache, cached_property
 from types import SimpleNamespace
 
 import numpy as np
@@ -29,37 +29,129 @@ COLUMNS = "left string, right string, confidence double, fuzz double, jaccard do
 SCHEMA = pa.schema([("left", pa.string()), ("right", pa.string()), ("confidence", pa.float64()), ("fuzz", pa.float64()), ("jaccard", pa.float64()), ("noun_diff", pa.int32()), ("days", pa.float64())])
 
 
+class Words:
+    """Word lists of texts in one array: ``codes`` of ``vocabulary``, those of text i from ``at[i]`` to ``at[i + 1]``."""
+
+    def __init__(self, joined: pa.Array) -> None:
+        lists = pc.split_pattern(joined, " ")
+        flat = pc.list_flatten(lists)
+        size = np.where(pc.equal(joined, "").to_numpy(zero_copy_only=False), 0, pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        if len(flat) > size.sum():  # texts without words have one empty word
+            flat = flat.filter(pc.not_equal(flat, ""))
+        words = flat.dictionary_encode()
+        self.vocabulary, self.codes = words.dictionary, words.indices.to_numpy().astype(np.int64)
+        self.size = size.astype(np.int64)
+        self.at = np.concatenate([[0], np.cumsum(self.size)])
+        self.length = pc.utf8_length(self.vocabulary).to_numpy().astype(np.int64)
+        self.chars = self.sums(self.length[self.codes])
+        self.of = np.repeat(np.arange(len(self.size)), self.size)
+
+    def sums(self, x: np.ndarray) -> np.ndarray:
+        """The sum by text of a number a word."""
+        total = np.concatenate([[0], np.cumsum(x)])
+        return total[self.at[1:]] - total[self.at[:-1]]
+
+    def places(self, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``places in texts, places in codes`` of the words of ``texts``."""
+        size = self.size[texts]
+        n = np.repeat(np.arange(len(texts)), size)
+        return n, np.arange(len(n)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.at[texts], size)
+
+    def joined(self, codes: np.ndarray, sizes: np.ndarray) -> pa.Array:
+        """Lists of so many words each as strings."""
+        at = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int64())
+        return pc.binary_join(pa.LargeListArray.from_arrays(at, self.vocabulary.take(pa.array(codes))), " ").cast(pa.string())
+
+
 class Side:
     """Records of one side: distinct texts, and each record's text, id, position, time and value."""
 
     def __init__(self, t: pa.Table) -> None:
+        t = t.combine_chunks()
+        one = lambda name: t[name].combine_chunks() if t[name].num_chunks != 1 else t[name].chunk(0)
         self.n = len(t)
-        self.ids = np.array(t["id"].to_pylist(), object)
+        self.ids = one("id")
         self.idx = t["idx"].to_numpy()
-        self.source = np.array(t["source"].to_pylist(), object)
-        self.apart = np.array(t["apart"].to_pylist(), object) if "apart" in t.column_names else None
+        self._source = t["source"]
+        self.apart = one("apart") if "apart" in t.column_names else None
         at = t["at"]
         self.no_time = at.is_null().to_numpy(zero_copy_only=False)
         self.at = at.fill_null(0).to_numpy()
         self.value = t["value"].cast(pa.float64()).to_numpy(zero_copy_only=False).astype(float)  # null: NaN, near nothing
-        codes: dict[tuple[str, str], int] = {}
-        words, nouns = t["words"].to_pylist(), t["nouns"].to_pylist()
-        text = [codes.setdefault(x, len(codes)) for x in zip(words, nouns)]
-        keys = list(codes)
-        order = sorted(range(len(keys)), key=keys.__getitem__)
-        place = np.empty(len(keys), np.int64)
-        place[order] = np.arange(len(keys))
-        self.text = place[np.array(text, np.int64)] if text else np.zeros(0, np.int64)
-        self.words = [keys[i][0].split(" ") for i in order]
-        self.nouns = [keys[i][1].split(" ") if keys[i][1] else [] for i in order]
-
-
-def _postings(lists: list[list[str]]) -> dict[str, list[int]]:
-    out: dict[str, list[int]] = defaultdict(list)
-    for i, x in enumerate(lists):
-        for w in x:
-            out[w].append(i)
-    return out
+        # No word or noun holds a line's end.
+        text = pc.binary_join_element_wise(one("words"), one("nouns"), "\n").dictionary_encode()
+        order = pc.sort_indices(text.dictionary)
+        place = np.empty(len(order), np.int64)
+        place[order.to_numpy()] = np.arange(len(order))
+        self.text, self.texts = place[text.indices.to_numpy()], len(order)
+        keys = pc.split_pattern(text.dictionary.take(order), "\n", max_splits=1)
+        self.all_words, self.all_nouns = Words(pc.list_element(keys, 0)), Words(pc.list_element(keys, 1))
+
+    @cached_property
+    def source(self) -> np.ndarray:
+        return np.array(self._source.to_pylist(), object)
+
+    @cached_property
+    def words(self) -> list[list[str]]:
+        w = self.all_words
+        flat = w.vocabulary.take(pa.array(w.codes)).to_pylist()
+        return [flat[i:j] for i, j in zip(w.at[:-1].tolist(), w.at[1:].tolist())]
+
+
+class _Shared:
+    """The words of two sides by the codes of the first; -1 for words it hasn't."""
+
+    def __init__(self, a: Words, b: Words) -> None:
+        self.a, self.b = a, b
+        n = len(a.vocabulary)
+        to_a = pc.index_in(b.vocabulary, value_set=a.vocabulary).fill_null(-1).to_numpy().astype(np.int64)
+        self.codes_b = to_a[b.codes]
+        known = np.flatnonzero(self.codes_b >= 0)
+        self.n_a, self.n_b = np.bincount(a.codes, minlength=n), np.bincount(self.codes_b[known], minlength=n)
+        self.texts_a = a.of[np.argsort(a.codes, kind="stable")]
+        self.texts_b = b.of[known][np.argsort(self.codes_b[known], kind="stable")]
+        self.at_a, self.at_b = (np.concatenate([[0], np.cumsum(x)]) for x in (self.n_a, self.n_b))
+        self.met = self.n_a * self.n_b
+        self.held_b = np.sort(b.of[known] * max(1, n) + self.codes_b[known])
+        self.held_a = np.sort(a.of * max(1, n) + a.codes)
+
+    def often(self, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which words of each side are in more than so many pairs."""
+        often = self.met > most
+        return often[self.a.codes], np.append(often, False)[self.codes_b]
+
+    def pairs(self, words: np.ndarray) -> Iterator[np.ndarray]:
+        """The pairs of texts that hold one of ``words``, as numbers; by parts, each pair once a part."""
+        ends = np.cumsum(self.met[words])
+        yield np.zeros(0, np.int64)
+        for part in np.split(words, np.searchsorted(ends, np.arange(TILE, ends[-1], TILE)) if len(words) else []):
+            n_b, met = self.n_b[part], self.met[part]
+            word = np.repeat(np.arange(len(part)), met)
+            i, j = np.divmod(np.arange(len(word)) - np.repeat(np.cumsum(met) - met, met), n_b[word])
+            yield np.unique(self.texts_a[self.at_a[part][word] + i] * len(self.b.size) + self.texts_b[self.at_b[part][word] + j])
+
+    def common(self, ta: np.ndarray, tb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many words texts share, and their characters."""
+        n, at = self.a.places(ta)
+        hit = self._held(self.held_b, tb[n], self.a.codes[at])
+        n, at = n[hit], at[hit]
+        chars = np.bincount(n, self.a.length[self.a.codes[at]], len(ta)).astype(np.int64)
+        return np.bincount(n, minlength=len(ta)), chars
+
+    def rests(self, ta: np.ndarray, tb: np.ndarray) -> tuple[pa.Array, pa.Array]:
+        """What is left of texts without the words they share."""
+        out = []
+        for own, held, codes, x, y in ((self.a, self.held_b, self.a.codes, ta, tb), (self.b, self.held_a, self.codes_b, tb, ta)):
+            n, at = own.places(x)
+            left = ~self._held(held, y[n], codes[at])
+            out.append(own.joined(own.codes[at[left]], np.bincount(n[left], minlength=len(x))))
+        return tuple(out)
+
+    def _held(self, held: np.ndarray, texts: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        key = texts * max(1, len(self.a.vocabulary)) + codes
+        if not len(held):
+            return np.zeros(len(key), bool)
+        return (held[np.minimum(np.searchsorted(held, key), len(held) - 1)] == key) & (codes >= 0)
 
 
 def fuzz_of(common, head, la, lb, lcs):  # noqa: ANN001, ANN201
@@ -72,6 +164,15 @@ def fuzz_of(common, head, la, lb, lcs):  # noqa: ANN001, ANN201
     return np.maximum(crossed, contained)
 
 
+def fuzz_of_each(common: np.ndarray, head: np.ndarray, la: np.ndarray, lb: np.ndarray, lcs: np.ndarray) -> np.ndarray:
+    """``fuzz_of`` of arrays of lengths."""
+    total, some = 2 * head + la + lb, common > 0
+    crossed = np.where(total > 0, 200.0 * (head + lcs) / np.maximum(total, 1), 0.0)
+    part = lambda rest: 200.0 * common / np.maximum(common + head + rest, 1)
+    contained = np.where(some, np.maximum(part(la), part(lb)), 0.0)
+    return np.where(some & ((la == 0) | (lb == 0)), 100.0, np.maximum(crossed, contained))
+
+
 def subsequences(short: list[str], long: list[str]) -> np.ndarray:
     """Longest common subsequences of all strings of one length, 64 at most, with all of another length: a matrix, long by short."""
     n, m = len(short[0]), len(long[0])
@@ -123,40 +224,31 @@ class Scores:
         self.a, self.b, self.s, self.floor = a, b, scorer, floor
         s = scorer
         self.bounded = floor is not None and min(s.fuzz_weight, s.jaccard_weight, s.time_weight) >= 0
-        n_a, n_b = len(a.words), len(b.words)
-        pw_a, pw_b, pn_a, pn_b = _postings(a.words), _postings(b.words), _postings(a.nouns), _postings(b.nouns)
+        n_a, n_b = a.texts, b.texts
         most = max(64, n_a * n_b // 1024)
-        self.often, shared, met = [], [], 0
-        for kind, (pa_, pb_) in enumerate(((pw_a, pw_b), (pn_a, pn_b))):
-            often = set()
-            for w in pa_.keys() & pb_.keys():
-                size = len(pa_[w]) * len(pb_[w])
-                if size > most:
-                    often.add(w)
-                else:
-                    shared.append((kind, w))
-                    met += size
-            self.often.append(often)
-        self.classes_a, self.classes_b = self._classes(a), self._classes(b)
+        self.shared = [_Shared(a.all_words, b.all_words), _Shared(a.all_nouns, b.all_nouns)]
+        often = [x.often(most) for x in self.shared]
+        rare = [np.flatnonzero((x.met > 0) & (x.met <= most)) for x in self.shared]
+        met = sum(int(x.met[w].sum()) for x, w in zip(self.shared, rare))
+        self.class_a, self.class_b = self._classes(a, *(x[0] for x in often)), self._classes(b, *(x[1] for x in often))
         pairs = n_a * n_b
-        self.plain = len(self.classes_a) * len(self.classes_b) > max(16, pairs // 2000) or (pairs > 4096 and met > pairs // 4)
-        self.pw_b = pw_b
-        keys, alone = [], []
+        self.plain = len(self.class_a) * len(self.class_b) > max(16, pairs // 2000) or (pairs > 4096 and met > pairs // 4)
+        self.apart = np.zeros(0, np.int64)
         if not self.plain:
-            for kind, w in shared:
-                x, y = ((pw_a, pw_b), (pn_a, pn_b))[kind]
-                if len(x[w]) == len(y[w]) == 1:
-                    alone.append(x[w][0] * n_b + y[w][0])
-                else:
-                    keys.append((np.array(x[w], np.int64)[:, None] * n_b + np.array(y[w], np.int64)).ravel())
-        self.apart = np.unique(np.concatenate([np.array(alone, np.int64), *keys]))
-
-    def _classes(self, side: Side) -> dict[tuple, np.ndarray]:
-        out: dict[tuple, list[int]] = defaultdict(list)
-        for i, (w, x) in enumerate(zip(side.words, side.nouns)):
-            often = tuple(v for v in w if v in self.often[0])
-            out[often, len(w), sum(map(len, w)), len(x), tuple(v for v in x if v in self.often[1])].append(i)
-        return {k: np.array(v, np.int64) for k, v in out.items()}
+            self.apart = np.unique(np.concatenate([p for x, w in zip(self.shared, rare) for p in x.pairs(w)]))
+
+    def _classes(self, side: Side, often: np.ndarray, often_nouns: np.ndarray) -> list[tuple[tuple, np.ndarray]]:
+        """Texts by their frequent words, number of words and characters, and nouns: ``key, texts``."""
+        w, x = side.all_words, side.all_nouns
+        held = w.joined(w.codes[often], w.sums(often)), x.joined(x.codes[often_nouns], x.sums(often_nouns))
+        code = np.zeros(side.texts, np.int64)
+        for part in (*(h.dictionary_encode().indices.to_numpy() for h in held), w.size, w.chars, x.size):
+            values, place = np.unique(part, return_inverse=True)
+            code = np.unique(code * len(values) + place, return_inverse=True)[1]
+        order = np.argsort(code, kind="stable")
+        parts = np.split(order, np.flatnonzero(np.diff(code[order])) + 1) if len(order) else []
+        split = lambda h, i: tuple(v.split(" ")) if (v := h[int(i)].as_py()) else ()
+        return [((split(held[0], p[0]), int(w.size[p[0]]), int(w.chars[p[0]]), int(x.size[p[0]]), split(held[1], p[0])), p) for p in parts]
 
     def raw(self, fuzz, jaccard, noun_diff, days, bonus):  # noqa: ANN001, ANN201
         """The confidence; the operations of ``Scorer.score`` in its order."""
@@ -176,9 +268,9 @@ class Scores:
         """``texts a, texts b, codes, fuzz by code, jaccard, noun_diff``; a code is the subsequence's length and one, 0 no pair."""
         if self.plain:
             return
-        n_b = len(self.b.words)
-        for key_a, rows in self.classes_a.items():
-            for key_b, cols in self.classes_b.items():
+        n_b = self.b.texts
+        for key_a, rows in self.class_a:
+            for key_b, cols in self.class_b:
                 keep = set(key_b[0])
                 both = [w for w in key_a[0] if w in keep]
                 jaccard = len(both) / (key_a[1] + key_b[1] - len(both))
@@ -217,17 +309,18 @@ class Scores:
 
     def _near(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of texts to be scored one by one."""
-        n_b = len(self.b.words)
+        n_b = self.b.texts
         if not self.plain:
             for at in range(0, len(self.apart), 200_000):
                 yield np.divmod(self.apart[at : at + 200_000], n_b)
             return
-        places = {w: np.array(v, np.int64) for w, v in self.pw_b.items()}
-        none, size_b = np.zeros(0, np.int64), np.array([len(w) for w in self.b.words])
+        words, size_b = self.shared[0], self.b.all_words.size
         held, many = [], 0
-        for i, w in enumerate(self.a.words):
-            common = np.bincount(np.concatenate([none, *[places[v] for v in w if v in places]]), minlength=n_b)
-            j = np.flatnonzero(common / (len(w) + size_b - common) >= self.s.min_jaccard)
+        for i in range(self.a.texts):
+            own = words.a.codes[words.a.at[i] : words.a.at[i + 1]]
+            places = np.concatenate([words.texts_b[:0], *[words.texts_b[words.at_b[v] : words.at_b[v + 1]] for v in own.tolist()]])
+            common = np.bincount(places, minlength=n_b)
+            j = np.flatnonzero(common / (len(own) + size_b - common) >= self.s.min_jaccard)
             held.append((np.full(len(j), i), j))
             many += len(j)
             if many > 200_000:
@@ -238,33 +331,36 @@ class Scores:
 
     def singles(self) -> Iterator[tuple[np.ndarray, ...]]:
         """``texts a, texts b, fuzz, jaccard, noun_diff`` of pairs that pass."""
-        sets_a, sets_b = [set(w) for w in self.a.words], [set(w) for w in self.b.words]
-        nouns_a, nouns_b = [set(w) for w in self.a.nouns], [set(w) for w in self.b.nouns]
-        for ta, tb in self._near():
-            rows, left, right = [], [], []
-            for i, j in zip(ta.tolist(), tb.tolist()):
-                wa, wb = self.a.words[i], self.b.words[j]
-                sa, sb = sets_a[i], sets_b[j]
-                both = [w for w in wa if w in sb]
-                jaccard = len(both) / (len(wa) + len(wb) - len(both))
-                if jaccard < self.s.min_jaccard:
-                    continue
-                x, y = " ".join(w for w in wa if w not in sb), " ".join(w for w in wb if w not in sa)
-                common = sum(map(len, both)) + max(0, len(both) - 1)
-                head, noun_diff = common + (1 if common > 0 else 0), len(nouns_a[i] ^ nouns_b[j])
-                bound = float(fuzz_of(common, head, len(x), len(y), min(len(x), len(y))))
-                if bound < self.s.min_fuzz or self.hopeless(bound, jaccard, noun_diff):
+        words, nouns = self.shared
+        for near_a, near_b in self._near():
+            ends = np.cumsum(words.a.size[near_a] + words.b.size[near_b])
+            cuts = np.searchsorted(ends, np.arange(TILE // 4, ends[-1], TILE // 4)) if len(ends) else []  # so many words held at once, whatever a text's length
+            for ta, tb in zip(np.split(near_a, cuts), np.split(near_b, cuts)):
+                n, chars = words.common(ta, tb)
+                size_a, size_b = words.a.size[ta], words.b.size[tb]
+                jaccard = n / (size_a + size_b - n)
+                rest = lambda w, t, size: w.chars[t] - chars + np.maximum(0, size - n - 1)  # noqa: B023, E731
+                la, lb = rest(words.a, ta, size_a), rest(words.b, tb, size_b)
+                common = chars + np.maximum(0, n - 1)
+                head = common + (common > 0)
+                noun_diff = nouns.a.size[ta] + nouns.b.size[tb] - 2 * nouns.common(ta, tb)[0]
+                bound = fuzz_of_each(common, head, la, lb, np.minimum(la, lb))
+                ok = np.flatnonzero((jaccard >= self.s.min_jaccard) & (bound >= self.s.min_fuzz) & ~self.hopeless(bound, jaccard, noun_diff))
+                if not len(ok):
                     continue
-                rows.append((i, j, common, head, len(x), len(y), jaccard, noun_diff))
-                left.append(x)
-                right.append(y)
-            if not rows:
-                continue
-            lcs = lcs_lengths(pa.array(left, pa.string()), pa.array(right, pa.string())).tolist()
-            fuzz = np.array([float(fuzz_of(*r[2:6], n)) for r, n in zip(rows, lcs)])
-            ok = fuzz >= self.s.min_fuzz
-            i, j, jaccard, noun_diff = (np.array([r[k] for r in rows]) for k in (0, 1, 6, 7))
-            yield i[ok], j[ok], fuzz[ok], jaccard[ok], noun_diff[ok]
+                ta, tb, jaccard, noun_diff = ta[ok], tb[ok], jaccard[ok], noun_diff[ok]
+                lcs = lcs_lengths(*words.rests(ta, tb)).astype(np.int64)
+                fuzz = fuzz_of_each(common[ok], head[ok], la[ok], lb[ok], lcs)
+                ok = fuzz >= self.s.min_fuzz
+                yield ta[ok], tb[ok], fuzz[ok], jaccard[ok], noun_diff[ok]
+
+
+def _places(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Places of two sides' strings among all of them in order, -1 for null, and these."""
+    names = pc.unique(pa.chunked_array([a, b])).drop_null()
+    names = names.take(pc.sort_indices(names))
+    place = lambda x: pc.index_in(x, value_set=names).fill_null(-1).to_numpy().astype(np.int64)
+    return place(a), place(b), names
 
 
 class _Groups:
@@ -283,7 +379,7 @@ class _Groups:
 
 def _record_pairs(a: Side, b: Side, scores: Scores) -> Iterator[tuple[np.ndarray, ...]]:
     """``records a, records b, fuzz, jaccard, noun_diff`` of all record pairs whose texts pass."""
-    of_a, of_b = _Groups(a.text, len(a.words)), _Groups(b.text, len(b.words))
+    of_a, of_b = _Groups(a.text, a.texts), _Groups(b.text, b.texts)
     for ta, tb, codes, fuzz, jaccard, noun_diff in scores.tiles():
         pa_, ra = of_a.of(ta)
         pb_, rb = of_b.of(tb)
@@ -317,14 +413,16 @@ def _finished(a: Side, b: Side, scores: Scores, upper: bool, mixed: bool) -> Ite
     """``records a, records b, confidence, fuzz, jaccard, noun_diff, days`` of pairs that count."""
     s = scores.s
     same_idx = upper or bool(len(np.intersect1d(a.idx, b.idx)))
+    if a.apart is not None:
+        block_a, block_b = _places(a.apart, b.apart)[:2]
     for ra, rb, fuzz, jaccard, noun_diff in _record_pairs(a, b, scores):
         ok = np.ones(len(ra), bool)
         if same_idx:
             ok &= a.idx[ra] < b.idx[rb] if upper else a.idx[ra] != b.idx[rb]
         if mixed:
             ok &= a.source[ra] != b.source[rb]
-        if a.apart is not None:  # a null compares to None only, and is no block
-            ok &= (a.apart[ra] != b.apart[rb]) | (a.apart[ra] == None)  # noqa: E711
+        if a.apart is not None:  # null is no block
+            ok &= (block_a[ra] != block_b[rb]) | (block_a[ra] < 0)
         days = np.abs(a.at[ra] - b.at[rb]) / DAY
         if s.max_days is not None:
             ok &= (days <= s.max_days) & ~a.no_time[ra] & ~b.no_time[rb]
@@ -356,7 +454,7 @@ def _counts(a: Side, b: Side, scores: Scores, upper: bool, mixed: bool, threshol
     ends = (a.at[~a.no_time], b.at[~b.no_time])
     spread = max(x.max() - y.min() for x, y in (ends, ends[::-1])) / DAY if all(map(len, ends)) else 0.0
     near = s.max_days is None or (spread <= s.max_days and not a.no_time.any() and not b.no_time.any())
-    weight_a, weight_b = np.bincount(a.text, minlength=len(a.words)).astype(float), np.bincount(b.text, minlength=len(b.words)).astype(np.float32)
+    weight_a, weight_b = np.bincount(a.text, minlength=a.texts).astype(float), np.bincount(b.text, minlength=b.texts).astype(np.float32)
 
     class Rest(Scores):
         """The tiles whose labels depend on the records."""
@@ -378,7 +476,7 @@ def _counts(a: Side, b: Side, scores: Scores, upper: bool, mixed: bool, threshol
     return n
 
 
-def _sides(t: pa.Table, cross_source: bool) -> Iterator[tuple[pa.Table, pa.Table, bool, bool]]:
+def _sides(t: pa.Table, cross_source: bool) -> Iterator[tuple[Side, Side, bool, bool]]:
     """The pairs of sides of a group: ``a, b``, whether only pairs in order of position count, whether sources have to be compared."""
     t = t.filter(pc.and_(t["idx"].is_valid(), pc.not_equal(t["words"], "")))
     if cross_source:
@@ -390,8 +488,14 @@ def _sides(t: pa.Table, cross_source: bool) -> Iterator[tuple[pa.Table, pa.Table
     mixed = len(sources) > 8
     if mixed:
         sources = [None]
-    source, part = np.array(t["source"].to_pylist(), object), t["part"].to_numpy()
-    rows = lambda chunk, s, p: np.flatnonzero((c == chunk) & (part == p) & (True if s is None else source == s))
+    part = t["part"].to_numpy()
+    source = pc.index_in(t["source"], value_set=pa.array(sources, t["source"].type)).to_numpy() if sources != [None] else None
+
+    @cache  # a side meets several others
+    def side(chunk: int, s: int, p: int) -> Side | None:
+        rows = np.flatnonzero((c == chunk) & (part == p) & (True if source is None else source == s))
+        return Side(t.take(rows)) if len(rows) else None
+
     one = ci[0] == cj[0]
     kinds = [(s, p) for p in (0, 1) for s in range(len(sources))]
     for k, (s, p) in enumerate(kinds):
@@ -399,9 +503,9 @@ def _sides(t: pa.Table, cross_source: bool) -> Iterator[tuple[pa.Table, pa.Table
             if (p and q) or (cross_source and not mixed and s == u) or (one and m < k):
                 continue
             upper = one and m == k
-            a, b = rows(ci[0], sources[s], p), rows(cj[0], sources[u], q)
-            if len(a) and len(b):
-                yield t.take(a), t.take(b), upper, mixed
+            a, b = side(ci[0], s, p), side(cj[0], u, q)
+            if a and b:
+                yield a, b, upper, mixed
 
 
 def scored(scorer, cross_source: bool, floor: float | None) -> Callable:  # noqa: ANN001
@@ -409,12 +513,8 @@ def scored(scorer, cross_source: bool, floor: float | None) -> Callable:  # noqa
     scorer = SimpleNamespace(**asdict(scorer))  # its class would take the session along
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x, y, upper, mixed in _sides(pa.Table.from_batches(list(batches)), cross_source):
-            a, b = Side(x), Side(y)
-            ids = sorted({*a.ids, *b.ids} - {None})
-            rank = {None: -1} | {v: i for i, v in enumerate(ids)}
-            names = pa.array(ids, pa.string())
-            rank_a, rank_b = np.array([rank[v] for v in a.ids]), np.array([rank[v] for v in b.ids])
+        for a, b, upper, mixed in _sides(pa.Table.from_batches(list(batches)), cross_source):
+            rank_a, rank_b, names = _places(a.ids, b.ids)
             for ra, rb, confidence, fuzz, jaccard, noun_diff, days in _finished(a, b, Scores(a, b, scorer, floor), upper, mixed):
                 if len(ra):
                     lo, hi = np.minimum(rank_a[ra], rank_b[rb]), np.maximum(rank_a[ra], rank_b[rb])
@@ -433,8 +533,7 @@ def counted(scorer, cross_source: bool, threshold: float, margin: float) -> Call
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(3, np.int64)
-        for x, y, upper, mixed in _sides(pa.Table.from_batches(list(batches)), cross_source):
-            a, b = Side(x), Side(y)
+        for a, b, upper, mixed in _sides(pa.Table.from_batches(list(batches)), cross_source):
             n += _counts(a, b, Scores(a, b, scorer, None), upper, mixed, threshold, margin)
         yield pa.RecordBatch.from_arrays([pa.array(LABELS), pa.array(n)], names=["label", "n"])
 
