@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import asdict
+from decimal import ROUND_FLOOR, Decimal
 from functools import cache, cached_property
 from types import SimpleNamespace
 
@@ -25,8 +26,13 @@ from larkspan.functions.text import lcs_lengths
 DAY = 86_400_000_000.0
 TILE = 4_000_000  # pairs of texts held at once
 LABELS = ("matched", "near_miss", "none")
-COLUMNS = "left string, right string, confidence double, fuzz double, jaccard double, noun_diff int, days double"
-SCHEMA = pa.schema([("left", pa.string()), ("right", pa.string()), ("confidence", pa.float64()), ("fuzz", pa.float64()), ("jaccard", pa.float64()), ("noun_diff", pa.int32()), ("days", pa.float64())])
+SCHEMA = pa.schema([("left", pa.string()), ("right", pa.string()), ("confidence", pa.float64()), ("fuzz", pa.float64()), ("jaccard", pa.float64()), ("noun_diff", pa.int64()), ("days", pa.float64())])
+BATCH = 65_536  # pairs sent to Spark at once
+
+
+def columns(scorer) -> str:  # noqa: ANN001
+    """The columns of ``scored``. Spark looks for nulls in each value of a column that may have them, which is much of a pair's cost."""
+    return f"left string, right string, confidence double NOT NULL, fuzz double NOT NULL, jaccard double NOT NULL, noun_diff bigint NOT NULL, days double{'' if scorer.max_days is None else ' NOT NULL'}"
 
 
 class Words:
@@ -435,6 +441,20 @@ def _finished(a: Side, b: Side, scores: Scores, upper: bool, mixed: bool) -> Ite
         yield cols if ok.all() else tuple(x[ok] for x in cols)
 
 
+def rounded(x: np.ndarray, digits: int) -> np.ndarray:
+    """``x``, nothing below 0, to so many digits: the doubles of Spark's ``round``, which goes by the shortest decimal and up at a half."""
+    y = x * 10.0**digits
+    low = np.floor(y)
+    over = y - low
+    near = np.flatnonzero(np.abs(over - 0.5) <= 1e-6 + y * 1e-15)  # the product's last bits may decide; elsewhere they don't
+    up = over > 0.5
+    if len(near):
+        values, place = np.unique(x[near], return_inverse=True)
+        half = Decimal("0.5")
+        up[near] = np.array([(d := Decimal(repr(v)).scaleb(digits)) - d.to_integral_value(ROUND_FLOOR) >= half for v in values.tolist()])[place]
+    return (low + up) / 10.0**digits
+
+
 def _label(confidence: np.ndarray, threshold: float, margin: float) -> np.ndarray:
     return np.where(confidence >= threshold, 0, np.where(confidence >= threshold - margin, 1, 2))
 
@@ -508,19 +528,22 @@ def _sides(t: pa.Table, cross_source: bool) -> Iterator[tuple[Side, Side, bool,
                 yield a, b, upper, mixed
 
 
-def scored(scorer, cross_source: bool, floor: float | None) -> Callable:  # noqa: ANN001
-    """Of a group of records to its scored pairs, for ``applyInArrow``."""
+def scored(scorer, cross_source: bool, floor: float | None, digits: int | None = None) -> Callable:  # noqa: ANN001
+    """Of a group of records to its scored pairs, for ``applyInArrow``; with their numbers to so many ``digits``."""
     scorer = SimpleNamespace(**asdict(scorer))  # its class would take the session along
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b, upper, mixed in _sides(pa.Table.from_batches(list(batches)), cross_source):
             rank_a, rank_b, names = _places(a.ids, b.ids)
-            for ra, rb, confidence, fuzz, jaccard, noun_diff, days in _finished(a, b, Scores(a, b, scorer, floor), upper, mixed):
-                if len(ra):
+            for pairs in _finished(a, b, Scores(a, b, scorer, floor), upper, mixed):
+                for at in range(0, len(pairs[0]), BATCH):
+                    ra, rb, confidence, fuzz, jaccard, noun_diff, days = (x[at : at + BATCH] for x in pairs)
+                    if digits is not None:
+                        confidence, fuzz, jaccard, days = (rounded(x, digits) for x in (confidence, fuzz, jaccard, days))
                     lo, hi = np.minimum(rank_a[ra], rank_b[rb]), np.maximum(rank_a[ra], rank_b[rb])
                     lo = np.where(lo < 0, hi, lo)  # the lesser of an id and null is the id
                     when = pa.array(days) if scorer.max_days is not None else pa.nulls(len(ra), pa.float64())
-                    cols = [names.take(pa.array(lo, mask=lo < 0)), names.take(pa.array(hi, mask=hi < 0)), pa.array(confidence), pa.array(fuzz), pa.array(jaccard), pa.array(noun_diff.astype(np.int32)), when]
+                    cols = [names.take(pa.array(lo, mask=lo < 0)), names.take(pa.array(hi, mask=hi < 0)), pa.array(confidence), pa.array(fuzz), pa.array(jaccard), pa.array(noun_diff.astype(np.int64)), when]
                     yield pa.RecordBatch.from_arrays(cols, schema=SCHEMA)
 
     run.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}

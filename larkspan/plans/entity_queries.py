@@ -63,13 +63,8 @@ def pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entity.resolve(records(spark, sf_dir)).comparisons
 
 
-def _rounded(pairs: DataFrame) -> DataFrame:
-    return pairs.select(*[F.round(c, 6).alias(c) if c in ("confidence", "fuzz", "jaccard", "days") else F.col(c) for c in pairs.columns])
-
-
 def pair_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = entity.scored_pairs(entity.last_of_each_id(records(spark, sf_dir)), None, entity.iso_week_blocker())
-    return _rounded(pairs).withColumn("noun_diff", F.col("noun_diff").cast("long"))
+    return entity.scored_pairs(entity.last_of_each_id(records(spark, sf_dir)), None, entity.iso_week_blocker(), digits=6)
 
 
 def pair_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
